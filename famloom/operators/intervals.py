@@ -28,20 +28,22 @@ def depth_profile(
     ``side`` names a column holding 1 or 2; without it everything is side 1.
     Result: key columns, ``pos``, ``step1``, ``step2`` (change at ``pos``),
     ``depth1``, ``depth2`` and ``next_pos`` (null after the last mark).
-    Reversed intervals (start > end) cover nothing.
+    Null and reversed intervals (start > end) cover nothing but keep their key.
     """
     keys = _names(key)
     which = F.col(side) if side else F.lit(1)
+    low, high = F.col(start).cast("bigint"), F.col(end).cast("bigint")
+
+    def mark(pos: Column, step: int) -> Column:
+        return F.struct(pos.alias("pos"), F.lit(step).alias("_step"))
+
+    nothing = F.array(mark(F.lit(0).cast("bigint"), 0))
     marks = (
-        spans.filter(F.col(start) <= F.col(end))
-        .select(
+        spans.select(
             *keys,
             which.alias("_side"),
             F.inline(
-                F.array(
-                    F.struct(F.col(start).cast("bigint").alias("pos"), F.lit(1).alias("_step")),
-                    F.struct((F.col(end).cast("bigint") + 1).alias("pos"), F.lit(-1).alias("_step")),
-                )
+                F.when(low <= high, F.array(mark(low, 1), mark(high + 1, -1))).otherwise(nothing)
             ),
         )
         .groupBy(*keys, "pos")
@@ -49,7 +51,6 @@ def depth_profile(
             F.sum(F.when(F.col("_side") == 1, F.col("_step")).otherwise(0)).alias("step1"),
             F.sum(F.when(F.col("_side") == 2, F.col("_step")).otherwise(0)).alias("step2"),
         )
-        .filter((F.col("step1") != 0) | (F.col("step2") != 0))
     )
     ordered = Window.partitionBy(*keys).orderBy("pos")
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)

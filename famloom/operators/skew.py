@@ -78,14 +78,16 @@ def flag_members(
     ids: DataFrame,
     key: str,
     flag: str,
-    hot: DataFrame | None = None,
-    spread: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    """Add a boolean column: does ``left[key]`` occur in the one-column table ``ids``?"""
+    """Add a boolean column: does ``left[key]`` occur in the one-column table ``ids``?
+
+    ``unique`` says that ``left`` holds each key about once, so no key can be hot.
+    """
     found = (
         ids.select(F.col(ids.columns[0]).alias(key)).distinct().withColumn(flag, F.lit(True))
     )
-    joined = salted_lookup(left, found, [key], hot=hot, spread=spread)
+    joined = left.join(found, key, "left") if unique else salted_lookup(left, found, [key])
     return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).select(
         *[c for c in left.columns if c != flag], flag
     )
