@@ -1,0 +1,29 @@
+"""Domain-hit chunk files taken in as they arrive."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from famloom.sources.reports import domain_hits_from_lines
+
+
+def stream_domain_hits(
+    spark: SparkSession, folder: str, max_evalue: float | None = 0.001, files_per_batch: int = 100
+) -> DataFrame:
+    """Streaming form of the domain-hit scan; write it with an append-mode Parquet sink.
+
+    ``line_order`` orders hits by file and line as in the batch scan.
+    """
+    lines = (
+        spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+        .text(folder)
+        .select(
+            "value",
+            F.struct(
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("row"),
+            ).alias("line_order"),
+        )
+    )
+    return domain_hits_from_lines(lines, max_evalue)
