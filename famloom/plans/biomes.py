@@ -167,7 +167,7 @@ def breadth_statistics(leaves: DataFrame) -> DataFrame:
     n, leaves_ = F.col("_n"), F.col("n_leaves")
     return frequency.agg(
         F.sum(n).alias("n_families"),
-        F.percentile("n_leaves", 0.5, "_n").alias("median_leaves"),
+        F.percentile("n_leaves", 0.5, F.col("_n")).alias("median_leaves"),
         (F.sum(leaves_ * n) / F.sum(n)).alias("mean_leaves"),
         F.max(leaves_).alias("max_leaves"),
         F.sum(F.when(leaves_ > 5, n).otherwise(0)).alias("over_5"),

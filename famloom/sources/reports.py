@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from famloom.functions.ids import file_stem
@@ -24,18 +26,28 @@ SCORE_LINE = r"Predicted structure for (\d+) with length (\d+), pLDDT ([\d.]+),
 
 def tokens(line: Column) -> Column:
     """Whitespace-separated parts of a line."""
-    return F.split(F.regexp_replace(line, r"^\s+|\s+$", ""), r"\s+")
+    return F.split(F.btrim(line, F.lit(" \t\r\n\f\v")), r"\s+")
+
+
+def _token_rows(lines: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
+    """Lines that ``keep`` accepts, with their tokens as ``_parts``, split once per line."""
+    parts = F.filter(F.array(tokens(F.col("value"))), keep)
+    return lines.select("*", F.explode(parts).alias("_parts"))
 
 
 def _data_lines(lines: DataFrame) -> DataFrame:
-    return lines.filter(F.col("value").rlike(r"\S") & ~F.col("value").startswith("#"))
+    blank = F.btrim("value", F.lit(" \t\r\n\f\v")) == ""
+    return lines.filter(~F.col("value").startswith("#") & ~blank)
 
 
 def domain_hits_from_lines(lines: DataFrame, max_evalue: float | None = 0.001) -> DataFrame:
     """Hits in a text DataFrame (``value`` plus any order columns); short lines are skipped."""
     kinds = {"i_evalue": "double", "score": "double", "ali_from": "int", "ali_to": "int"}
-    parts = _data_lines(lines).withColumn("_parts", tokens(F.col("value")))
-    hits = parts.filter(F.size("_parts") >= DOMAIN_TOKENS).select(
+    # Blank lines are too short to count, so only comments need a test of their own.
+    parts = _token_rows(
+        lines.filter(~F.col("value").startswith("#")), lambda p: F.size(p) >= DOMAIN_TOKENS
+    )
+    hits = parts.select(
         *[
             F.get("_parts", F.lit(place)).cast(kinds.get(name, "string")).alias(name)
             for name, place in DOMAIN_PLACES.items()

@@ -13,6 +13,7 @@ from famloom.operators.intervals import (
     subtract_intervals,
 )
 from famloom.plans import coverage as C
+from famloom.session import durable
 from famloom.sources.reports import domain_hits_from_lines
 from query_catalog.adapters import HITS_SQL, hits, table
 
@@ -171,7 +172,7 @@ def append_annotations(spark: SparkSession, folder: str) -> DataFrame:
             '{"p":[["P",1e-5,2.0,1,2,3,%d]],"m":[["old",1,2,3,4]]}', F.col("o_custkey")
         ).alias("metadata"),
     )
-    found = domain_hits_from_lines(_domain_lines(spark, folder), 0.05)
+    found = durable(domain_hits_from_lines(_domain_lines(spark, folder), 0.05))
     annotated = C.append_annotations(proteins_, found)
     read = annotated.select("protein", parsed_hits(F.col("metadata")).alias("doc"))
     return read.select(
@@ -199,7 +200,7 @@ def annotation_pipeline(spark: SparkSession, folder: str) -> DataFrame:
             '{"p":[["P",1e-5,2.0,1,2,3,%d]]}', F.length("o_orderpriority")
         ).alias("metadata"),
     )
-    found = domain_hits_from_lines(_domain_lines(spark, folder), 0.05)
+    found = durable(domain_hits_from_lines(_domain_lines(spark, folder), 0.05))
     return C.annotation_pipeline(proteins_, found)[2]
 
 
