@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from famloom.functions.ids import from_sortable_text, sortable_text
 from famloom.operators.skew import HOT_ROWS, global_position, hot_keys, salted_lookup
@@ -31,12 +31,17 @@ def symmetric_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def _with_smallest_neighbour(edges: DataFrame, hubs: bool) -> DataFrame:
-    """(src, dst, low): low is the smallest of src and its neighbours."""
+    """(src, dst, low): low is the smallest of src and its neighbours.
+
+    Without hubs every node has fewer than ``HOT_ROWS`` edges and a window does; with
+    hubs the minima are aggregated first and looked up by spread-out edges.
+    """
+    if not hubs:
+        low = F.min("dst").over(Window.partitionBy("src"))
+        return edges.withColumn("low", F.least(low, F.col("src")))
     lows = edges.groupBy("src").agg(
         F.least(F.min("dst"), F.min("src")).alias("low"), F.count(F.lit(1)).alias("_n")
     )
-    if not hubs:
-        return edges.join(lows.drop("_n"), "src")
     hot = hot_keys(lows, ["src"], weight="_n")
     return salted_lookup(edges, lows.drop("_n"), ["src"], hot=hot, how="inner", spread=["dst"])
 
@@ -48,7 +53,6 @@ def _large_star(edges: DataFrame, hubs: bool) -> DataFrame:
         _with_smallest_neighbour(both, hubs)
         .filter(F.col("dst") > F.col("src"))
         .select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        .distinct()
     )
 
 
@@ -68,11 +72,17 @@ def _small_star(edges: DataFrame, hubs: bool) -> DataFrame:
     )
 
 
-def _fingerprint(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("src", "dst")).alias("h")
-    ).first()
-    return row["n"], row["h"]
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """Store a round's edges and fingerprint them while they are written."""
+    seen = Observation()
+    kept = durable(
+        edges.observe(
+            seen,
+            F.count(F.lit(1)).alias("n"),
+            F.bit_xor(F.xxhash64("src", "dst")).alias("h"),
+        )
+    )
+    return kept, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -83,12 +93,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     stars of hub nodes are spread over tasks.
     """
     nodes = edges.select(F.col("src").alias("node")).distinct()
-    current = durable(edges.filter(F.col("src") > F.col("dst")).select("src", "dst").distinct())
-    seen = _fingerprint(current)
+    current, seen = _stored(
+        edges.filter(F.col("src") > F.col("dst")).select("src", "dst").distinct()
+    )
     for _ in range(MAX_ROUNDS):
         hubs = 2 * seen[0] >= HOT_ROWS
-        current = durable(_small_star(_large_star(current, hubs), hubs))
-        now = _fingerprint(current)
+        current, now = _stored(_small_star(_large_star(current, hubs), hubs))
         if now == seen:
             break
         seen = now

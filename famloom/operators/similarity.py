@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from famloom.functions.ranges import region_hull
 from famloom.operators.intervals import coverage_totals
 from famloom.operators.skew import hot_keys, salted_lookup
+from famloom.session import durable
 
 _SUB_BUCKETS = 256
 
@@ -69,12 +70,13 @@ def similar_sets(
 ) -> DataFrame:
     """All pairs of families whose element sets have Jaccard >= ``threshold``.
 
-    Result: ``fam_a`` < ``fam_b``, their sizes, ``shared`` and ``jaccard``.
+    Result: ``fam_a`` < ``fam_b``, their sizes, ``shared`` and ``jaccard``.  The ranked
+    elements are stored once, since candidates and counts both read them.
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
     sets = members.select(family, element).distinct()
-    ranked = _ranked(sets, family, element)
+    ranked = durable(_ranked(sets, family, element))
     size = F.col("_size")
     base = math.log(1.0 / threshold) if threshold < 1.0 else None
     band = F.floor(F.log(size.cast("double")) / base).cast("int") if base else size.cast("int")

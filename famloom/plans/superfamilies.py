@@ -10,6 +10,7 @@ from famloom.functions.ids import sort_key, split_ids
 from famloom.operators.graph import cluster_summaries, singleton_ids, symmetric_edges
 from famloom.operators.skew import flag_members
 from famloom.schemas import require_columns
+from famloom.session import durable
 
 IDS_PER_ROW = 100_000
 
@@ -71,7 +72,7 @@ def build_superfamilies(
     edges: DataFrame, first_id: int, last_id: int, order: str | None = None
 ) -> Superfamilies:
     """Connected components plus a singleton for every id of the range on no edge."""
-    symmetric = symmetric_edges(edges, order)
+    symmetric = durable(symmetric_edges(edges, order))
     clusters, members = cluster_summaries(symmetric)
     alone = singleton_ids(symmetric, first_id, last_id)
     named = alone.select(

@@ -1,2 +1,210 @@
-QUERIES = {}
-ORACLES = {}
+"""Run, alignment and sequence-text queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from famloom.functions import sequences as Q
+from famloom.operators.runs import state_runs as runs_of_rows
+from famloom.plans import alignments
+from famloom.sinks import fasta_lines as fasta
+from famloom.sources.files import first_records
+from query_catalog.adapters import table
+
+
+def state_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of equal event types per user, in time order."""
+    events = table(spark, folder, "events")
+    return runs_of_rows(events, "user_id", ["ts", "event_id"], "event_type")
+
+
+def _predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole document texts as predictions: vowels H, other letters E, the rest C."""
+    letters = F.regexp_replace(F.col("text"), "(?s)[aeiouAEIOU]", "H")
+    states = F.regexp_replace(F.regexp_replace(letters, "[b-df-hj-np-tv-zB-DF-GJ-NP-TV-Z]", "E"), "(?s)[^HE]", "C")
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"),
+        states.alias("states"),
+        F.regexp_replace("text", "(?s)[^0-9]", "7").alias("confidence"),
+        F.col("text").alias("residues"),
+    )
+
+
+def residue_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document and state: runs, residues, longest run and end of the last run."""
+    runs = _predictions(spark, folder).select(
+        "id", F.inline(Q.state_runs(F.col("states")))
+    )
+    return runs.groupBy("id", "state").agg(
+        F.count(F.lit(1)).alias("n_runs"),
+        F.sum(F.col("y") - F.col("x") + 1).alias("n_residues"),
+        F.max(F.col("y") - F.col("x") + 1).alias("longest"),
+        F.max("y").alias("last"),
+    )
+
+
+def feature_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Tracks of each feature document: name, number of entries and their summed y."""
+    documents = alignments.secondary_structure_features(_predictions(spark, folder))
+    return documents.select("id", F.inline("document.features")).select(
+        "id",
+        "name",
+        "type",
+        F.size("data").alias("n_entries"),
+        F.aggregate("data", F.lit(0).cast("bigint"), lambda total, point: total + point["y"]).alias(
+            "sum_y"
+        ),
+    )
+
+
+def letters_upper(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select(
+        "doc_id", F.md5(Q.letters_upper(F.col("text"))).alias("letters_md5")
+    )
+
+
+def ungapped_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select(
+        "doc_id",
+        Q.ungapped_length(F.col("text")).alias("ungapped"),
+        F.length("text").alias("length"),
+    )
+
+
+def fasta_lines(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").filter(F.col("text") != "")
+    name = F.concat_ws("_", "conv_id", "turn")
+    return turns.select(fasta(name, F.col("text")).alias("value"))
+
+
+def _alignment(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Lines as aligned rows of 32 columns per supplier, suppliers' masks.
+
+    Odd lines have coordinates, even ones a plain name with a description.
+    """
+    text = F.md5(F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber"))
+    sequence = F.translate(text, "01", "-.")
+    start = F.col("l_quantity").cast("int")
+    plain = F.concat(F.lit("seq"), F.col("l_partkey"))
+    located = F.concat(
+        plain, F.lit("/"), start, F.lit("-"), start + Q.ungapped_length(sequence) - 1
+    )
+    header = F.when(F.col("l_linenumber") % 2 == 1, located).otherwise(
+        F.concat(plain, F.lit(" order "), F.col("l_orderkey"))
+    )
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("family_id"),
+        F.struct("l_orderkey", "l_partkey", "l_linenumber", "l_quantity").alias("line_order"),
+        header.alias("header"),
+        sequence.alias("sequence"),
+    )
+    left, right = F.col("s_suppkey") % 5, F.col("s_suppkey") % 7
+    masks = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("family_id"),
+        F.concat(
+            F.repeat(F.lit("."), left.cast("int")),
+            F.repeat(F.lit("x"), (32 - left - right).cast("int")),
+            F.repeat(F.lit("."), right.cast("int")),
+        ).alias("mask"),
+    )
+    return rows, masks
+
+
+def trim_alignments(spark: SparkSession, folder: str) -> DataFrame:
+    return alignments.trim_alignments(*_alignment(spark, folder)).drop("line_order")
+
+
+def representatives(spark: SparkSession, folder: str) -> DataFrame:
+    """First row of every supplier's alignment, letters only."""
+    rows, _ = _alignment(spark, folder)
+    return alignments.representatives(first_records(rows, "family_id"))
+
+
+_ALIGNED = """
+aligned AS (
+  SELECT l_suppkey AS k, l_orderkey, l_partkey, l_linenumber, l_quantity,
+         translate(md5(concat(l_orderkey, '-', l_partkey, '-', l_linenumber)), '01', '-.') AS seq,
+         concat('seq', l_partkey) AS name, CAST(l_quantity AS INTEGER) AS s FROM lineitem),
+cut AS (
+  SELECT *, CAST(k % 5 AS INTEGER) AS lf, CAST(k % 7 AS INTEGER) AS rt,
+         length(replace(replace(seq, '-', ''), '.', '')) AS n,
+         substr(seq, CAST(k % 5 + 1 AS INTEGER), CAST(32 - k % 5 - k % 7 AS INTEGER)) AS kept,
+         length(replace(replace(left(seq, CAST(k % 5 AS INTEGER)), '-', ''), '.', '')) AS nl,
+         length(replace(replace(substr(seq, CAST(33 - k % 7 AS INTEGER)), '-', ''), '.', '')) AS nr
+  FROM aligned)
+"""
+_STATES = """
+chars AS (
+  SELECT doc_id AS id, unnest(range(1, length(text) + 1)) AS pos, text FROM documents),
+states AS (
+  SELECT id, pos, CASE WHEN substr(text, pos, 1) SIMILAR TO '[aeiouAEIOUH]' THEN 'H'
+                       WHEN substr(text, pos, 1) SIMILAR TO '[b-df-hj-np-tv-zB-DF-GJ-NP-TV-Z]' THEN 'E'
+                       ELSE 'C' END AS state,
+         CASE WHEN substr(text, pos, 1) SIMILAR TO '[0-9]' THEN CAST(substr(text, pos, 1) AS INTEGER) ELSE 7 END AS conf
+  FROM chars),
+flags AS (
+  SELECT id, pos, state, pos - row_number() OVER (PARTITION BY id, state ORDER BY pos) AS g FROM states),
+runs AS (SELECT id, state, min(pos) AS x, max(pos) AS y FROM flags GROUP BY id, state, g)
+"""
+
+QUERIES = {
+    "state_runs": state_runs,
+    "residue_runs": residue_runs,
+    "feature_documents": feature_documents,
+    "letters_upper": letters_upper,
+    "ungapped_lengths": ungapped_lengths,
+    "fasta_lines": fasta_lines,
+    "trim_alignments": trim_alignments,
+    "representatives": representatives,
+}
+
+ORACLES = {
+    "state_runs": """
+WITH placed AS (
+  SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS m FROM events)
+SELECT user_id, event_type AS state, min(n) AS x, max(n) AS y FROM placed GROUP BY user_id, event_type, n - m
+""",
+    "residue_runs": f"""
+WITH {_STATES}
+SELECT id, state, count(*) AS n_runs, CAST(sum(y - x + 1) AS BIGINT) AS n_residues,
+       CAST(max(y - x + 1) AS INTEGER) AS longest, CAST(max(y) AS INTEGER) AS last
+FROM runs GROUP BY id, state
+""",
+    "feature_documents": f"""
+WITH {_STATES},
+tracks(state, name) AS (VALUES ('H', 'α-helices'), ('E', 'β-strands'), ('C', 'Coil'))
+SELECT doc_id AS id, name, 'rect' AS type, CAST(count(y) AS INTEGER) AS n_entries,
+       CAST(coalesce(sum(y), 0) AS BIGINT) AS sum_y
+FROM documents CROSS JOIN tracks LEFT JOIN runs ON runs.id = doc_id AND runs.state = tracks.state
+GROUP BY doc_id, name
+UNION ALL
+SELECT id, 'Confidence Score', 'line', CAST(count(*) AS INTEGER), CAST(sum(conf) AS BIGINT) FROM states GROUP BY id
+""",
+    "letters_upper": """
+SELECT doc_id, md5(upper(replace(regexp_replace(text, '[^\\p{L}]', '', 'g'), 'ß', 'SS'))) AS letters_md5 FROM documents
+""",
+    "ungapped_lengths": """
+SELECT doc_id, CAST(length(replace(replace(text, '-', ''), '.', '')) AS INTEGER) AS ungapped,
+       CAST(length(text) AS INTEGER) AS length FROM documents
+""",
+    "fasta_lines": """
+SELECT concat('>', conv_id, '_', turn, chr(10), text) AS value FROM conversations WHERE text <> ''
+""",
+    "trim_alignments": f"""
+WITH {_ALIGNED}
+SELECT CAST(k AS VARCHAR) AS family_id, kept AS sequence,
+       CASE WHEN l_linenumber % 2 = 1 THEN concat(name, '/', s + nl, '-', s + n - 1 - nr)
+            WHEN lf + rt > 0 THEN concat(name, '/', 1 + nl, '-', n - nr, ' order ', l_orderkey)
+            ELSE concat(name, ' order ', l_orderkey) END AS header
+FROM cut
+""",
+    "representatives": f"""
+WITH {_ALIGNED}
+SELECT CAST(k AS VARCHAR) AS family_id, record_id, sequence FROM (
+  SELECT k, CASE WHEN l_linenumber % 2 = 1 THEN concat(name, '/', s, '-', s + n - 1) ELSE name END AS record_id,
+         upper(regexp_replace(seq, '[^a-z]', '', 'g')) AS sequence,
+         row_number() OVER (PARTITION BY k ORDER BY l_orderkey, l_partkey, l_linenumber, l_quantity) AS r
+  FROM aligned JOIN cut USING (k, l_orderkey, l_partkey, l_linenumber, l_quantity, seq, name, s)) WHERE r = 1
+""",
+}
