@@ -18,14 +18,16 @@ def hot_keys(
     keys: Sequence[str],
     weight: str | None = None,
     limit: int = HOT_KEYS,
-    min_rows: int = HOT_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """The heaviest keys of ``df``: at most ``limit`` rows, so always broadcastable.
 
     Keys left out hold at most ``1/limit`` of the rows each.  ``weight`` names a
     column that already counts rows per key; otherwise rows are counted here, with
-    partial counts before the shuffle.
+    partial counts before the shuffle.  Keys below ``min_rows`` (``HOT_ROWS``) are
+    never hot.
     """
+    min_rows = HOT_ROWS if min_rows is None else min_rows
     if weight is None:
         counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight"))
     else:
