@@ -41,7 +41,11 @@ def clip_span(start: Column, end: Column, length: Column) -> Column:
 
 
 def merged_length(spans: Column) -> Column:
-    """Distinct positions covered by an array of 1-based spans held in one row."""
+    """Distinct positions covered by an array of 1-based spans held in one row.
+
+    Spans are taken by start, so a reversed span ends before any later one starts
+    and adds nothing.
+    """
 
     def add(state: Column, span: Column) -> Column:
         fresh = span["end"] - F.greatest(state["reach"], span["start"] - 1)
@@ -51,7 +55,7 @@ def merged_length(spans: Column) -> Column:
         )
 
     empty = F.struct(F.lit(0).alias("total"), F.lit(0).alias("reach"))
-    return F.aggregate(F.array_sort(spans), empty, add, lambda state: state["total"])
+    return F.aggregate(F.sort_array(spans), empty, add, lambda state: state["total"])
 
 
 def template_coverage(text: Column) -> Column:

@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from famloom.functions.annotations import (
     annotation_keys,
-    covered_residues,
     hit_spans,
     parsed_hits,
     with_family_hits,
 )
 from famloom.functions.ids import chunk_name
-from famloom.functions.ranges import region_segments
+from famloom.functions.ranges import merged_length, region_segments
 from famloom.functions.scores import percentage, relative_increase
 from famloom.operators.intervals import covered_length, coverage_totals, subtract_intervals
 from famloom.operators.skew import global_position, hot_keys, salted_lookup
@@ -139,13 +138,19 @@ def _covered_per_protein(proteins: DataFrame, selections: Mapping[str, Sequence[
     """(residues, covered_<label>...) for each protein."""
     length = F.length(F.coalesce("sequence", F.lit("")))
     parsed = proteins.withColumns({"_hits": parsed_hits(F.col("metadata")), "_length": length})
+    used = sorted({key for keys in selections.values() for key in keys})
+    parsed = parsed.withColumns(
+        {f"_{key}": hit_spans(F.col("_hits"), key, F.col("_length")) for key in used}
+    )
+
+    def spans_of(keys: Sequence[str]) -> Column:
+        return F.concat(*[F.col(f"_{key}") for key in keys])
 
     def in_row(df: DataFrame) -> DataFrame:
         return df.select(
             F.col("_length").cast("bigint").alias("residues"),
             *[
-                covered_residues(F.col("_hits"), keys, F.col("_length"))
-                .cast("bigint").alias(f"covered_{label}")
+                merged_length(spans_of(keys)).cast("bigint").alias(f"covered_{label}")
                 for label, keys in selections.items()
             ],
         )
@@ -157,9 +162,7 @@ def _covered_per_protein(proteins: DataFrame, selections: Mapping[str, Sequence[
     split = parsed.filter("n_parts > 1")
     lengths = split.groupBy("protein").agg(F.max("_length").cast("bigint").alias("residues"))
     for label, keys in selections.items():
-        spans = split.select(
-            "protein", F.inline_outer(hit_spans(F.col("_hits"), keys, F.col("_length")))
-        )
+        spans = split.select("protein", F.inline_outer(spans_of(keys)))
         covered = covered_length(spans, "protein").withColumnRenamed("covered", f"covered_{label}")
         lengths = lengths.join(covered, "protein")
     return whole.unionByName(lengths.drop("protein"))

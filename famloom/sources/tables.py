@@ -94,6 +94,17 @@ def read_accessions(spark: SparkSession, path: str | list[str], name: str = "id"
     return table.filter(first.isNotNull()).select(digits_of(first).alias(name)).distinct()
 
 
+def widen(scan: DataFrame) -> DataFrame:
+    """Spread a scan with few splits (gzip, one row group) over the idle cores.
+
+    A scan with at least half as many splits as cores is returned as it is, so
+    nothing is shuffled once the input is large.  Pass a plain scan: looking at the
+    splits of a joined or grouped DataFrame would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() <= cores else scan
+
+
 def scan_table(
     spark: SparkSession, path: str, columns: Sequence[str], present: str | None = None
 ) -> DataFrame:

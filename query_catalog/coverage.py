@@ -15,6 +15,7 @@ from famloom.operators.intervals import (
 from famloom.plans import coverage as C
 from famloom.session import durable
 from famloom.sources.reports import domain_hits_from_lines
+from famloom.sources.tables import widen
 from query_catalog.adapters import HITS_SQL, hits, table
 
 
@@ -93,7 +94,10 @@ def proteins(spark: SparkSession, folder: str) -> DataFrame:
     document = F.concat(
         F.lit("{"), p, F.when(F.col("l_returnflag") == "N", "").otherwise(m), F.lit(',"x":{"y":1}}')
     )
-    return table(spark, folder, "lineitem").select(
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag"
+    )
+    return widen(lines).select(
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("protein"),
         F.repeat(F.lit("A"), q + 3).alias("sequence"),
         F.when(F.col("l_tax") == 0, "").otherwise(document).alias("metadata"),
@@ -151,7 +155,10 @@ def _domain_lines(spark: SparkSession, folder: str) -> DataFrame:
         *middle,
     )
     short = F.concat(F.lit("# "), full)
-    return table(spark, folder, "lineitem").select(
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"
+    )
+    return widen(lines).select(
         F.when(F.col("l_tax") == 0, short).otherwise(full).alias("value"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount").alias(
             "line_order"
@@ -166,7 +173,7 @@ def domain_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 def append_annotations(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of orders with new ``m`` hits, read back hit by hit."""
-    proteins_ = table(spark, folder, "orders").select(
+    proteins_ = widen(table(spark, folder, "orders")).select(
         F.col("o_orderkey").cast("string").alias("protein"),
         F.format_string(
             '{"p":[["P",1e-5,2.0,1,2,3,%d]],"m":[["old",1,2,3,4]]}', F.col("o_custkey")
@@ -193,7 +200,7 @@ def append_annotations(spark: SparkSession, folder: str) -> DataFrame:
 
 def annotation_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Before/after statistics with orders as proteins and lines as searched hits."""
-    proteins_ = table(spark, folder, "orders").select(
+    proteins_ = widen(table(spark, folder, "orders")).select(
         F.col("o_orderkey").cast("string").alias("protein"),
         F.repeat(F.lit("A"), 40).alias("sequence"),
         F.format_string(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from famloom.functions.annotations import with_family_hits
 from famloom.plans.documents import rewrite_domain_documents
+from famloom.sources.tables import widen
 from query_catalog.adapters import table
 
 
@@ -18,7 +19,7 @@ def nested_rewrite(spark: SparkSession, folder: str) -> DataFrame:
         '{"size":2}],"top":{"status":"%s"}}',
         F.col("o_custkey"), mark, F.col("o_orderstatus"),
     )
-    documents = table(spark, folder, "orders").select(
+    documents = widen(table(spark, folder, "orders")).select(
         F.col("o_orderkey").cast("string").alias("id"), document.alias("document")
     )
     rewritten = rewrite_domain_documents(documents, "FAM", "FAMY", "http://example.org/?id=")
@@ -50,7 +51,7 @@ def metadata_rewrite(spark: SparkSession, folder: str) -> DataFrame:
         F.length("event_type").alias("ali_to"),
     )
     hits = F.when(F.col("event_type") == "purchase", F.array(hit))
-    rewritten = table(spark, folder, "events").select(
+    rewritten = widen(table(spark, folder, "events")).select(
         "event_id", with_family_hits(F.col("props"), hits).alias("document")
     )
     return rewritten.select(

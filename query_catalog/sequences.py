@@ -9,6 +9,7 @@ from famloom.operators.runs import state_runs as runs_of_rows
 from famloom.plans import alignments
 from famloom.sinks import fasta_lines as fasta
 from famloom.sources.files import first_records
+from famloom.sources.tables import widen
 from query_catalog.adapters import table
 
 
@@ -22,7 +23,7 @@ def _predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Whole document texts as predictions: vowels H, other letters E, the rest C."""
     letters = F.regexp_replace(F.col("text"), "(?s)[aeiouAEIOU]", "H")
     states = F.regexp_replace(F.regexp_replace(letters, "[b-df-hj-np-tv-zB-DF-GJ-NP-TV-Z]", "E"), "(?s)[^HE]", "C")
-    return table(spark, folder, "documents").select(
+    return widen(table(spark, folder, "documents").select("doc_id", "text")).select(
         F.col("doc_id").alias("id"),
         states.alias("states"),
         F.regexp_replace("text", "(?s)[^0-9]", "7").alias("confidence"),
@@ -92,7 +93,10 @@ def _alignment(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     header = F.when(F.col("l_linenumber") % 2 == 1, located).otherwise(
         F.concat(plain, F.lit(" order "), F.col("l_orderkey"))
     )
-    rows = table(spark, folder, "lineitem").select(
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
+    )
+    rows = widen(lines).select(
         F.col("l_suppkey").cast("string").alias("family_id"),
         F.struct("l_orderkey", "l_partkey", "l_linenumber", "l_quantity").alias("line_order"),
         header.alias("header"),
