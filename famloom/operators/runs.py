@@ -21,30 +21,35 @@ def state_runs(df: DataFrame, key: str, order: Sequence[str], state: str) -> Dat
         .repartitionByRange(F.col(key), *[F.col(c) for c in order])
         .withColumn("_slice", F.spark_partition_id())
     )
-    rows = Window.partitionBy(key, "_slice").orderBy(*order)
+    slice_rows = Window.partitionBy(key, "_slice")
+    rows = slice_rows.orderBy(*order)
     marked = sliced.select(
         key,
         "_slice",
-        "_state",
-        F.row_number().over(rows).alias("_row"),
+        F.col("_state").alias("state"),
+        F.row_number().over(rows).alias("_first"),
+        F.count(F.lit(1)).over(slice_rows).alias("_rows"),
         F.coalesce(F.col("_state") != F.lag("_state").over(rows), F.lit(True)).alias("_new"),
     )
-    by_row = Window.partitionBy(key, "_slice").orderBy("_row")
+    starts = slice_rows.orderBy("_first")
+    next_start = F.lead("_first").over(starts)
     local = durable(
-        marked.withColumn("_run", F.sum(F.col("_new").cast("int")).over(by_row))
-        .groupBy(key, "_slice", "_run")
-        .agg(
-            F.first("_state").alias("state"),
-            F.min("_row").alias("_first"),
-            F.max("_row").alias("_last"),
+        marked.filter("_new").select(
+            key,
+            "_slice",
+            "state",
+            "_rows",
+            "_first",
+            F.coalesce(next_start - 1, F.col("_rows")).alias("_last"),
+            (F.col("_first").eqNullSafe(1) | next_start.isNull()).alias("_edge"),
         )
     )
-    # One row per (key, slice): where the slice starts, and its last run number.
+    # One row per (key, slice): how many rows of the key come before it.
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (
         local.groupBy(key, "_slice")
-        .agg(F.max("_last").alias("_rows"), F.max("_run").alias("_runs"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .agg(F.max("_rows").alias("_rows"))
+        .select(key, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
     placed = local.join(slices, [key, "_slice"]).select(
         key,
@@ -52,7 +57,7 @@ def state_runs(df: DataFrame, key: str, order: Sequence[str], state: str) -> Dat
         "state",
         (F.col("_first") + F.col("_offset")).alias("x"),
         (F.col("_last") + F.col("_offset")).alias("y"),
-        ((F.col("_run") == 1) | (F.col("_run") == F.col("_runs"))).alias("_edge"),
+        "_edge",
     )
     inner = placed.filter(~F.col("_edge")).select(key, "state", "x", "y")
     across = Window.partitionBy(key).orderBy("x")
@@ -60,12 +65,18 @@ def state_runs(df: DataFrame, key: str, order: Sequence[str], state: str) -> Dat
         (F.lag("state").over(across) == F.col("state"))
         & (F.lag("_slice").over(across) != F.col("_slice"))
     )
+    # Start and end of every stretch of edge runs that continue each other.
     edges = (
         placed.filter("_edge")
         .withColumn("_new", ~F.coalesce(joins_previous, F.lit(False)))
-        .withColumn("_run", F.sum(F.col("_new").cast("int")).over(across))
-        .groupBy(key, "_run")
-        .agg(F.min_by("state", "x").alias("state"), F.min("x").alias("x"), F.max("y").alias("y"))
-        .select(key, "state", "x", "y")
+        .withColumn("_end_of_previous", F.lag("y").over(across))
+        .withColumn("_last_end", F.max("y").over(Window.partitionBy(key)))
+        .filter("_new")
+        .select(
+            key,
+            "state",
+            "x",
+            F.coalesce(F.lead("_end_of_previous").over(across), F.col("_last_end")).alias("y"),
+        )
     )
     return inner.unionByName(edges)

@@ -157,7 +157,7 @@ def residue_similarity(pairs: DataFrame, members: DataFrame, meta: DataFrame) ->
         )
 
     with_reps = pairs.select("fam1", "fam2").join(rep_of("fam1"), "fam1").join(rep_of("fam2"), "fam2")
-    chosen = (
+    chosen = durable(
         with_reps.join(holds("fam2", "_rep_fam1", "_in_2"), ["fam2", "_rep_fam1"], "left")
         .join(holds("fam1", "_rep_fam2", "_in_1"), ["fam1", "_rep_fam2"], "left")
         .select(
@@ -208,7 +208,7 @@ def family_similarities(
     ``order`` names a row-order column of ``members``: the family met first becomes
     fam1.  Without it the smaller id does.
     """
-    pairs = similar_sets(members, threshold)
+    pairs = durable(similar_sets(members, threshold))
     if order is None:
         directed = pairs.select(F.col("fam_a").alias("fam1"), F.col("fam_b").alias("fam2"))
     else:

@@ -19,9 +19,11 @@ def score_profiles(profiles: DataFrame, weights: Mapping[str, float] | None = No
     ]
     bounds = profiles.agg(*ends).select(F.struct("*").alias("bounds")).scalar()
     parts = {
-        c: min_max(F.col(c).cast("double"), bounds[f"min_{c}"], bounds[f"max_{c}"]) for c in weights
+        c: min_max(F.col(c).cast("double"), F.col(f"_bounds.min_{c}"), F.col(f"_bounds.max_{c}"))
+        for c in weights
     }
-    return profiles.withColumn("score", weighted_sum(parts, weights))
+    bounded = profiles.withColumn("_bounds", bounds)
+    return bounded.withColumn("score", weighted_sum(parts, weights)).drop("_bounds")
 
 
 def rank_profiles(

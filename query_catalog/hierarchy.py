@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from famloom.plans import biomes as B
+from famloom.session import durable
 from query_catalog.adapters import LEAVES_SQL, biome_leaves, tree_nodes
 
 
@@ -63,7 +64,7 @@ def duplicate_label_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, folder: str) -> DataFrame:
-    leaves = biome_leaves(spark, folder)
+    leaves = durable(biome_leaves(spark, folder))
     return B.duplicate_labels(leaves, B.leaf_distribution(leaves))
 
 
@@ -80,12 +81,12 @@ def duplicate_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def breadth_top(spark: SparkSession, folder: str) -> DataFrame:
-    leaves = biome_leaves(spark, folder)
+    leaves = durable(biome_leaves(spark, folder))
     return B.broadest_families(leaves, B.leaf_distribution(leaves))
 
 
 def narrow_top(spark: SparkSession, folder: str) -> DataFrame:
-    leaves = biome_leaves(spark, folder)
+    leaves = durable(biome_leaves(spark, folder))
     return B.narrowest_families(leaves, B.leaf_distribution(leaves))
 
 
