@@ -122,12 +122,13 @@ def reconcile_ids(table_ids: DataFrame, file_ids: DataFrame, key: str) -> DataFr
 
 def file_plan(
     files: DataFrame, removed: DataFrame | None = None, mapping: DataFrame | None = None,
-    selected: DataFrame | None = None,
+    selected: DataFrame | None = None, order: str | None = None,
 ) -> DataFrame:
     """What to do with each listed file: ``drop``, ``rename`` or ``keep``, and its new name.
 
     File stems are compared as text with ``removed`` ids and ``old_id`` of the
-    mapping; ``selected`` limits the plan to those stems.
+    mapping; ``selected`` limits the plan to those stems, and ``order`` picks the
+    last of repeated mapping rows.
     """
     plan = files
     if "stem" not in plan.columns:
@@ -142,7 +143,7 @@ def file_plan(
         plan = plan.withColumn("_drop", F.lit(False))
     new_name: Column = F.lit(None).cast("string")
     if mapping is not None:
-        names = mapping.select(
+        names = latest_rows(mapping, "old_id", order).select(
             F.col("old_id").cast("string").alias("stem"),
             F.col("new_id").cast("string").alias("_new_stem"),
         )

@@ -51,19 +51,24 @@ def salted_lookup(
 ) -> DataFrame:
     """Join ``left`` to the one-row-per-key ``right`` with hot left keys spread out.
 
-    Rows of a hot key are spread over ``salts`` partitions by a hash of the
-    ``spread`` columns (all other columns by default) and the matching ``right``
-    row is repeated once per salt.  Other keys join as usual.
+    Rows of a hot key are spread over ``salts`` partitions by a hash of their task
+    and the ``spread`` columns (all other columns by default), and the matching
+    ``right`` row is repeated once per salt.  Rows with a null key match nothing and
+    are spread the same way.  Other keys join as usual.
     """
     keys = list(keys)
     if hot is None:
         hot = hot_keys(left, keys)
     flags = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))
     spread = list(spread) if spread else [c for c in left.columns if c not in keys]
-    noise = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
+    mixed = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in spread])
+    noise = F.pmod(mixed, F.lit(salts)).cast("int")
+    scattered = F.coalesce(F.col("_hot"), F.lit(False))
+    for key in keys:
+        scattered = scattered | F.col(key).isNull()
     salted_left = (
         left.join(flags, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), noise).otherwise(F.lit(0)))
+        .withColumn("_salt", F.when(scattered, noise).otherwise(F.lit(0)))
         .drop("_hot")
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(

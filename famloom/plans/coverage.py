@@ -134,11 +134,11 @@ def append_annotations(
     )
 
 
-def _covered_per_protein(proteins: DataFrame, selections: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(residues, covered_<label>...) for each protein."""
+def _covered_per_protein(proteins: DataFrame, selections: Sequence[Sequence[str]]) -> DataFrame:
+    """(residues, covered_<i>...) for each protein and each selection of keys."""
     length = F.length(F.coalesce("sequence", F.lit("")))
     parsed = proteins.withColumns({"_hits": parsed_hits(F.col("metadata")), "_length": length})
-    used = sorted({key for keys in selections.values() for key in keys})
+    used = sorted({key for keys in selections for key in keys})
     parsed = parsed.withColumns(
         {f"_{key}": hit_spans(F.col("_hits"), key, F.col("_length")) for key in used}
     )
@@ -150,8 +150,8 @@ def _covered_per_protein(proteins: DataFrame, selections: Mapping[str, Sequence[
         return df.select(
             F.col("_length").cast("bigint").alias("residues"),
             *[
-                merged_length(spans_of(keys)).cast("bigint").alias(f"covered_{label}")
-                for label, keys in selections.items()
+                merged_length(spans_of(keys)).cast("bigint").alias(f"covered_{i}")
+                for i, keys in enumerate(selections)
             ],
         )
 
@@ -161,9 +161,9 @@ def _covered_per_protein(proteins: DataFrame, selections: Mapping[str, Sequence[
     whole = in_row(parsed.filter("n_parts = 1"))
     split = parsed.filter("n_parts > 1")
     lengths = split.groupBy("protein").agg(F.max("_length").cast("bigint").alias("residues"))
-    for label, keys in selections.items():
+    for i, keys in enumerate(selections):
         spans = split.select("protein", F.inline_outer(spans_of(keys)))
-        covered = covered_length(spans, "protein").withColumnRenamed("covered", f"covered_{label}")
+        covered = covered_length(spans, "protein").withColumnRenamed("covered", f"covered_{i}")
         lengths = lengths.join(covered, "protein")
     return whole.unionByName(lengths.drop("protein"))
 
@@ -176,19 +176,17 @@ def annotation_stats(proteins: DataFrame, selections: Mapping[str, str]) -> Data
     carries one partial sum per task.
     """
     keys = {label: annotation_keys(text) for label, text in selections.items()}
-    per_protein = _covered_per_protein(proteins, keys)
+    per_protein = _covered_per_protein(proteins, list(keys.values()))
+    places = range(len(keys))
     sums = per_protein.agg(
         F.count(F.lit(1)).alias("total_sequences"),
         F.coalesce(F.sum("residues"), F.lit(0)).alias("total_amino_acids"),
-        *[F.count_if(F.col(f"covered_{label}") > 0).alias(f"sequences_{label}") for label in keys],
-        *[
-            F.coalesce(F.sum(f"covered_{label}"), F.lit(0)).alias(f"residues_{label}")
-            for label in keys
-        ],
+        *[F.count_if(F.col(f"covered_{i}") > 0).alias(f"sequences_{i}") for i in places],
+        *[F.coalesce(F.sum(f"covered_{i}"), F.lit(0)).alias(f"residues_{i}") for i in places],
     )
 
-    def row(label: str) -> Column:
-        sequences, residues = F.col(f"sequences_{label}"), F.col(f"residues_{label}")
+    def row(i: int, label: str) -> Column:
+        sequences, residues = F.col(f"sequences_{i}"), F.col(f"residues_{i}")
         return F.struct(
             F.lit(label).alias("label"),
             F.lit(",".join(keys[label])).alias("annotation_keys"),
@@ -202,7 +200,7 @@ def annotation_stats(proteins: DataFrame, selections: Mapping[str, str]) -> Data
             ),
         )
 
-    return sums.select(F.inline(F.array(*[row(label) for label in keys])))
+    return sums.select(F.inline(F.array(*[row(i, label) for i, label in enumerate(keys)])))
 
 
 def compare_stats(stats: DataFrame, before: str, after: str) -> DataFrame:

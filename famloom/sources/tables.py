@@ -11,32 +11,36 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from famloom.functions.ids import digits_of
 
-_CSV = {"multiLine": True, "quote": '"', "escape": '"', "maxCharsPerColumn": -1}
+_CSV = {"quote": '"', "escape": '"', "maxCharsPerColumn": -1}
 
 
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: str, separator: str = ",", header: bool = True
+    spark: SparkSession, path: str | list[str], schema: str, separator: str = ",",
+    header: bool = True, multi_line: bool = True,
 ) -> DataFrame:
     """CSV with quoted and multi-line cells of any width.
 
-    With ``header`` the file's own column order is followed and columns are picked
+    A file whose cells may hold line breaks is read by one task; pass
+    ``multi_line=False`` where they cannot, and large files split.  With ``header`` the file's own column order is followed and columns are picked
     by name, so the schema may list a subset.
     """
     if not header:
-        return spark.read.options(**_CSV).option("sep", separator).schema(schema).csv(path)
+        reader = spark.read.options(**_CSV).option("multiLine", multi_line)
+        return reader.option("sep", separator).schema(schema).csv(path)
     wanted = spark.createDataFrame([], schema).schema
-    text = (
-        spark.read.options(**_CSV, sep=separator, header=True, inferSchema=False).csv(path)
-    )
+    text = read_text_table(spark, path, separator, multi_line)
     missing = sorted({field.name for field in wanted} - set(text.columns))
     if missing:
         raise ValueError(f"Missing required columns in {path}: {', '.join(missing)}")
     return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
 
 
-def read_text_table(spark: SparkSession, path: str | list[str], separator: str = ",") -> DataFrame:
+def read_text_table(
+    spark: SparkSession, path: str | list[str], separator: str = ",", multi_line: bool = True
+) -> DataFrame:
     """CSV with a header, every column as text and all columns kept."""
-    return spark.read.options(**_CSV, sep=separator, header=True, inferSchema=False).csv(path)
+    reader = spark.read.options(**_CSV).option("multiLine", multi_line)
+    return reader.options(sep=separator, header=True, inferSchema=False).csv(path)
 
 
 def read_headerless(
