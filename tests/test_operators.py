@@ -304,3 +304,24 @@ def test_blob_policies(spark):
     extra = spark.createDataFrame([(7, bytearray(b"x"))], "id long, content binary")
     with pytest.raises(ValueError, match="extra 7"):
         updates.attach_all_blobs(families, extra, "id", "blob", allow_missing=True)
+
+
+def test_salted_lookup_spreads_null_and_repeated_keys(spark):
+    left = spark.createDataFrame([(None,), (None,), ("a",), ("a",), ("b",)], "k string").repartition(2)
+    right = spark.createDataFrame([("a", 1), ("c", 2)], "k string, m int")
+    hot = skew.hot_keys(left, ["k"], min_rows=2)
+    got = skew.salted_lookup(left, right, ["k"], hot=hot, salts=3)
+    assert sorted(((r["k"] or ""), r["m"] or 0) for r in got.collect()) == [
+        ("", 0), ("", 0), ("a", 1), ("a", 1), ("b", 0),
+    ]
+
+
+def test_widen_leaves_wide_scans_alone(spark, tmp_path):
+    from famloom.sources.tables import widen
+
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "one"))
+    scan = spark.read.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    assert widen(scan).rdd.getNumPartitions() == cores
+    wide = spark.range(0, 100, 1, cores)
+    assert widen(wide) is wide
