@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def local_session(app: str = "famloom", cores: str = "*", partitions: int = 8) -> SparkSession:
     """Single-machine session for tests and the benchmark; a cluster brings its own."""
@@ -51,4 +54,16 @@ def durable(df: DataFrame) -> DataFrame:
     folder = ensure_checkpoint_dir(df.sparkSession)
     path = f"{folder}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[stored] = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`durable` that no later plan reads."""
+    for table in tables:
+        path = _PLACES.pop(table, None)
+        if path is not None:
+            jvm = table.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
