@@ -135,7 +135,7 @@ def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
             )
 
     return (
-        ranked.join(F.broadcast(based) if buckets * size <= 2_000_000 else based, ["length", "_bucket"])
+        ranked.join(based, ["length", "_bucket"])
         .withColumn("_at", (F.col("_rank") + F.col("_base")).cast("bigint"))
         .mapInArrow(place, f"{_PIECES}, sequence_id bigint, offset bigint")
     )

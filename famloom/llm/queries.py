@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from famloom.llm import exact_dedup, packing, token_files
+from famloom.llm import exact_dedup, language_id, minhash, packing, secrets, token_files
 from famloom.llm.common import table
 
 
@@ -20,6 +20,18 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
+def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.languages_of(table(spark, folder, "documents"))
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = token_files.new_folder(spark, "token_files")
     token_files.write_token_files(
@@ -31,6 +43,9 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_packing": op6_packing,
+    "op7_secrets": op7_secrets,
+    "op8_minhash": op8_minhash,
+    "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
 }
 
