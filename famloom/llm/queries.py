@@ -5,10 +5,28 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from famloom.llm import exact_dedup, language_id, minhash, packing, secrets, token_files
+from famloom.llm import (
+    exact_dedup,
+    language_id,
+    line_dedup,
+    minhash,
+    packing,
+    secrets,
+    suffix_dedup,
+    token_files,
+)
 from famloom.llm.common import table
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_dedup.without_repeats(table(spark, folder, "documents"), span=200, keep="none")
+    return suffix_dedup.digest_rows(cut)
+
+
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digest_rows(line_dedup.without_repeated_lines(table(spark, folder, "documents")))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"), keep="largest")
 
@@ -41,6 +59,8 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
@@ -50,6 +70,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_line_dedup": line_dedup.ORACLE,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER copies AS keep_id, count(*) OVER copies AS group_size,
                doc_id = max(doc_id) OVER copies AS kept, sha256(coalesce(text, '')) AS text_sha256
