@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system; Python workers live as long as their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def binary_rows(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """A binary column whose row i is the bytes between ends[i-1] and ends[i]."""
     offsets = np.zeros(len(ends) + 1, np.int32)

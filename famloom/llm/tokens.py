@@ -9,6 +9,7 @@ follows white space are encoded whole where that could differ.
 from __future__ import annotations
 
 import json
+import os
 import re
 from itertools import chain
 
@@ -17,6 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from famloom.llm.common import release_memory
+
+#: Spark runs a task per core, so the library must not start threads of its own.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 _DOUBLE_SPACE = re.compile(r"\s\s")
 _SUSPECT = (
     r"[\s\x0b\x1c-\x1f]{2}|\x00"
@@ -25,9 +31,11 @@ _SUSPECT = (
 #: Where a full stop or comma before white space may belong to a longer run of signs.
 _SIGNS = r"[^\pL\pN][.,][ \n]"
 #: Distinct words kept per Python worker; beyond it the store starts anew.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 400_000
 #: Text bytes cut into words at a time.
-WORD_SLICE = 12 << 20
+WORD_SLICE = 4 << 20
+#: Words given to the library at a time; its results are large objects.
+_BATCH = 16_384
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -55,18 +63,21 @@ class WordEncoder:
         """Row of each distinct word in the store, after adding the missing ones."""
         if len(self.words) > CACHED_WORDS:
             self._reset()
+        release_memory()
         place = pc.index_in(words, value_set=self.words)
         missing = words.filter(pc.is_null(place))
         rows = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(missing):
-            found = [
-                encoding.ids
-                for encoding in self.tokenizer.encode_batch_fast(
-                    missing.to_pylist(), add_special_tokens=False
+            pieces = []
+            for i in range(0, len(missing), _BATCH):
+                found = self.tokenizer.encode_batch_fast(
+                    missing.slice(i, _BATCH).to_pylist(), add_special_tokens=False
                 )
-            ]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+                ids = [encoding.ids for encoding in found]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                pieces.append((np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes))
+            flat = np.concatenate([ids for ids, _ in pieces])
+            sizes = np.concatenate([sizes for _, sizes in pieces])
             rows[rows < 0] = len(self.words) + np.arange(len(missing))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
