@@ -13,15 +13,16 @@ small sets agree register by register as often as large ones.  Five registers ma
    sets.
 3. Bands that now hold more than one component are unresolved: every member outside the
    band's largest component is estimated against all members, block by block inside
-   tasks, and what the estimate leaves is confirmed.  Pairs inside one component need no
-   look, whatever their number.
+   tasks.  Where the estimate leaves a component possible, the member's full set is
+   compared with those of the whole component, again by blocks, and only links come out.
+   Pairs inside one component need no look, whatever their number.
 
 So no link is lost between sets that share a band, and a pair at 0.75 misses all 51 bands
 with a chance of 1e-6.
 
-Null and empty texts have no shingle and link with nothing.  Rows with a null id take
-part, but are never the one that stays when another id exists.  Repeated rows are copies
-of each other.  An empty table gives no rows; other columns are ignored.
+Null and empty texts have no shingle and link with nothing.  Rows with a null id get the
+component of an equal set that has an id, else null, and link nothing themselves.
+Repeated rows are copies of each other; ids are taken to name one text.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ BANDS = REGISTERS // ROWS
 MANTISSA = 10
 #: Members of a band that are compared with its outsiders in one go.
 BLOCK = 2048
+#: Members of a component whose full sets are compared with its visitors in one go.
+SET_BLOCK = 512
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
@@ -74,10 +77,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, row of every word) for rows of bytes; words end at row ends."""
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, row of every word) for rows of bytes.
+
+    Words end at row ends and at the bytes that ``apart`` marks; A-Z count as a-z.
+    """
     space = np.ones(len(data) + 1, bool)
-    space[:-1] = _SPACE[data]
+    space[:-1] = apart[data]
     starts = ~space[:-1]
     starts[1:] &= space[:-2]
     inner = offsets[1:-1][offsets[1:-1] < len(data)]
@@ -268,23 +276,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, least_percent: int) -> DataFra
     return pairs.join(left, "a").join(right, "b").mapInArrow(_confirmed(least_percent), "a bigint, b bigint")
 
 
-def _outsiders(least: float):
-    """Estimate a band's outsiders against its members; rows come sorted by band and block."""
-
-    def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        codes, n = _codes(table.column("codes")), table.column("n").to_numpy()
-        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
-        visitor = table.column("visitor").to_numpy(zero_copy_only=False)
-        guests, members = np.flatnonzero(visitor), np.flatnonzero(~visitor)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for g in guests.tolist():
-            other = members[component[members] != component[g]]
-            fits = other[may_be_similar(codes[g], codes[other], n[g], n[other], least)]
-            out.append((np.minimum(ids[g], ids[fits]), np.maximum(ids[g], ids[fits])))
-        a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
-        b = np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64())], ["a", "b"])
+def _by_group(keys: list[str], work):
+    """Run ``work`` on all rows of each group; rows come sorted by the two keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -292,21 +285,71 @@ def _outsiders(least: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            band, block = batch.column("band").to_numpy(), batch.column("block").to_numpy()
-            edges = np.flatnonzero((band[1:] != band[:-1]) | (block[1:] != block[:-1])) + 1
+            one, two = (batch.column(k).to_numpy() for k in keys)
+            edges = np.flatnonzero((one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
             for start, stop in zip([0, *edges], [*edges, batch.num_rows]):
-                key = (band[start], block[start])
+                key = (one[start], two[start])
                 if held and key != last:
-                    yield compare(held)
+                    yield work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
                     held = []
                 held.append(batch.slice(start, stop - start))
                 last = key
         if held:
-            yield compare(held)
+            yield work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return run
 
 
+def _id_pairs(pairs: list[tuple[int, np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    sizes = [len(many) for _, many in pairs]
+    one = np.repeat(np.array([i for i, _ in pairs], np.int64), sizes)
+    two = np.concatenate([many for _, many in pairs]) if pairs else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names)
+
+
+def _outsiders(least: float):
+    """(visitor, component): components of a band that hold a member the visitor may be similar to."""
+
+    def compare(table: pa.RecordBatch) -> pa.RecordBatch:
+        codes, n = _codes(table.column("codes")), table.column("n").to_numpy()
+        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+        visitor = table.column("visitor").to_numpy(zero_copy_only=False)
+        members, found = np.flatnonzero(~visitor), []
+        for g in np.flatnonzero(visitor).tolist():
+            other = members[component[members] != component[g]]
+            fits = other[may_be_similar(codes[g], codes[other], n[g], n[other], least)]
+            found.append((ids[g], np.unique(component[fits])))
+        return _id_pairs(found, ["id", "target"])
+
+    return _by_group(["band", "block"], compare)
+
+
+def _linked_visitors(least_percent: int):
+    """(a, b): visitors and members of a component's block whose full sets are similar."""
+
+    def compare(table: pa.RecordBatch) -> pa.RecordBatch:
+        values, n = shingles(table.column("text"))
+        ends = np.cumsum(n)
+        ids = table.column("id").to_numpy()
+        visitor = table.column("visitor").to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(n)), n)
+        inside = ~visitor[owner]
+        order = np.argsort(values[inside], kind="stable")
+        pool, holder = values[inside][order], owner[inside][order]
+        found = []
+        for g in np.flatnonzero(visitor).tolist():
+            own = values[ends[g] - n[g] : ends[g]]
+            low, high = np.searchsorted(pool, own, "left"), np.searchsorted(pool, own, "right")
+            width = high - low
+            spots = np.arange(width.sum()) + np.repeat(low - np.cumsum(width) + width, width)
+            shared = np.bincount(holder[spots], minlength=len(n))
+            linked = (shared > 0) & (100 * shared >= least_percent * (n[g] + n - shared))
+            found.append((ids[g], ids[linked]))
+        return _id_pairs(found, ["a", "b"])
+
+    return _by_group(["target", "block"], compare)
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     one = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -320,22 +363,21 @@ def near_duplicates(docs: DataFrame, least_percent: int = 75) -> DataFrame:
         texts.mapInArrow(_sketch, "doc_id bigint, n bigint, set_a bigint, set_b bigint, codes binary")
     )
     same = ["n", "set_a", "set_b"]
-    first = sketched.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("id"))
-    # Registers follow from the set, so those of the row with the smallest id will do.
+    # Registers follow from the set, so those of any of its rows will do.
     sets = durable(
-        first.filter(F.col("id").isNotNull())
-        .join(
-            sketched.withColumnRenamed("doc_id", "id").dropDuplicates(["id"]).select("id", "codes"), "id"
-        )
+        sketched.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+        .groupBy(*same)
+        .agg(F.min("doc_id").alias("id"), F.first("codes").alias("codes"))
     )
     bands = durable(sets.select("id", "codes").mapInArrow(_bands, "id bigint, band bigint"))
-    heads = (
+    # Stored, so that the join has two plain shuffles, which adaptive execution can split.
+    heads = durable(
         bands.groupBy("band")
         .agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size"))
         .filter("size > 1")
     )
     shared = durable(bands.join(heads, "band"))
-    discard(bands)
+    discard(bands, heads)
 
     def sketches(side: str) -> DataFrame:
         return sets.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("codes").alias(f"codes_{side}"))
@@ -369,25 +411,45 @@ def near_duplicates(docs: DataFrame, least_percent: int = 75) -> DataFrame:
         "band", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), "id", "component",
         F.lit(True).alias("visitor"),
     )
-    late = (
+    targets = durable(
         inside.unionByName(guests)
         .join(sets.select("id", "n", "codes"), "id")
         .repartition("band", "block")
         .sortWithinPartitions("band", "block")
-        .mapInArrow(_outsiders(least), "a bigint, b bigint")
+        .mapInArrow(_outsiders(least), "id bigint, target bigint")
         .distinct()
     )
-    late = late.join(candidates, ["a", "b"], "left_anti")
-    more = durable(confirmed(late, texts, least_percent))
+    homes = (
+        sets.select("id")
+        .join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
+        .select("id", F.coalesce("component", "id").alias("target"))
+        .join(targets.select("target").distinct(), "target")
+    )
+    sizes = homes.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / F.lit(SET_BLOCK)).cast("int").alias("_blocks"))
+    members = homes.join(sizes, "target").select(
+        "target", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int").alias("block"), "id",
+        F.lit(False).alias("visitor"),
+    )
+    visits = targets.join(sizes, "target").select(
+        "target", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), "id",
+        F.lit(True).alias("visitor"),
+    )
+    more = durable(
+        members.unionByName(visits)
+        .join(texts.withColumnRenamed("doc_id", "id"), "id")
+        .repartition("target", "block")
+        .sortWithinPartitions("target", "block")
+        .mapInArrow(_linked_visitors(least_percent), "a bigint, b bigint")
+    )
     if not more.isEmpty():
         discard(parts)
         parts = durable(connected_components(_both_ways(links.unionByName(more))))
-    discard(shared, unresolved)
-    group = first.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select(
+    discard(shared, unresolved, targets)
+    group = sets.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select(
         *same, F.coalesce("component", "id").alias("component_id")
     )
     found = sketched.select("doc_id", *same)
-    full = found.filter("n > 0").join(group, same)
+    full = found.filter("n > 0").join(group, same, "left")
     lone = found.filter("n = 0").withColumn("component_id", F.col("doc_id"))
     return full.unionByName(lone).select(
         "doc_id",
