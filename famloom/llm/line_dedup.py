@@ -133,7 +133,7 @@ def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataF
         .alias("kept_text"),
         F.size(_lines(F.coalesce(F.col("_row.text"), F.lit("")))).cast("bigint").alias("n_lines"),
         F.coalesce(gone, F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce(F.size("runs"), F.lit(0)).cast("bigint").alias("n_runs"),
+        F.when(F.col("runs").isNull(), 0).otherwise(F.size("runs")).cast("bigint").alias("n_runs"),
     )
 
 
@@ -143,14 +143,21 @@ def digest_rows(cut: DataFrame) -> DataFrame:
         "_row.doc_id",
         "n_lines",
         "n_removed",
-        F.when(F.col("n_runs") < 0, 0).otherwise(F.col("n_runs")).alias("n_runs"),
+        "n_runs",
         F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with later copies of line runs deleted from the text; n_chars follows the text."""
+def drop_repeated_lines(
+    docs: DataFrame, min_lines: int = MIN_LINES, drop_emptied: bool = False
+) -> DataFrame:
+    """``docs`` with later copies of line runs deleted from the text; n_chars follows the text.
+
+    With ``drop_emptied``, rows all of whose lines were deleted go.
+    """
     cut = without_repeated_lines(docs, min_lines)
+    if drop_emptied:
+        cut = cut.filter(F.col("n_removed") < F.col("n_lines"))
     new = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
         length = F.length("kept_text").cast(docs.schema["n_chars"].dataType)

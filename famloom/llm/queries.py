@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from famloom.llm import (
+    decontaminate,
     exact_dedup,
     language_id,
     line_dedup,
@@ -14,10 +15,20 @@ from famloom.llm import (
     secrets,
     suffix_dedup,
     token_files,
+    warc,
 )
 from famloom.llm.common import table
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    path = token_files.new_folder(spark, "warc")
+    warc.write_archives(pages, path, min_bytes=0)
+    warc.build_index(spark, path)
+    records = warc.fetch(spark, path, warc.lookup(spark, path, pages))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = suffix_dedup.without_repeats(table(spark, folder, "documents"), span=200, keep="none")
     return suffix_dedup.digest_rows(cut)
@@ -31,6 +42,10 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"), keep="largest")
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pieces_of(
         table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
@@ -59,9 +74,11 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
     "op8_minhash": op8_minhash,

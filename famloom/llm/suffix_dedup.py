@@ -324,9 +324,12 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, keep: str = "first") -> Da
     every = durable(
         texts.mapInArrow(_segments(span), f"{_KEY}, anchor bigint, digest bigint, first bigint, last bigint")
     )
-    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor")
+    # Stored sides keep each join between two plain shuffles, which adaptive execution can split.
+    again = durable(
+        every.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor")
+    )
     shared = durable(every.join(again, "anchor"))
-    discard(every)
+    discard(every, again)
     place = F.struct("doc_id", "mark", "first", "last")
     kinds = durable(
         shared.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head"))
@@ -361,13 +364,17 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, keep: str = "first") -> Da
         .sortWithinPartitions("anchor", F.asc_nulls_first("doc_id"), "mark", "first")
         .mapInArrow(_matched(span, keep), f"{_KEY}, start bigint, end bigint")
     )
-    single = (
+    single = durable(
         contexts.filter("hot")
         .mapInArrow(_windows(span), f"{_KEY}, start bigint, one bigint, two bigint")
         .dropDuplicates(["doc_id", "mark", "start"])
     )
     spot = F.struct("doc_id", "mark", "start")
-    met = single.groupBy("one", "two").agg(F.count(F.lit(1)).alias("_n"), F.min(spot).alias("_head")).filter("_n > 1")
+    met = durable(
+        single.groupBy("one", "two")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(spot).alias("_head"))
+        .filter("_n > 1")
+    )
     hits = single.join(met, ["one", "two"])
     if keep == "first":
         hits = hits.filter(~spot.eqNullSafe(F.col("_head")))
