@@ -11,7 +11,8 @@ is its posterior under equal priors.
 
 Training reads labelled documents that the caller allows, at most about ``SAMPLE_DOCS``
 per language, chosen by a hash of the id -- a documented bound of the model, as are
-``MAX_CONTEXTS`` three-byte contexts (the most frequent ones over all languages).
+``MAX_CONTEXTS`` three-byte contexts (the most frequent ones over all languages) and
+``MAX_LANGUAGES`` labels.
 
 A null text, or one without a letter, is ``und`` with score 0, and so is every text if
 there is no training document.  Repeated rows give repeated results, an empty table none;
@@ -31,6 +32,7 @@ from famloom.llm.common import slices, text_bytes
 
 SAMPLE_DOCS = 3000
 MAX_CONTEXTS = 8192
+MAX_LANGUAGES = 256
 ORDER = 3
 #: Bytes before a text's first.
 _START = 10
@@ -81,11 +83,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
-    """About ``per_language`` rows of each language by a hash of doc_id; all if there are fewer."""
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    """About ``per_language`` rows of each language by a hash of doc_id; all if there are fewer.
+
+    Only the ``MAX_LANGUAGES`` most frequent labels are learned, so their counts are a
+    literal and no text is moved to its label.
+    """
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not sizes:
+        return labelled
     share = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    wanted = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("_n"))
-    return labelled.join(sizes, "lang").filter(share < wanted).drop("_n")
+    wanted = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, per_language / r.n))])
+    return labelled.filter(share < F.try_element_at(wanted, F.col("lang")))
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> Model | None:
