@@ -16,7 +16,8 @@ TOP_LEVEL_COLOURS = {
 }
 
 _RECORD = "array<struct<ids:string,labels:string,parents:string,counts:int,depth:int>>"
-_QUOTED_BREAK = r'\r?\n(?=(?:[^"]*"[^"]*")*[^"]*$)'
+#: Stand for separators outside quotes while a blob is parsed; blobs lose these two signs.
+_CELL, _LINE = "\x01", "\x02"
 
 
 def top_level(path: Column) -> Column:
@@ -40,24 +41,34 @@ def lenient_count(text: Column) -> Column:
     return F.coalesce(text.try_cast("double").try_cast("int"), F.lit(0))
 
 
+def _marked(text: Column) -> Column:
+    """The text without quoting, and with marks for the separators outside quotes.
+
+    Cut at quotes, every second piece is quoted.  An empty piece between two quoted ones is
+    a doubled quote.  Each piece is looked at once.
+    """
+    pieces = F.split(F.translate(text, _CELL + _LINE, ""), '"', -1)
+
+    def joined(cut: Column) -> Column:
+        # ``cut`` is bound once, so the text is not split again for every piece.
+        return let(F.size(cut), lambda n: F.array_join(F.transform(cut, lambda p, i: piece(p, i, n)), ""))
+
+    def piece(p: Column, i: Column, n: Column) -> Column:
+        return (
+            F.when(i % 2 == 1, p)
+            .when((i > 0) & (i < n - 1) & (p == ""), F.lit('"'))
+            .otherwise(F.translate(F.replace(p, F.lit("\r\n"), F.lit("\n")), ",\n", _CELL + _LINE))
+        )
+
+    return let(pieces, joined)
+
+
 def _csv_lines(text: Column) -> Column:
-    split = F.when(text.contains('"'), F.split(text, _QUOTED_BREAK)).otherwise(
-        F.split(text, r"\r?\n")
-    )
-    return F.filter(split, lambda line: line != "")
+    return F.filter(F.split(_marked(text), _LINE, -1), lambda line: line != "")
 
 
 def _csv_fields(line: Column) -> Column:
-    raw = F.regexp_extract_all(
-        F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)
-    )
-    return F.transform(
-        raw,
-        lambda field: F.when(
-            field.startswith('"'),
-            F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"')),
-        ).otherwise(field),
-    )
+    return F.split(line, _CELL, -1)
 
 
 def _records_under(header: Column, lines: Column) -> Column:

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from famloom.functions.ids import from_sortable_text, sortable_text
-from famloom.operators.skew import HOT_ROWS, global_position, hot_keys, salted_lookup
-from famloom.session import durable
-
-MAX_ROUNDS = 60
+from famloom.operators.skew import global_position, lookup
+from famloom.session import discard, durable
 
 
 def symmetric_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
     """Both directions of every (fam1, fam2, weight); the last weight of a repeated edge wins.
 
-    Node ids become text that sorts numerically (``src``, ``dst``).
+    Without ``order`` there is no last one, so an edge repeated with another weight fails
+    the job.  Node ids become text that sorts numerically (``src``, ``dst``).
     """
     kept = [] if order is None else [F.col(order).alias("_order")]
     text = edges.select(
@@ -26,43 +25,40 @@ def symmetric_edges(edges: DataFrame, order: str | None = None) -> DataFrame:
     both = text.unionByName(
         text.withColumns({"src": F.col("dst"), "dst": F.col("src")})
     )
-    last = F.max_by("weight", "_order") if order is not None else F.max("weight")
+    only = F.when(F.min("weight") == F.max("weight"), F.max("weight")).otherwise(
+        F.raise_error(F.lit("an edge has several weights and no order says which is last"))
+    )
+    last = F.max_by("weight", "_order") if order is not None else only
     return both.groupBy("src", "dst").agg(last.alias("weight"))
 
 
-def _with_smallest_neighbour(edges: DataFrame, hubs: bool) -> DataFrame:
+def _with_smallest_neighbour(edges: DataFrame) -> DataFrame:
     """(src, dst, low): low is the smallest of src and its neighbours.
 
-    Without hubs every node has fewer than ``HOT_ROWS`` edges and a window does; with
-    hubs the minima are aggregated first and looked up by spread-out edges.
+    Minima are partial sums before the shuffle and are looked up again, so a hub's edges
+    never meet in one task.
     """
-    if not hubs:
-        low = F.min("dst").over(Window.partitionBy("src"))
-        return edges.withColumn("low", F.least(low, F.col("src")))
-    lows = edges.groupBy("src").agg(
-        F.least(F.min("dst"), F.min("src")).alias("low"), F.count(F.lit(1)).alias("_n")
-    )
-    hot = hot_keys(lows, ["src"], weight="_n")
-    return salted_lookup(edges, lows.drop("_n"), ["src"], hot=hot, how="inner", spread=["dst"])
+    lows = edges.groupBy("src").agg(F.least(F.min("dst"), F.min("src")).alias("low"))
+    return lookup(edges, lows, ["src"], "inner")
 
 
-def _large_star(edges: DataFrame, hubs: bool) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour to the smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return (
-        _with_smallest_neighbour(both, hubs)
+        _with_smallest_neighbour(both)
         .filter(F.col("dst") > F.col("src"))
         .select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     )
 
 
-def _small_star(edges: DataFrame, hubs: bool) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them.
 
     Edges come from :func:`_large_star`, so ``src`` is the larger end.
     """
     return (
-        _with_smallest_neighbour(edges, hubs)
+        _with_smallest_neighbour(edges)
         .select(
             F.when(F.col("dst") == F.col("low"), F.col("src")).otherwise(F.col("dst")).alias("src"),
             F.col("low").alias("dst"),
@@ -89,21 +85,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of symmetric text edges; component = smallest node.
 
     Alternates the large-star and small-star steps of Kiveris et al. (SoCC 2014);
-    each round is stored durably, and once a node could have ``HOT_ROWS`` edges the
-    stars of hub nodes are spread over tasks.
+    each round is stored and the one before it deleted.  Rounds go on until one changes
+    nothing: the smallest node of a component only ever gains neighbours, so that comes.
     """
     nodes = edges.select(F.col("src").alias("node")).distinct()
     current, seen = _stored(
         edges.filter(F.col("src") > F.col("dst")).select("src", "dst").distinct()
     )
-    for _ in range(MAX_ROUNDS):
-        hubs = 2 * seen[0] >= HOT_ROWS
-        current, now = _stored(_small_star(_large_star(current, hubs), hubs))
+    while True:
+        before = current
+        middle = durable(_large_star(before))
+        current, now = _stored(_small_star(middle))
+        discard(before, middle)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("connected components did not settle")
     links = current.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return nodes.join(links, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
@@ -132,9 +128,8 @@ def cluster_summaries(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         from_sortable_text(F.col("_rep")).alias("family_rep_id"),
         "family_size",
     )
-    hot = hot_keys(named, ["component"], weight="family_size")
-    members = salted_lookup(
-        components, named.select("component", "cluster_id"), ["component"], hot=hot, how="inner"
+    members = lookup(
+        components, named.select("component", "cluster_id"), ["component"], "inner"
     ).select("cluster_id", from_sortable_text(F.col("node")).alias("family_id"))
     return named.drop("component"), members
 

@@ -12,8 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from famloom.operators.skew import HOT_ROWS, hot_keys, salted_lookup
-from famloom.session import durable
+from famloom.session import discard, durable
 
 
 def _oriented(pairs: DataFrame, sizes: DataFrame, order: str) -> DataFrame:
@@ -47,7 +46,6 @@ def redundant_families(pairs: DataFrame, sizes: DataFrame, order: str = "row_no"
     value down, so sorting by ``dropped_at`` descending gives the dropping order.
     """
     edges = durable(_oriented(pairs, sizes, order))
-    hot = durable(hot_keys(edges, ["winner"])) if edges.count() >= HOT_ROWS else None
     # "latest": no later than this; "surely": dropped at this time or later, null if unknown.
     state = durable(
         edges.groupBy("loser").agg(
@@ -61,10 +59,7 @@ def redundant_families(pairs: DataFrame, sizes: DataFrame, order: str = "row_no"
             F.col("latest").alias("_latest"),
             F.col("surely").alias("_surely"),
         )
-        if hot is None:
-            judged = edges.join(winners, "winner", "left")
-        else:
-            judged = salted_lookup(edges, winners, ["winner"], hot=hot, spread=["loser", "when"])
+        judged = edges.join(winners, "winner", "left")
         itself = F.col("winner") == F.col("loser")
         present = itself | F.col("_latest").isNull() | (F.col("_latest") < F.col("when"))
         gone = ~itself & F.coalesce(F.col("_surely") > F.col("when"), F.lit(False))
@@ -77,6 +72,7 @@ def redundant_families(pairs: DataFrame, sizes: DataFrame, order: str = "row_no"
             )
         )
         open_families = next_state.filter(~F.col("latest").eqNullSafe(F.col("surely")))
+        discard(state)
         state = next_state
         if open_families.isEmpty():
             break

@@ -7,20 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from famloom.functions.ids import base_id, file_stem, with_id_basename
-from famloom.operators.skew import flag_members, hot_keys, salted_lookup
+from famloom.operators.skew import flag_members, lookup
 from famloom.schemas import require_columns
+from famloom.session import durable
 
 
 def latest_rows(df: DataFrame, key: str, order: str | None) -> DataFrame:
-    """One row per key: the last by ``order``; without an order keys must be unique."""
-    if order is None:
-        return df
+    """One row per key: the last by ``order``; without an order a repeated key fails the job."""
     rest = [c for c in df.columns if c != key]
-    return (
-        df.groupBy(key)
-        .agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"))
-        .select(key, "_last.*")
-    )
+    if order is not None:
+        row = F.max_by(F.struct(*rest), F.col(order))
+    else:
+        many = F.concat(F.lit(f"{key} occurs more than once: "), F.first(key).cast("string"))
+        row = F.when(F.count(F.lit(1)) > 1, F.raise_error(many)).otherwise(F.first(F.struct(*rest)))
+    return df.groupBy(key).agg(row.alias("_last")).select(key, "_last.*")
 
 
 def remove_ids(df: DataFrame, ids: DataFrame, column: str | int) -> DataFrame:
@@ -46,7 +46,7 @@ def map_ids(
 ) -> DataFrame:
     """Replace ids by ``new_id`` where ``old_id`` matches; others pass through.
 
-    ``order`` picks the last of repeated mapping rows.
+    ``order`` picks the last of repeated mapping rows; without it they fail the job.
     """
     name = df.columns[column] if isinstance(column, int) else column
     require_columns(df, [name])
@@ -54,7 +54,7 @@ def map_ids(
     unique = latest_rows(mapping, "old_id", order).select(
         F.col("old_id").cast(kind).alias(name), F.col("new_id").cast(kind).alias("_new_id")
     )
-    joined = salted_lookup(df, unique, [name])
+    joined = lookup(df, unique, [name])
     return joined.withColumn(name, F.coalesce("_new_id", name)).select(*df.columns)
 
 
@@ -62,9 +62,15 @@ def map_edge_ids(
     edges: DataFrame, mapping: DataFrame, ends: Sequence[str] = ("fam1", "fam2"),
     order: str | None = None,
 ) -> DataFrame:
-    """Translate both ends of every edge."""
+    """Translate both ends of every edge; the edges are read once."""
+    kind = dict(edges.dtypes)
+    latest = durable(latest_rows(mapping, "old_id", order).select("old_id", "new_id"))
     for end in ends:
-        edges = map_ids(edges, mapping, end, order)
+        require_columns(edges, [end])
+        new = latest.select(
+            F.col("old_id").cast(kind[end]).alias(end), F.col("new_id").cast(kind[end]).alias("_new_id")
+        )
+        edges = edges.join(new, end, "left").withColumn(end, F.coalesce("_new_id", end)).select(*edges.columns)
     return edges
 
 
@@ -107,8 +113,7 @@ def non_singletons(clusters: DataFrame) -> DataFrame:
         .filter("_n > 1")
         .select("cluster_rep")
     )
-    hot = hot_keys(clusters, ["cluster_rep"])
-    flagged = salted_lookup(clusters, big, ["cluster_rep"], hot=hot, how="inner")
+    flagged = lookup(clusters, big, ["cluster_rep"], "inner")
     return flagged.select(*clusters.columns)
 
 
@@ -147,7 +152,7 @@ def file_plan(
             F.col("old_id").cast("string").alias("stem"),
             F.col("new_id").cast("string").alias("_new_stem"),
         )
-        plan = plan.join(names, "stem", "left")
+        plan = lookup(plan, names, ["stem"])
         extension = F.expr("substring(file_name, length(stem) + 1)")
         new_name = F.when(~F.col("_drop"), F.concat("_new_stem", extension))
     return plan.withColumn("new_name", new_name).select(

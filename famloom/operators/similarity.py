@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from famloom.functions.ranges import region_hull
 from famloom.operators.intervals import coverage_totals
-from famloom.operators.skew import hot_keys, salted_lookup
+from famloom.operators.skew import lookup
 from famloom.session import durable
 
 _SUB_BUCKETS = 256
@@ -36,8 +36,7 @@ def _ranked(sets: DataFrame, family: str, element: str) -> DataFrame:
     buckets and no set is ever sorted as a whole.
     """
     counted = sets.groupBy(element).agg(F.count(F.lit(1)).alias("_freq"))
-    hot = hot_keys(counted, [element], weight="_freq")
-    tagged = salted_lookup(sets, counted, [element], hot=hot, how="inner", spread=[family])
+    tagged = lookup(sets, counted, [element], "inner")
     class_ = F.floor(F.log2("_freq")).cast("int")
     slice_ = F.pmod(F.xxhash64(element), F.lit(_SUB_BUCKETS)).cast("int")
     tagged = tagged.withColumn(
@@ -70,12 +69,60 @@ def similar_sets(
 ) -> DataFrame:
     """All pairs of families whose element sets have Jaccard >= ``threshold``.
 
-    Result: ``fam_a`` < ``fam_b``, their sizes, ``shared`` and ``jaccard``.  The ranked
-    elements are stored once, since candidates and counts both read them.
+    Result: ``fam_a`` < ``fam_b``, their sizes, ``shared`` and ``jaccard``.  Families with
+    equal sets stand behind the smallest of them while candidates are found and counted,
+    so that work follows the number of distinct sets; pairs are expanded at the end.
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
-    sets = members.select(family, element).distinct()
+    sets = durable(members.select(family, element).filter(F.col(element).isNotNull()).distinct())
+    classes = durable(_equal_sets(sets, family, element))
+    heads = classes.select(F.col("_head").alias(family)).distinct()
+    pairs = _similar_heads(sets.join(heads, family, "left_semi"), threshold, family, element)
+    return _expanded(pairs, classes, family)
+
+
+def _equal_sets(sets: DataFrame, family: str, element: str) -> DataFrame:
+    """(family, _n, _head): set size and the smallest family with the same set.
+
+    Sets are told apart by size and two independent 64-bit digests.
+    """
+    marks = durable(
+        sets.groupBy(family).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.bit_xor(F.xxhash64(element)).alias("_one"),
+            F.bit_xor(F.xxhash64(F.lit("second"), element)).alias("_two"),
+        )
+    )
+    heads = marks.groupBy("_n", "_one", "_two").agg(F.min(family).alias("_head"))
+    return lookup(marks, heads, ["_n", "_one", "_two"], "inner").select(family, "_n", "_head")
+
+
+def _expanded(pairs: DataFrame, classes: DataFrame, family: str) -> DataFrame:
+    """Pairs of all families from pairs of heads, and the pairs inside each class."""
+    one = classes.select(F.col("_head").alias("_s"), F.col(family).alias("_x"))
+    two = classes.select(F.col("_head").alias("_l"), F.col(family).alias("_y"))
+    shared = classes.groupBy("_head", "_n").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
+    n = F.col("_n")
+    equal = shared.select(
+        F.col("_head").alias("_s"), F.col("_head").alias("_l"), n.alias("_s_size"), n.alias("_l_size"),
+        n.alias("shared"), F.lit(1.0).alias("jaccard"),
+    )
+    every = pairs.unionByName(equal).join(one, "_s").join(two, "_l")
+    flip = F.col("_x") > F.col("_y")
+    return every.filter((F.col("_s") != F.col("_l")) | (F.col("_x") < F.col("_y"))).select(
+        F.when(flip, F.col("_y")).otherwise(F.col("_x")).alias("fam_a"),
+        F.when(flip, F.col("_x")).otherwise(F.col("_y")).alias("fam_b"),
+        F.when(flip, F.col("_l_size")).otherwise(F.col("_s_size")).alias("size_a"),
+        F.when(flip, F.col("_s_size")).otherwise(F.col("_l_size")).alias("size_b"),
+        "shared",
+        "jaccard",
+    )
+
+
+def _similar_heads(sets: DataFrame, threshold: float, family: str, element: str) -> DataFrame:
+    """(_s, _l, their sizes, shared, jaccard) of different sets; the ranked elements are stored
+    once, since candidates and counts both read them."""
     ranked = durable(_ranked(sets, family, element))
     size = F.col("_size")
     base = math.log(1.0 / threshold) if threshold < 1.0 else None
@@ -122,15 +169,7 @@ def similar_sets(
         .agg(F.count(F.lit(1)).alias("shared"))
     )
     jaccard = F.col("shared") / (F.col("_s_size") + F.col("_l_size") - F.col("shared"))
-    flip = F.col("_s") > F.col("_l")
-    return shared.filter(jaccard >= threshold).select(
-        F.when(flip, F.col("_l")).otherwise(F.col("_s")).alias("fam_a"),
-        F.when(flip, F.col("_s")).otherwise(F.col("_l")).alias("fam_b"),
-        F.when(flip, F.col("_l_size")).otherwise(F.col("_s_size")).alias("size_a"),
-        F.when(flip, F.col("_s_size")).otherwise(F.col("_l_size")).alias("size_b"),
-        "shared",
-        jaccard.alias("jaccard"),
-    )
+    return shared.filter(jaccard >= threshold).withColumn("jaccard", jaccard)
 
 
 def residue_similarity(pairs: DataFrame, members: DataFrame, meta: DataFrame) -> DataFrame:

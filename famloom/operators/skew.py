@@ -8,94 +8,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from famloom.session import durable
 
-HOT_KEYS = 512
-HOT_ROWS = 200_000
-SALTS = 128
 
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join ``left`` to the one-row-per-key ``right``, reading ``left`` once.
 
-def hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    weight: str | None = None,
-    limit: int = HOT_KEYS,
-    min_rows: int | None = None,
-) -> DataFrame:
-    """The heaviest keys of ``df``: at most ``limit`` rows, so always broadcastable.
-
-    Keys left out hold at most ``1/limit`` of the rows each.  ``weight`` names a
-    column that already counts rows per key; otherwise rows are counted here, with
-    partial counts before the shuffle.  Keys below ``min_rows`` (``HOT_ROWS``) are
-    never hot.
-    """
-    min_rows = HOT_ROWS if min_rows is None else min_rows
-    if weight is None:
-        counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight"))
-    else:
-        counted = df.select(*keys, F.col(weight).alias("_weight"))
-    return (
-        counted.filter(F.col("_weight") >= min_rows)
-        .orderBy(F.col("_weight").desc(), *keys)
-        .limit(limit)
-        .select(*keys)
-    )
-
-
-def salted_lookup(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    hot: DataFrame | None = None,
-    how: str = "left",
-    spread: Sequence[str] | None = None,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``left`` to the one-row-per-key ``right`` with hot left keys spread out.
-
-    Rows of a hot key are spread over ``salts`` partitions by a hash of their task
-    and the ``spread`` columns (all other columns by default), and the matching
-    ``right`` row is repeated once per salt.  Rows with a null key match nothing and
-    are spread the same way.  Other keys join as usual.
+    One rule at every size: a plain equi-join.  ``right`` is stored first, so both sides
+    are scans or plain shuffles; then adaptive execution sees their true sizes,
+    broadcasts a small ``right``, and splits the partitions of hot (or null) left keys,
+    which it cannot where a grouping on the same key feeds the join.
     """
-    keys = list(keys)
-    if hot is None:
-        hot = hot_keys(left, keys)
-    flags = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))
-    spread = list(spread) if spread else [c for c in left.columns if c not in keys]
-    mixed = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in spread])
-    noise = F.pmod(mixed, F.lit(salts)).cast("int")
-    scattered = F.coalesce(F.col("_hot"), F.lit(False))
-    for key in keys:
-        scattered = scattered | F.col(key).isNull()
-    salted_left = (
-        left.join(flags, keys, "left")
-        .withColumn("_salt", F.when(scattered, noise).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_right = (
-        right.join(flags, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    )
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(durable(right), list(keys), how)
 
 
-def flag_members(
-    left: DataFrame,
-    ids: DataFrame,
-    key: str,
-    flag: str,
-    unique: bool = False,
-) -> DataFrame:
-    """Add a boolean column: does ``left[key]`` occur in the one-column table ``ids``?
-
-    ``unique`` says that ``left`` holds each key about once, so no key can be hot.
-    """
+def flag_members(left: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
+    """Add a boolean column: does ``left[key]`` occur in the one-column table ``ids``?"""
     found = (
         ids.select(F.col(ids.columns[0]).alias(key)).distinct().withColumn(flag, F.lit(True))
     )
-    joined = left.join(found, key, "left") if unique else salted_lookup(left, found, [key])
-    return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).select(
+    return lookup(left, found, [key]).withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).select(
         *[c for c in left.columns if c != flag], flag
     )
 
@@ -125,3 +55,25 @@ def global_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFr
         .withColumn(name, (F.col("_offset") + local + 1).cast("bigint"))
         .drop("_mid", "_part", "_offset")
     )
+
+
+def group_position(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
+) -> DataFrame:
+    """Number rows 1..n within each key in ``order``; no key's rows meet in one task.
+
+    Positions over the whole table follow (keys, order); a group's first one is taken off.
+    """
+    placed = global_position(df, [*[F.col(k) for k in keys], *order], "_global")
+    firsts = durable(placed.groupBy(*keys).agg(F.min("_global").alias("_first"))).select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], "_first"
+    )
+    same = [placed[k].eqNullSafe(firsts[f"_key_{k}"]) for k in keys]
+    condition = same[0]
+    for other in same[1:]:
+        condition = condition & other
+    return (
+        placed.join(firsts, condition)
+        .withColumn(name, F.col("_global") - F.col("_first") + 1)
+        .select(*df.columns, name)
+    )

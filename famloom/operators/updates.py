@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from famloom.operators.remap import latest_rows, reconcile_ids
 from famloom.schemas import add_missing_columns
+from famloom.session import durable
 
 
 def update_by_id(
@@ -19,7 +20,7 @@ def update_by_id(
 ) -> DataFrame:
     """Overwrite ``columns`` where ``changes`` has a row for the id; others keep theirs.
 
-    ``order`` picks the last of repeated change rows.
+    ``order`` picks the last of repeated change rows; without it they fail the job.
     """
     latest = latest_rows(changes, key, order).select(
         key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_changed")
@@ -52,15 +53,19 @@ def attach_all_blobs(
     """Strict policy: every file needs a row, and every row a file unless allowed.
 
     ``blobs`` has the key and ``content``.  The check runs before anything is built
-    and reports at most 20 ids in its message.
+    gives the number of problems and the first 20 of them in its message;
+    :func:`famloom.operators.remap.reconcile_ids` lists them all.
     """
     problems = reconcile_ids(families, blobs, key)
     if allow_missing:
         problems = problems.filter("problem = 'extra'")
+    problems = durable(problems)
     shown = problems.orderBy("problem", key).limit(20).collect()
     if shown:
         listed = ", ".join(f"{row['problem']} {row[key]}" for row in shown)
-        raise ValueError(f"family ids and files do not match: {listed}")
+        counts = problems.groupBy("problem").count().orderBy("problem").collect()
+        total = ", ".join(f"{row['count']} {row['problem']}" for row in counts)
+        raise ValueError(f"family ids and files do not match ({total}): {listed}")
     changes = blobs.select(key, F.col("content").alias(column))
     return update_by_id(families, changes, key, [column])
 
@@ -68,8 +73,11 @@ def attach_all_blobs(
 def attach_named_blobs(
     families: DataFrame, blobs: DataFrame, name_column: str, column: str
 ) -> DataFrame:
-    """By file name: only rows naming a readable, non-empty file change."""
-    usable = blobs.filter(F.length("content") > 0).select(
+    """By file name: only rows naming a readable, non-empty file change.
+
+    A file name that occurs twice fails the job.
+    """
+    usable = latest_rows(blobs.select("file_name", "content"), "file_name", None).filter(F.length("content") > 0).select(
         F.col("file_name").alias(name_column), F.col("content").alias("_content")
     )
     joined = families.join(usable, name_column, "left")
@@ -79,8 +87,11 @@ def attach_named_blobs(
 def attach_missing_blobs(
     families: DataFrame, blobs: DataFrame, key: str, name_column: str, column: str
 ) -> DataFrame:
-    """Fill-in policy: a row changes only while its file name or blob is still null."""
-    new = blobs.select(
+    """Fill-in policy: a row changes only while its file name or blob is still null.
+
+    A key with two files fails the job.
+    """
+    new = latest_rows(blobs.select(key, "file_name", "content"), key, None).select(
         key, F.col("file_name").alias("_name"), F.col("content").alias("_content")
     )
     done = F.col(name_column).isNotNull() & F.col(column).isNotNull()

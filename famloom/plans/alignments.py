@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from famloom.functions.sequences import feature_document, letters_upper, trimmed_record
-from famloom.operators.skew import salted_lookup
 
 
 def trim_alignments(
@@ -17,7 +16,7 @@ def trim_alignments(
     family_id, mask.  A family without a mask, a row of another length than its
     mask, or an unreadable header fails the job.
     """
-    joined = salted_lookup(records, masks, ["family_id"], spread=["header", "sequence"])
+    joined = records.join(masks, "family_id", "left")
     mask = F.coalesce(
         "mask", F.raise_error(F.concat(F.lit("no mask for family "), F.col("family_id")))
     )

@@ -16,8 +16,9 @@ from famloom.functions.ids import chunk_name
 from famloom.functions.ranges import merged_length, region_segments
 from famloom.functions.scores import percentage, relative_increase
 from famloom.operators.intervals import covered_length, coverage_totals, subtract_intervals
-from famloom.operators.skew import global_position, hot_keys, salted_lookup
+from famloom.operators.skew import global_position, group_position
 
+#: Hits in one document; further ones continue in the protein's next part.
 HITS_PER_CELL = 100_000
 
 
@@ -89,41 +90,48 @@ def exclusive_regions(hits1: DataFrame, hits2: DataFrame, order: str) -> DataFra
     )
 
 
-def append_annotations(
-    proteins: DataFrame, hits: DataFrame, order: str = "line_order", per_cell: int = HITS_PER_CELL
-) -> DataFrame:
-    """Replace the ``m`` hits in each protein's document by its ``hits``, in order.
+def annotation_hits(hits: DataFrame, order: str = "line_order") -> DataFrame:
+    """Long form: protein, hit_no from 1 in ``order``, and the hit's fields.
 
     Hits have target, query, i_evalue, score, ali_from, ali_to and the order column.
-    A document holds about ``per_cell`` hits; a protein with more continues in
-    further rows (``part`` 1, 2, ... of ``n_parts``) holding only ``m`` hits, so no
-    task gathers all hits of a hot protein.
     """
-    counts = hits.groupBy("target").agg(F.count(F.lit(1)).alias("_n"))
-    large = counts.filter(F.col("_n") > per_cell)
-    hot = hot_keys(large, ["target"], weight="_n")
-    split = salted_lookup(
-        hits,
-        large.select("target", F.ceil(F.col("_n") / per_cell).cast("int").alias("n_parts")),
-        ["target"],
-        hot=hot,
-    ).withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
-    part = F.pmod(F.xxhash64(order), F.col("n_parts")).cast("int")
-    entry = F.struct(
-        F.col(order).alias("order"),
+    rest = ["query", "i_evalue", "score", "ali_from", "ali_to"]
+    ties = [F.col(c) for c in (order, *rest)]
+    return group_position(hits.select("target", order, *rest), ["target"], ties, "hit_no").select(
+        F.col("target").alias("protein"),
+        "hit_no",
         F.col("query").alias("family"),
         F.col("i_evalue").alias("evalue"),
         "score",
         "ali_from",
         "ali_to",
     )
+
+
+def append_annotations(
+    proteins: DataFrame, hits: DataFrame, order: str = "line_order", per_cell: int = HITS_PER_CELL
+) -> DataFrame:
+    """Replace the ``m`` hits in each protein's document by its ``hits``, in order.
+
+    The documents are a layout of :func:`annotation_hits`: part (hit_no - 1) div
+    ``per_cell`` of ``n_parts`` holds the hits of that range.  Part 0 is the protein's own
+    document and always there; further parts hold only ``m`` hits.
+    """
+    numbered = annotation_hits(hits, order)
+    entry = F.struct(
+        F.col("hit_no").alias("order"), "family", "evalue", "score", "ali_from", "ali_to"
+    )
+    part = F.floor((F.col("hit_no") - 1) / per_cell).cast("int")
     grouped = (
-        split.withColumn("part", part)
-        .groupBy(F.col("target").alias("protein"), "part")
-        .agg(F.array_sort(F.collect_list(entry)).alias("_hits"), F.max("n_parts").alias("n_parts"))
+        numbered.withColumn("part", part)
+        .groupBy("protein", "part")
+        .agg(F.array_sort(F.collect_list(entry)).alias("_hits"))
     )
-    joined = proteins.join(grouped, "protein", "left").withColumns(
-        {"part": F.coalesce("part", F.lit(0)), "n_parts": F.coalesce("n_parts", F.lit(1))}
+    counts = grouped.groupBy("protein").agg((F.max("part") + 1).alias("n_parts"))
+    joined = (
+        proteins.join(grouped, "protein", "left")
+        .join(counts, "protein", "left")
+        .withColumns({"part": F.coalesce("part", F.lit(0)), "n_parts": F.coalesce("n_parts", F.lit(1))})
     )
     base = F.when(F.col("part") == 0, F.col("metadata")).otherwise(F.lit("{}"))
     return joined.select(

@@ -56,7 +56,7 @@ def length_distribution(
 
     ``families`` has family_id and the ``value`` column (length or size).
     """
-    flagged = flag_members(families, annotated_ids, "family_id", "_annotated", unique=True)
+    flagged = flag_members(families, annotated_ids, "family_id", "_annotated")
 
     def by_group(short: int, medium: int, long: int):
         return (

@@ -60,8 +60,8 @@ def stars_from_lists(
     ``sizes``: id, family_size; ``scores``: id, length, plddt.  Only families in both count.
     """
     joined = scores.join(sizes, "id")
-    flagged = flag_members(joined, model_ids, "id", "_in_models", unique=True)
-    flagged = flag_members(flagged, fold_ids, "id", "_in_folds", unique=True)
+    flagged = flag_members(joined, model_ids, "id", "_in_models")
+    flagged = flag_members(flagged, fold_ids, "id", "_in_folds")
     return flagged.select(
         F.col("id").alias("family_id"),
         quality_stars(F.col("plddt"), F.col("family_size"), F.col("length")).alias("quality_stars"),

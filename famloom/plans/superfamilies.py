@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from famloom.functions.ids import sort_key, split_ids
 from famloom.operators.graph import cluster_summaries, singleton_ids, symmetric_edges
-from famloom.operators.skew import flag_members
+from famloom.operators.skew import flag_members, group_position
 from famloom.schemas import require_columns
 from famloom.session import durable
 
@@ -52,26 +52,37 @@ class Superfamilies:
         )
 
     def report(self, ids_per_row: int = IDS_PER_ROW) -> DataFrame:
-        """Clusters with their ids in one ``;``-joined cell.
+        """Clusters with their ids in one ``;``-joined cell, in order.
 
-        A cluster with more than ``ids_per_row`` families is written as several
-        rows, numbered in ``part``; together they list every family.
+        Row ``part`` of a cluster lists its families number part * ``ids_per_row`` + 1 and
+        following; read by part, the cells are the sorted list.
         """
-        sized = self.members.join(self.clusters, "cluster_id")
-        parts = F.ceil(F.col("family_size") / ids_per_row).cast("int")
-        part = F.pmod(F.xxhash64("family_id"), parts).cast("int")
+        placed = group_position(self.members, ["cluster_id"], [sort_key(F.col("family_id"))], "_n")
         ids = F.array_sort(F.collect_list(sort_key(F.col("family_id"))))
-        return (
-            sized.withColumn("part", part)
-            .groupBy("cluster_id", "family_rep_id", "family_size", "part")
+        cells = (
+            placed.withColumn("part", F.floor((F.col("_n") - 1) / ids_per_row).cast("int"))
+            .groupBy("cluster_id", "part")
             .agg(F.array_join(F.transform(ids, lambda k: k["text"]), ";").alias("family_ids"))
         )
+        return cells.join(self.clusters, "cluster_id").select(
+            "cluster_id", "family_rep_id", "family_size", "part", "family_ids"
+        )
+
+
+def singletons(
+    edges: DataFrame, first_id: int, last_id: int, order: str | None = None
+) -> DataFrame:
+    """Ids of the range on no edge; needs no components."""
+    return singleton_ids(symmetric_edges(edges, order), first_id, last_id)
 
 
 def build_superfamilies(
     edges: DataFrame, first_id: int, last_id: int, order: str | None = None
 ) -> Superfamilies:
-    """Connected components plus a singleton for every id of the range on no edge."""
+    """Connected components plus a singleton for every id of the range on no edge.
+
+    Clusters and members are stored, since every report reads them.
+    """
     symmetric = durable(symmetric_edges(edges, order))
     clusters, members = cluster_summaries(symmetric)
     alone = singleton_ids(symmetric, first_id, last_id)
@@ -84,8 +95,8 @@ def build_superfamilies(
         F.lit(1).cast("bigint").alias("family_size"),
     )
     return Superfamilies(
-        clusters=clusters.unionByName(singles),
-        members=members.unionByName(named),
+        clusters=durable(clusters.unionByName(singles)),
+        members=durable(members.unionByName(named)),
         singletons=alone,
     )
 
@@ -125,7 +136,7 @@ def members_of_report(report: DataFrame, cluster: str, ids: str) -> DataFrame:
 
 def true_novel_superfamilies(members: DataFrame, novel_ids: DataFrame) -> DataFrame:
     """Clusters all of whose families are novel."""
-    flagged = flag_members(members, novel_ids, "family_id", "_novel", unique=True)
+    flagged = flag_members(members, novel_ids, "family_id", "_novel")
     return (
         flagged.groupBy("cluster_id")
         .agg(F.bool_and("_novel").alias("_all"))
@@ -143,11 +154,11 @@ def novelty_scores(
     """
     wanted = members.join(true_novel.select("cluster_id"), "cluster_id", "left_semi")
     numbered = wanted.select("cluster_id", F.col("family_id").try_cast("bigint").alias("_id"))
-    ids = novel_filtered.select(F.col(novel_filtered.columns[0]).cast("bigint"))
-    flagged = flag_members(numbered, ids, "_id", "_hit", unique=True)
-    scored = flagged.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("family_size"), F.count_if("_hit").alias("_hits")
-    )
+    ids = novel_filtered.select(F.col(novel_filtered.columns[0]).cast("bigint").alias("_id")).distinct()
+    # Sizes come from all rows, hits from the matching ones, so ids without a number are not joined.
+    sizes = numbered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("family_size"))
+    hits = numbered.join(ids, "_id", "left_semi").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_hits"))
+    scored = sizes.join(hits, "cluster_id")
     score = F.round(F.lit(100.0) * F.col("_hits") / F.col("family_size"), 6)
     return (
         scored.filter("_hits > 0")

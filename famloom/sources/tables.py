@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from famloom.functions.ids import digits_of
 
@@ -16,13 +17,14 @@ _CSV = {"quote": '"', "escape": '"', "maxCharsPerColumn": -1}
 
 def read_csv(
     spark: SparkSession, path: str | list[str], schema: str, separator: str = ",",
-    header: bool = True, multi_line: bool = True,
+    header: bool = True, multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with quoted and multi-line cells of any width.
+    """CSV with quoted cells of any width.
 
-    A file whose cells may hold line breaks is read by one task; pass
-    ``multi_line=False`` where they cannot, and large files split.  With ``header`` the file's own column order is followed and columns are picked
-    by name, so the schema may list a subset.
+    Files split over tasks; where cells may hold line breaks pass ``multi_line=True``,
+    which reads each file by one task.  With ``header`` columns are picked by name, so the
+    schema may list a subset; files that order their columns otherwise than the first
+    fail the job.
     """
     if not header:
         reader = spark.read.options(**_CSV).option("multiLine", multi_line)
@@ -36,11 +38,18 @@ def read_csv(
 
 
 def read_text_table(
-    spark: SparkSession, path: str | list[str], separator: str = ",", multi_line: bool = True
+    spark: SparkSession, path: str | list[str], separator: str = ",", multi_line: bool = False
 ) -> DataFrame:
-    """CSV with a header, every column as text and all columns kept."""
+    """CSV with a header, every column as text and all columns kept.
+
+    The first file's header names the columns, and each file's own header is held against
+    it, so a file with another order or other names fails instead of mixing columns.
+    """
     reader = spark.read.options(**_CSV).option("multiLine", multi_line)
-    return reader.options(sep=separator, header=True, inferSchema=False).csv(path)
+    reader = reader.options(sep=separator, header=True, inferSchema=False, enforceSchema=False)
+    names = reader.csv(path).columns
+    schema = StructType([StructField(name, StringType()) for name in names])
+    return reader.schema(schema).csv(path)
 
 
 def read_headerless(

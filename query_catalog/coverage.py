@@ -171,8 +171,22 @@ def domain_hits(spark: SparkSession, folder: str) -> DataFrame:
     return domain_hits_from_lines(_domain_lines(spark, folder), 0.05).drop("line_order")
 
 
+def annotation_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Searched hits numbered within their protein."""
+    return C.annotation_hits(durable(domain_hits_from_lines(_domain_lines(spark, folder), 0.05)))
+
+
 def append_annotations(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of orders with new ``m`` hits, read back hit by hit."""
+    return _appended(spark, folder, C.HITS_PER_CELL).drop("part")
+
+
+def append_annotations_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in parts of two hits."""
+    return _appended(spark, folder, 2)
+
+
+def _appended(spark: SparkSession, folder: str, per_cell: int) -> DataFrame:
     proteins_ = widen(table(spark, folder, "orders")).select(
         F.col("o_orderkey").cast("string").alias("protein"),
         F.format_string(
@@ -180,14 +194,16 @@ def append_annotations(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("metadata"),
     )
     found = durable(domain_hits_from_lines(_domain_lines(spark, folder), 0.05))
-    annotated = C.append_annotations(proteins_, found)
-    read = annotated.select("protein", parsed_hits(F.col("metadata")).alias("doc"))
+    annotated = C.append_annotations(proteins_, found, per_cell=per_cell)
+    read = annotated.select("protein", "part", parsed_hits(F.col("metadata")).alias("doc"))
     return read.select(
         "protein",
+        "part",
         F.col("doc.p")[0][6].cast("int").alias("kept"),
         F.posexplode_outer("doc.m").alias("hit_no", "hit"),
     ).select(
         "protein",
+        "part",
         "kept",
         "hit_no",
         F.col("hit")[0].alias("family"),
@@ -262,7 +278,9 @@ QUERIES = {
     "annotation_stats": annotation_stats,
     "annotation_compare": annotation_compare,
     "domain_hits": domain_hits,
+    "annotation_hits": annotation_hits,
     "append_annotations": append_annotations,
+    "append_annotations_parts": append_annotations_parts,
     "annotation_pipeline": annotation_pipeline,
     "chunk_ids": chunk_ids,
 }
@@ -335,6 +353,26 @@ SELECT CAST(l_orderkey AS VARCHAR) AS target, concat('F', l_suppkey) AS query,
        l_discount AS i_evalue, l_quantity AS score, CAST(l_quantity AS INTEGER) AS ali_from,
        CAST(l_quantity AS INTEGER) + l_linenumber AS ali_to
 FROM lineitem WHERE l_tax <> 0 AND l_discount <= 0.05
+""",
+    "annotation_hits": """
+SELECT CAST(l_orderkey AS VARCHAR) AS protein,
+       row_number() OVER (PARTITION BY l_orderkey
+         ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) AS hit_no,
+       concat('F', l_suppkey) AS family, l_discount AS evalue, l_quantity AS score,
+       CAST(l_quantity AS INTEGER) AS ali_from, CAST(l_quantity AS INTEGER) + l_linenumber AS ali_to
+FROM lineitem WHERE l_tax <> 0 AND l_discount <= 0.05
+""",
+    "append_annotations_parts": """
+WITH found AS (
+  SELECT l_orderkey, concat('F', l_suppkey) AS family, l_discount AS evalue, l_quantity AS score,
+         CAST(l_quantity AS INTEGER) AS ali_from, CAST(l_quantity AS INTEGER) + l_linenumber AS ali_to,
+         row_number() OVER (PARTITION BY l_orderkey
+           ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) - 1 AS n
+  FROM lineitem WHERE l_tax <> 0 AND l_discount <= 0.05)
+SELECT CAST(o_orderkey AS VARCHAR) AS protein, CAST(coalesce(n, 0) // 2 AS INTEGER) AS part,
+       CASE WHEN coalesce(n, 0) < 2 THEN CAST(o_custkey AS INTEGER) END AS kept,
+       CAST(n % 2 AS INTEGER) AS hit_no, family, evalue, score, ali_from, ali_to
+FROM orders LEFT JOIN found ON l_orderkey = o_orderkey
 """,
     "append_annotations": """
 WITH found AS (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from famloom.plans import biomes as B
 from famloom.session import durable
-from query_catalog.adapters import LEAVES_SQL, biome_leaves, tree_nodes
+from query_catalog.adapters import LEAVES_SQL, biome_leaves, table, tree_nodes
 
 
 def tree_leaves(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +31,25 @@ def blob_leaves(spark: SparkSession, folder: str) -> DataFrame:
     return B.family_leaves(blobs).drop("place")
 
 
+def blob_leaves_quoted(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as trees whose leaf has the whole text as its quoted label.
+
+    Labels hold commas, line breaks and doubled quotes; counts of other languages are no numbers.
+    """
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    count = F.when(F.col("lang") == "en", F.col("n_chars").cast("string")).otherwise("many")
+    leaf = F.concat_ws(
+        ",",
+        F.concat(F.lit("root:"), "source"),
+        quoted(F.concat(F.lit('say "so", '), "text")),
+        F.lit("root"),
+        count,
+    )
+    blob = F.concat(F.lit("ids,labels,parents,counts\nroot,root,,1\n"), leaf, F.lit("\n"))
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), blob.alias("biome_blob"))
+    return B.family_leaves(docs).drop("place")
+
+
 def leaf_distribution(spark: SparkSession, folder: str) -> DataFrame:
     return B.leaf_distribution(biome_leaves(spark, folder))
 
@@ -128,6 +147,7 @@ SELECT family_id, path, parent, label, CAST(n AS INTEGER) AS count FROM leaves
 QUERIES = {
     "tree_leaves": tree_leaves,
     "blob_leaves": blob_leaves,
+    "blob_leaves_quoted": blob_leaves_quoted,
     "leaf_distribution": leaf_distribution,
     "top_leaves": top_leaves,
     "family_breadth": family_breadth,
@@ -148,6 +168,11 @@ ORACLES = {
     "tree_leaves": f"{_WITH} {_LEAF_ROWS}",
     "blob_leaves": f"""{_WITH}
 SELECT family_id, path, label, CAST(n AS INTEGER) AS count, top_level FROM leaves
+""",
+    "blob_leaves_quoted": """
+SELECT doc_id AS family_id, concat('root:', source) AS path, concat('say "so", ', text) AS label,
+       CAST(CASE WHEN lang = 'en' THEN n_chars ELSE 0 END AS INTEGER) AS count, source AS top_level
+FROM documents
 """,
     "leaf_distribution": f"{_WITH} {_DISTRIBUTION}",
     "top_leaves": f"{_WITH} {_DISTRIBUTION} ORDER BY n_families DESC, path LIMIT 30",

@@ -86,12 +86,16 @@ def filtered_edges(spark: SparkSession, folder: str) -> DataFrame:
     return S.filtered_edges(_report(spark, folder))
 
 
-def _superfamilies(spark: SparkSession, folder: str) -> S.Superfamilies:
+def _edges(spark: SparkSession, folder: str) -> tuple[DataFrame, int, int]:
     edges = jaccard_pairs(spark, folder).select(
         F.col("fam_a").alias("fam1"), F.col("fam_b").alias("fam2"), F.col("jaccard").alias("weight")
     )
     ends = table(spark, folder, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
-    return S.build_superfamilies(edges, ends[0], ends[1])
+    return edges, ends[0], ends[1]
+
+
+def _superfamilies(spark: SparkSession, folder: str) -> S.Superfamilies:
+    return S.build_superfamilies(*_edges(spark, folder))
 
 
 def superfamily_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,8 +110,13 @@ def superfamily_cells(spark: SparkSession, folder: str) -> DataFrame:
     return _superfamilies(spark, folder).report()
 
 
+def superfamily_cells_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of at most two families."""
+    return _superfamilies(spark, folder).report(ids_per_row=2)
+
+
 def singletons(spark: SparkSession, folder: str) -> DataFrame:
-    return _superfamilies(spark, folder).singletons
+    return S.singletons(*_edges(spark, folder))
 
 
 def size_hist_small(spark: SparkSession, folder: str) -> DataFrame:
@@ -225,6 +234,7 @@ QUERIES = {
     "superfamily_report": superfamily_report,
     "superfamily_members": superfamily_members,
     "superfamily_cells": superfamily_cells,
+    "superfamily_cells_parts": superfamily_cells_parts,
     "singletons": singletons,
     "size_hist_small": size_hist_small,
     "size_hist_large": size_hist_large,
@@ -259,6 +269,15 @@ FROM pairs WHERE fam_a NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriori
 SELECT c.cluster_id, c.family_rep_id, c.family_size, 0 AS part,
        string_agg(m.family_id, ';' ORDER BY CAST(m.family_id AS BIGINT)) AS family_ids
 FROM clusters c JOIN membership m USING (cluster_id) GROUP BY ALL
+""",
+    "superfamily_cells_parts": f"""{_COMPONENTS},
+placed AS (
+  SELECT cluster_id, family_id, CAST((row_number() OVER (
+    PARTITION BY cluster_id ORDER BY CAST(family_id AS BIGINT)) - 1) // 2 AS INTEGER) AS part
+  FROM membership)
+SELECT cluster_id, c.family_rep_id, c.family_size, part,
+       string_agg(family_id, ';' ORDER BY CAST(family_id AS BIGINT)) AS family_ids
+FROM placed JOIN clusters c USING (cluster_id) GROUP BY ALL
 """,
     "singletons": f"{_COMPONENTS} SELECT CAST(k AS VARCHAR) AS family_id FROM alone",
     "size_hist_small": f"""{_COMPONENTS}

@@ -17,11 +17,3 @@ from famloom.session import local_session  # noqa: E402
 def spark():
     return local_session("tests", partitions=4)
 
-
-@pytest.fixture
-def small_hot(monkeypatch):
-    """Treat keys with three rows as hot, so the spreading paths run on small data."""
-    from famloom.operators import graph, redundancy, skew
-
-    for module in (skew, graph, redundancy):
-        monkeypatch.setattr(module, "HOT_ROWS", 3)

@@ -60,7 +60,7 @@ def test_profile_stats(spark, tmp_path):
 
 def test_csv_readers(spark, tmp_path):
     path = _write(tmp_path / "p.csv.gz", 'b,a\n"x,""y""\nz",1\n,2\n')
-    got = tables.read_csv(spark, path, "a int, b string").orderBy("a").collect()
+    got = tables.read_csv(spark, path, "a int, b string", multi_line=True).orderBy("a").collect()
     assert [tuple(r) for r in got] == [(1, 'x,"y"\nz'), (2, None)]
     with pytest.raises(ValueError, match="Missing required columns .*: c"):
         tables.read_csv(spark, path, "a int, c string")
@@ -70,6 +70,29 @@ def test_csv_readers(spark, tmp_path):
     assert tuple(tables.read_headerless(spark, headerless, "x string, y string", "\t").first()) == ("a", "b")
 
 
+def test_csv_files_with_other_headers_fail(spark, tmp_path):
+    _write(tmp_path / "many" / "a.csv", "a,b\n1,x\n")
+    _write(tmp_path / "many" / "b.csv", "b,a\ny,2\n")
+    with pytest.raises(Exception, match="header"):
+        tables.read_csv(spark, str(tmp_path / "many"), "a int, b string").collect()
+
+
+def test_quoted_trees_of_any_size(spark):
+    from famloom.functions.trees import tree_records
+
+    wide = "x, ""\n" * 20_000
+    blobs = [
+        'ids,labels,parents,counts\r\nroot,"a ""b"", c\nd",,2\r\n"root:x","",root,bad\r\n',
+        'ids,labels,parents,counts\nroot,"' + wide.replace('"', '""') + '",,1.9\n',
+        "ids,labels,parents,counts\n" + '"root","l",,1\n' * 20_000,
+    ]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "i int, blob string")
+    got = [r["r"] for r in df.select(tree_records(F.col("blob")).alias("r"), "i").orderBy("i").collect()]
+    assert [tuple(r) for r in got[0]] == [("root", 'a "b", c\nd', "", 2, 0), ("root:x", "", "root", 0, 1)]
+    assert got[1][0]["labels"] == wide and got[1][0]["counts"] == 1
+    assert len(got[2]) == 20_000
+
+
 def test_id_readers(spark, tmp_path):
     path = _write(tmp_path / "ids.txt", "1\n\n 2 \n1\n")
     assert sorted(r[0] for r in tables.read_ids(spark, path, kind="bigint").collect()) == [1, 2]

@@ -92,7 +92,7 @@ def test_append_replaces_family_hits(spark):
     assert got["b"] == {"z": 1} and got["c"] == {}
 
 
-def test_hot_target_continues_in_parts(spark, small_hot):
+def test_hot_target_continues_in_parts(spark):
     """Hits beyond one cell continue in further rows, and statistics see them all."""
     proteins = spark.createDataFrame([("a", "A" * 100, '{"z":1}'), ("b", "A" * 10, "{}")], PROTEINS)
     hits = spark.createDataFrame(
@@ -107,6 +107,26 @@ def test_hot_target_continues_in_parts(spark, small_hot):
     assert stats["total_amino_acids"] == 110 and stats["annotated_amino_acids"] == 79 + 2
 
 
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_parts_are_contiguous_and_whole(spark, size):
+    """Every protein keeps its own document, and the parts read in order are its hits in order."""
+    counts = {f"p{i}": i % 7 for i in range(40)}
+    proteins = spark.createDataFrame([(p, "A" * 50, '{"p":[["P",1,2,3,4,5,6]]}') for p in counts], PROTEINS)
+    hits = spark.createDataFrame(
+        [(p, f"F{k}", 1e-9, 5.0, k, k, k) for p, n in counts.items() for k in range(n, 0, -1)], HITS
+    )
+    annotated = coverage.append_annotations(proteins, hits, per_cell=size)
+    found = {}
+    for row in sorted(annotated.collect(), key=lambda r: (r["protein"], r["part"])):
+        doc = json.loads(row["metadata"])
+        assert ("p" in doc) == (row["part"] == 0) and len(doc.get("m", [])) <= size
+        assert row["n_parts"] == max(1, -(-counts[row["protein"]] // size))
+        found.setdefault(row["protein"], []).extend(h[0] for h in doc.get("m", []))
+    assert found == {p: [f"F{k}" for k in range(1, n + 1)] for p, n in counts.items()}
+    whole = coverage.annotation_stats(coverage.append_annotations(proteins, hits), {"m": "m"}).first()
+    assert coverage.annotation_stats(annotated, {"m": "m"}).first() == whole
+
+
 def test_annotation_diff_keeps_proteins_without_segments(spark):
     one = spark.createDataFrame([("a", "1-5,8-9"), ("b", "-")], "protein string, region string")
     two = spark.createDataFrame([("a", "4-8"), ("c", "2-2")], "protein string, region string")
@@ -140,8 +160,8 @@ def test_superfamilies(spark):
     assert found.total_families().first()[0] == 12
     cells = {r["cluster_id"]: r["family_ids"] for r in found.report().collect()}
     assert cells["SF_1"] == "1;2;3" and cells["Singleton_12"] == "12"
-    split = found.report(ids_per_row=1).filter("cluster_id = 'SF_1'").collect()
-    assert sorted(";".join(r["family_ids"] for r in split).split(";")) == ["1", "2", "3"]
+    split = found.report(ids_per_row=2).filter("cluster_id = 'SF_1'").collect()
+    assert {r["part"]: r["family_ids"] for r in split} == {0: "1;2", 1: "3"}
 
 
 def test_edges_need_their_columns(spark):

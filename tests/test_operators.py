@@ -96,7 +96,7 @@ def test_similar_sets_is_exact(spark, threshold):
     assert {(r["fam_a"], r["fam_b"]): r["jaccard"] for r in got} == want
 
 
-def test_similar_sets_with_hot_elements(spark, small_hot):
+def test_similar_sets_with_hot_elements(spark):
     test_similar_sets_is_exact(spark, 0.5)
 
 
@@ -158,7 +158,7 @@ def test_redundancy_equals_sequential_loop(spark, seed):
     _check_redundancy(spark, seed, 15 * seed)
 
 
-def test_redundancy_with_hot_winners(spark, small_hot):
+def test_redundancy_with_hot_winners(spark):
     _check_redundancy(spark, 7, 20)
 
 
@@ -219,7 +219,7 @@ def test_components_equal_union_find(spark):
     _check_components(spark, 5)
 
 
-def test_components_with_hubs(spark, small_hot):
+def test_components_with_hubs(spark):
     _check_components(spark, 6)
 
 
@@ -259,18 +259,62 @@ def test_global_position(spark):
     assert all(r["n"] == 1000 - r["v"] for r in got) and len(got) == 1000
 
 
-def test_salted_lookup_keeps_every_row(spark):
-    left = spark.createDataFrame([("a" if i % 2 else f"k{i}", i) for i in range(60)], "k string, v int")
-    right = left.groupBy("k").agg(F.max("v").alias("m")).filter("k <> 'k4'")
-    hot = skew.hot_keys(left, ["k"], min_rows=5)
-    assert [r["k"] for r in hot.collect()] == ["a"]
-    got = skew.salted_lookup(left, right, ["k"], hot=hot, salts=4)
+def test_lookup_keeps_every_row(spark):
+    left = spark.createDataFrame([("a" if i % 2 else None if i % 3 else f"k{i}", i) for i in range(60)], "k string, v int")
+    right = left.groupBy("k").agg(F.max("v").alias("m")).filter("k <> 'k6'")
     want = left.join(right, "k", "left")
+    got = skew.lookup(left, right, ["k"])
     assert sorted(map(tuple, got.select("k", "v", "m").collect()), key=str) == sorted(
         map(tuple, want.select("k", "v", "m").collect()), key=str
     )
 
 
+def test_lookup_reads_the_left_side_once(spark, tmp_path):
+    spark.range(100).selectExpr("id % 7 AS fam1", "id % 5 AS fam2").write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    mapping = spark.createDataFrame([(1, 5), (2, 6)], "old_id long, new_id long")
+    plan = remap.map_edge_ids(edges, mapping)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("fam1#") and plan.count("Relation [fam1") == 1
+
+
+def test_group_position(spark):
+    df = spark.createDataFrame([(k, i * 37 % 101) for k in ("a", "b", None) for i in range(100)], "k string, v int")
+    got = skew.group_position(df.repartition(7), ["k"], [F.col("v")], "n").collect()
+    for key in ("a", "b", None):
+        rows = sorted((r["v"], r["n"]) for r in got if r["k"] == key)
+        assert [n for _, n in rows] == list(range(1, 101))
+
+
+def test_repeated_keys_need_an_order(spark):
+    table = spark.createDataFrame([(1, "x")], "id long, v string")
+    twice = spark.createDataFrame([(1, 5), (1, 6)], "old_id long, new_id long")
+    blobs = spark.createDataFrame([(1, "f", bytearray(b"x")), (1, "f", bytearray(b"y"))], "id long, file_name string, content binary")
+    named = table.withColumns({"name": F.lit("f"), "blob": F.lit(None).cast("binary")})
+    for job in (
+        lambda: remap.map_ids(table, twice, "id"),
+        lambda: remap.map_edge_ids(table.withColumn("b", F.col("id")), twice, ("id", "b")),
+        lambda: remap.file_plan(table.select(F.lit("1.a").alias("file_name")), mapping=twice),
+        lambda: updates.update_by_id(table, twice.toDF("id", "v"), "id", ["v"]),
+        lambda: updates.attach_named_blobs(named, blobs, "name", "blob"),
+        lambda: updates.attach_missing_blobs(named, blobs, "id", "name", "blob"),
+    ):
+        with pytest.raises(Exception, match="occurs more than once"):
+            job().collect()
+    edges = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.6)], "fam1 long, fam2 long, weight double")
+    from famloom.operators import graph
+
+    with pytest.raises(Exception, match="several weights"):
+        graph.symmetric_edges(edges).collect()
+
+
+def test_similar_sets_with_many_equal_sets(spark):
+    rows = [(i, e) for i in range(300) for e in ("a", "b", "c")] + [(1000, e) for e in ("a", "b", "c", "d")]
+    df = spark.createDataFrame(rows, "family_id long, protein string")
+    got = similarity.similar_sets(df, 0.7)
+    assert got.filter("jaccard = 1").count() == 300 * 299 // 2
+    assert got.filter("jaccard < 1").count() == 300
+
+
 def test_map_ids_last_row_wins_and_others_pass(spark):
     df = spark.createDataFrame([("1", "x"), ("2", "y"), (None, "z")], "id string, v string")
     mapping = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "old_id long, new_id long, row_no int")
@@ -306,16 +350,6 @@ def test_blob_policies(spark):
         updates.attach_all_blobs(families, extra, "id", "blob", allow_missing=True)
 
 
-def test_salted_lookup_spreads_null_and_repeated_keys(spark):
-    left = spark.createDataFrame([(None,), (None,), ("a",), ("a",), ("b",)], "k string").repartition(2)
-    right = spark.createDataFrame([("a", 1), ("c", 2)], "k string, m int")
-    hot = skew.hot_keys(left, ["k"], min_rows=2)
-    got = skew.salted_lookup(left, right, ["k"], hot=hot, salts=3)
-    assert sorted(((r["k"] or ""), r["m"] or 0) for r in got.collect()) == [
-        ("", 0), ("", 0), ("a", 1), ("a", 1), ("b", 0),
-    ]
-
-
 def test_widen_leaves_wide_scans_alone(spark, tmp_path):
     from famloom.sources.tables import widen
 
