@@ -157,7 +157,7 @@ def bytes_by_force(docs, span, keep):
                 gone[i + 1 : i + 1 + span] = True
         kept = bytes(b for b, g in zip(data, gone[1:]) if not g)
         out.append((key, len(data), int(gone.sum()), int((~gone[:-1] & gone[1:]).sum()), hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+    return sorted(out, key=repr)
 
 
 def test_suffix_array_and_factors():
@@ -230,7 +230,7 @@ def components_by_force(docs):
             if shared and 100 * shared >= 75 * (len(sets[a]) + len(sets[b]) - shared):
                 low, high = sorted((root(a), root(b)))
                 parent[high] = low
-    return sorted((k, len(sets[k]), root(k), root(k) == k) for k in keys)
+    return sorted(((k, len(sets[k]), root(k), root(k) == k) for k in keys), key=repr)
 
 
 def test_shingles_of_all_kinds_of_space():
