@@ -9,7 +9,7 @@ def digits_of(text: Column) -> Column:
     """First run of digits as a number; raises when there is none."""
     found = F.regexp_extract(text, r"(\d+)", 1)
     return F.when(found != "", found.cast("bigint")).otherwise(
-        F.raise_error(F.concat(F.lit("Could not extract an integer ID from "), text))
+        F.raise_error(F.concat(F.lit("digits_of: no number in "), text))
     )
 
 

@@ -30,7 +30,7 @@ def require_columns(df: DataFrame, names: Iterable[str], what: str = "input") ->
     """Return ``df`` unchanged, or raise naming the missing columns in sorted order."""
     missing = sorted(set(names) - set(df.columns))
     if missing:
-        raise MissingColumnsError(f"Missing required columns in {what}: {', '.join(missing)}")
+        raise MissingColumnsError(f"{what} lacks the columns {', '.join(missing)}")
     return df
 
 

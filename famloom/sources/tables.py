@@ -33,7 +33,7 @@ def read_csv(
     text = read_text_table(spark, path, separator, multi_line)
     missing = sorted({field.name for field in wanted} - set(text.columns))
     if missing:
-        raise ValueError(f"Missing required columns in {path}: {', '.join(missing)}")
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
     return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
 
 

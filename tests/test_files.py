@@ -54,7 +54,7 @@ def test_profile_stats(spark, tmp_path):
     rows = profiles.ranked_report(ranked).orderBy("rank").collect()
     assert [(r["name"], r["eff_nseq"], r["score"]) for r in rows] == [("b", "4.50", "0.9000"), ("a", "3.50", "-0.1000")]
     bad = _write(tmp_path / "bad.txt", "1 2 3\n")
-    with pytest.raises(Exception, match="expected 10 columns, got 3"):
+    with pytest.raises(Exception, match="3 tokens instead of 10, row"):
         reports.read_profile_stats(spark, bad).collect()
 
 
@@ -62,7 +62,7 @@ def test_csv_readers(spark, tmp_path):
     path = _write(tmp_path / "p.csv.gz", 'b,a\n"x,""y""\nz",1\n,2\n')
     got = tables.read_csv(spark, path, "a int, b string", multi_line=True).orderBy("a").collect()
     assert [tuple(r) for r in got] == [(1, 'x,"y"\nz'), (2, None)]
-    with pytest.raises(ValueError, match="Missing required columns .*: c"):
+    with pytest.raises(ValueError, match="lacks the columns c"):
         tables.read_csv(spark, path, "a int, c string")
     report = _write(tmp_path / "r.csv", "# title\n# more\nRow,Family Id 1\n1,7\n")
     assert [tuple(r) for r in tables.read_commented_csv(spark, report).collect()] == [("1", "7")]
@@ -99,7 +99,7 @@ def test_id_readers(spark, tmp_path):
     path = _write(tmp_path / "acc.csv", "ID,Full size\nFAM0000000003,200\nFAM0000000012,1\n")
     assert sorted(r[0] for r in tables.read_accessions(spark, path).collect()) == [3, 12]
     path = _write(tmp_path / "bad.csv", "ID\nabc\n")
-    with pytest.raises(Exception, match="Could not extract an integer ID"):
+    with pytest.raises(Exception, match="no number in"):
         tables.read_accessions(spark, path).collect()
 
 
@@ -146,7 +146,7 @@ def test_secondary_structure_from_files(spark, tmp_path):
     assert tracks["Coil"]["data"] == [{"x": 4, "y": 5}]
     assert [p["y"] for p in tracks["Confidence Score"]["data"]] == [9, 8, 7, 0, 1]
     _write(tmp_path / "bad" / "1.horiz", "Conf: 9\nPred: HH\n  AA: M\n")
-    with pytest.raises(Exception, match="Mismatch in lengths"):
+    with pytest.raises(Exception, match="not equally long"):
         reports.read_secondary_structure(spark, str(tmp_path / "bad")).collect()
 
 
