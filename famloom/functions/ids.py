@@ -15,7 +15,8 @@ def digits_of(text: Column) -> Column:
 
 def split_ids(cell: Column, separator: str = ";") -> Column:
     """Delimited id list as a trimmed array without empty parts."""
-    return F.filter(F.transform(F.split(cell, separator), F.trim), lambda part: part != "")
+    parts = F.transform(F.split(cell, separator), lambda part: F.trim(part))
+    return F.filter(parts, lambda part: part != "")
 
 
 def base_id(text: Column) -> Column:

@@ -81,7 +81,12 @@ def read_annotated_targets(spark: SparkSession, path: str | list[str]) -> DataFr
 
 def read_profile_stats(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Profile statistics; a data line without exactly ten tokens fails the job."""
-    lines = _data_lines(read_lines(spark, path)).withColumn("_parts", tokens(F.col("value")))
+    return profile_stats_from_lines(read_lines(spark, path))
+
+
+def profile_stats_from_lines(lines: DataFrame) -> DataFrame:
+    """Profile statistics in a text DataFrame: ``value`` and the ``line_order`` of a reader."""
+    lines = _data_lines(lines).withColumn("_parts", tokens(F.col("value")))
     wanted = len(PROFILE_COLUMNS)
     checked = F.when(F.size("_parts") == wanted, F.col("_parts")).otherwise(
         F.raise_error(
@@ -124,12 +129,20 @@ def read_secondary_structure(spark: SparkSession, path: str | list[str]) -> Data
 
     One file is one protein, so a file is one row.  Unequal lengths fail the job.
     """
+    texts = spark.read.text(path, wholetext=True)
+    return secondary_structure_from_text(
+        texts.select(file_stem(F.col("_metadata.file_name")).alias("id"), "value")
+    )
+
+
+def secondary_structure_from_text(texts: DataFrame) -> DataFrame:
+    """The same for whole texts in a DataFrame (id, value)."""
 
     def joined(pattern: str) -> Column:
         return F.array_join(F.regexp_extract_all(F.col("value"), F.lit(pattern), F.lit(1)), "")
 
-    parsed = spark.read.text(path, wholetext=True).select(
-        file_stem(F.col("_metadata.file_name")).alias("id"),
+    parsed = texts.select(
+        "id",
         joined(r"(?m)^Conf:[ \t]*(\d*)").alias("confidence"),
         joined(r"(?m)^Pred:[ \t]*(\S*)").alias("states"),
         joined(r"(?m)^  AA:[ \t]*(\S*)").alias("residues"),
