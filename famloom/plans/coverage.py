@@ -90,14 +90,19 @@ def exclusive_regions(hits1: DataFrame, hits2: DataFrame, order: str) -> DataFra
     )
 
 
-def annotation_hits(hits: DataFrame, order: str = "line_order") -> DataFrame:
+def annotation_hits(
+    hits: DataFrame, order: str = "line_order", by: Sequence[str] = ()
+) -> DataFrame:
     """Long form: protein, hit_no from 1 in ``order``, and the hit's fields.
 
-    Hits have target, query, i_evalue, score, ali_from, ali_to and the order column.
+    Hits have target, query, i_evalue, score, ali_from, ali_to and the order column, and
+    the columns ``by`` that tell datasets apart.
     """
     rest = ["query", "i_evalue", "score", "ali_from", "ali_to"]
     ties = [F.col(c) for c in (order, *rest)]
-    return group_position(hits.select("target", order, *rest), ["target"], ties, "hit_no").select(
+    keys = [*by, "target"]
+    return group_position(hits.select(*keys, order, *rest), keys, ties, "hit_no").select(
+        *by,
         F.col("target").alias("protein"),
         "hit_no",
         F.col("query").alias("family"),
@@ -109,28 +114,31 @@ def annotation_hits(hits: DataFrame, order: str = "line_order") -> DataFrame:
 
 
 def append_annotations(
-    proteins: DataFrame, hits: DataFrame, order: str = "line_order", per_cell: int = HITS_PER_CELL
+    proteins: DataFrame, hits: DataFrame, order: str = "line_order",
+    per_cell: int = HITS_PER_CELL, by: Sequence[str] = (),
 ) -> DataFrame:
     """Replace the ``m`` hits in each protein's document by its ``hits``, in order.
 
     The documents are a layout of :func:`annotation_hits`: part (hit_no - 1) div
     ``per_cell`` of ``n_parts`` holds the hits of that range.  Part 0 is the protein's own
-    document and always there; further parts hold only ``m`` hits.
+    document and always there; further parts hold only ``m`` hits.  ``by`` names columns
+    of both tables that tell datasets apart.
     """
-    numbered = annotation_hits(hits, order)
+    numbered = annotation_hits(hits, order, by)
+    key = [*by, "protein"]
     entry = F.struct(
         F.col("hit_no").alias("order"), "family", "evalue", "score", "ali_from", "ali_to"
     )
     part = F.floor((F.col("hit_no") - 1) / per_cell).cast("int")
     grouped = (
         numbered.withColumn("part", part)
-        .groupBy("protein", "part")
+        .groupBy(*key, "part")
         .agg(F.array_sort(F.collect_list(entry)).alias("_hits"))
     )
-    counts = grouped.groupBy("protein").agg((F.max("part") + 1).alias("n_parts"))
+    counts = grouped.groupBy(*key).agg((F.max("part") + 1).alias("n_parts"))
     joined = (
-        proteins.join(grouped, "protein", "left")
-        .join(counts, "protein", "left")
+        proteins.join(grouped, key, "left")
+        .join(counts, key, "left")
         .withColumns({"part": F.coalesce("part", F.lit(0)), "n_parts": F.coalesce("n_parts", F.lit(1))})
     )
     base = F.when(F.col("part") == 0, F.col("metadata")).otherwise(F.lit("{}"))
@@ -142,8 +150,10 @@ def append_annotations(
     )
 
 
-def _covered_per_protein(proteins: DataFrame, selections: Sequence[Sequence[str]]) -> DataFrame:
-    """(residues, covered_<i>...) for each protein and each selection of keys."""
+def _covered_per_protein(
+    proteins: DataFrame, selections: Sequence[Sequence[str]], by: Sequence[str]
+) -> DataFrame:
+    """(by..., residues, covered_<i>...) for each protein and each selection of keys."""
     length = F.length(F.coalesce("sequence", F.lit("")))
     parsed = proteins.withColumns({"_hits": parsed_hits(F.col("metadata")), "_length": length})
     used = sorted({key for keys in selections for key in keys})
@@ -156,6 +166,7 @@ def _covered_per_protein(proteins: DataFrame, selections: Sequence[Sequence[str]
 
     def in_row(df: DataFrame) -> DataFrame:
         return df.select(
+            *by,
             F.col("_length").cast("bigint").alias("residues"),
             *[
                 merged_length(spans_of(keys)).cast("bigint").alias(f"covered_{i}")
@@ -168,25 +179,30 @@ def _covered_per_protein(proteins: DataFrame, selections: Sequence[Sequence[str]
     # Proteins split over several rows: their spans are merged across the rows.
     whole = in_row(parsed.filter("n_parts = 1"))
     split = parsed.filter("n_parts > 1")
-    lengths = split.groupBy("protein").agg(F.max("_length").cast("bigint").alias("residues"))
+    key = [*by, "protein"]
+    lengths = split.groupBy(*key).agg(F.max("_length").cast("bigint").alias("residues"))
     for i, keys in enumerate(selections):
-        spans = split.select("protein", F.inline_outer(spans_of(keys)))
-        covered = covered_length(spans, "protein").withColumnRenamed("covered", f"covered_{i}")
-        lengths = lengths.join(covered, "protein")
+        spans = split.select(*key, F.inline_outer(spans_of(keys)))
+        covered = covered_length(spans, key).withColumnRenamed("covered", f"covered_{i}")
+        lengths = lengths.join(covered, key)
     return whole.unionByName(lengths.drop("protein"))
 
 
-def annotation_stats(proteins: DataFrame, selections: Mapping[str, str]) -> DataFrame:
-    """Sequence and residue annotation shares, one row per label.
+def annotation_stats(
+    proteins: DataFrame, selections: Mapping[str, str], by: Sequence[str] = ()
+) -> DataFrame:
+    """Sequence and residue annotation shares, one row per label (and value of ``by``).
+
+    A table split into parts must keep its ``part`` and ``n_parts`` columns.
 
     ``selections`` maps a label to its comma-separated keys; all labels share one
     scan.  Coverage is settled inside each protein's row, so the only shuffle
     carries one partial sum per task.
     """
     keys = {label: annotation_keys(text) for label, text in selections.items()}
-    per_protein = _covered_per_protein(proteins, list(keys.values()))
+    per_protein = _covered_per_protein(proteins, list(keys.values()), by)
     places = range(len(keys))
-    sums = per_protein.agg(
+    sums = per_protein.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_sequences"),
         F.coalesce(F.sum("residues"), F.lit(0)).alias("total_amino_acids"),
         *[F.count_if(F.col(f"covered_{i}") > 0).alias(f"sequences_{i}") for i in places],
@@ -208,11 +224,11 @@ def annotation_stats(proteins: DataFrame, selections: Mapping[str, str]) -> Data
             ),
         )
 
-    return sums.select(F.inline(F.array(*[row(i, label) for i, label in enumerate(keys)])))
+    return sums.select(*by, F.inline(F.array(*[row(i, label) for i, label in enumerate(keys)])))
 
 
-def compare_stats(stats: DataFrame, before: str, after: str) -> DataFrame:
-    """Before/after row with percentage-point and relative increases."""
+def compare_stats(stats: DataFrame, before: str, after: str, by: Sequence[str] = ()) -> DataFrame:
+    """Before/after row (per value of ``by``) with percentage-point and relative increases."""
 
     def of(label: str, column: str) -> Column:
         return F.max(F.when(F.col("label") == label, F.col(column)))
@@ -226,7 +242,7 @@ def compare_stats(stats: DataFrame, before: str, after: str) -> DataFrame:
         "annotated_amino_acid": "annotated_amino_acid_percentage",
     }
     sides = {"before": before, "after": after}
-    wide = stats.agg(
+    wide = stats.groupBy(*by).agg(
         *[
             of(label, c).cast("double").cast("bigint").alias(f"{c}_{side}")
             for c in counts
@@ -249,6 +265,7 @@ def compare_stats(stats: DataFrame, before: str, after: str) -> DataFrame:
         ]
 
     return wide.select(
+        *by,
         F.lit(before).alias("before_label"),
         F.lit(after).alias("after_label"),
         "total_sequences_before", "total_sequences_after",
@@ -272,11 +289,16 @@ def chunk_sequences(
 
 def annotation_pipeline(
     proteins: DataFrame, hits: DataFrame, order: str = "line_order",
-    before: str = "pfam", after: str = "pfam_families",
+    before: str = "pfam", after: str = "pfam_families", dataset: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(annotated proteins, statistics, comparison) from proteins and searched hits."""
-    annotated = append_annotations(proteins, hits, order)
-    stats = annotation_stats(proteins, {before: "p"}).unionByName(
-        annotation_stats(annotated, {after: "p,m"})
+    """(annotated proteins, statistics, comparison) from proteins and searched hits.
+
+    With ``dataset``, a column of both tables, several datasets go through together: hits
+    stay with the proteins of their dataset, and statistics are compared within each.
+    """
+    by = [] if dataset is None else [dataset]
+    annotated = append_annotations(proteins, hits, order, by=by)
+    stats = annotation_stats(proteins, {before: "p"}, by).unionByName(
+        annotation_stats(annotated, {after: "p,m"}, by)
     )
-    return annotated, stats, compare_stats(stats, before, after)
+    return annotated, stats, compare_stats(stats, before, after, by)

@@ -227,6 +227,22 @@ def annotation_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return C.annotation_pipeline(proteins_, found)[2]
 
 
+def annotation_pipeline_by_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """The same per order priority; hits get the priority of their order."""
+    orders = widen(table(spark, folder, "orders"))
+    proteins_ = orders.select(
+        F.col("o_orderkey").cast("string").alias("protein"),
+        F.col("o_orderpriority").alias("dataset"),
+        F.repeat(F.lit("A"), 40).alias("sequence"),
+        F.format_string(
+            '{"p":[["P",1e-5,2.0,1,2,3,%d]]}', F.length("o_orderpriority")
+        ).alias("metadata"),
+    )
+    found = domain_hits_from_lines(_domain_lines(spark, folder), 0.05)
+    places = proteins_.select(F.col("protein").alias("target"), "dataset")
+    return C.annotation_pipeline(proteins_, durable(found.join(places, "target")), dataset="dataset")[2]
+
+
 def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Orders cut into chunks of 1000 in key order."""
     sequences = table(spark, folder, "orders").select("o_orderkey")
@@ -282,6 +298,7 @@ QUERIES = {
     "append_annotations": append_annotations,
     "append_annotations_parts": append_annotations_parts,
     "annotation_pipeline": annotation_pipeline,
+    "annotation_pipeline_by_dataset": annotation_pipeline_by_dataset,
     "chunk_ids": chunk_ids,
 }
 
@@ -412,6 +429,34 @@ SELECT 'pfam' AS before_label, 'pfam_families' AS after_label,
   round(arp - brp, 6) AS annotated_amino_acid_percentage_point_increase,
   round((arp - brp) / brp * 100, 6) AS annotated_amino_acid_relative_increase_percentage
 FROM share
+""",
+    "annotation_pipeline_by_dataset": """
+WITH spans AS (
+  SELECT o_orderpriority AS d, o_orderkey AS k, 'p' AS kind, 3 AS s, length(o_orderpriority) AS e FROM orders
+  UNION ALL
+  SELECT o_orderpriority, l_orderkey, 'm', CAST(l_quantity AS INTEGER), CAST(l_quantity AS INTEGER) + l_linenumber
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_tax <> 0 AND l_discount <= 0.05),
+points AS (SELECT d, k, kind, unnest(range(greatest(s, 1), least(e, 40) + 1)) AS pos FROM spans),
+n AS (SELECT o_orderpriority AS d, count(*) AS ns, count(*) * 40 AS na FROM orders GROUP BY 1),
+b AS (SELECT d, count(DISTINCT k) AS s, count(DISTINCT (k, pos)) AS r FROM points WHERE kind = 'p' GROUP BY d),
+a AS (SELECT d, count(DISTINCT k) AS s, count(DISTINCT (k, pos)) AS r FROM points GROUP BY d),
+share AS (
+  SELECT n.d, ns, na, b.s AS bs, a.s AS as_, b.r AS br, a.r AS ar,
+         round(CAST(b.s AS DOUBLE) / ns * 100, 6) AS bsp, round(CAST(a.s AS DOUBLE) / ns * 100, 6) AS asp,
+         round(CAST(b.r AS DOUBLE) / na * 100, 6) AS brp, round(CAST(a.r AS DOUBLE) / na * 100, 6) AS arp
+  FROM n JOIN b ON b.d = n.d JOIN a ON a.d = n.d)
+SELECT d AS dataset, 'pfam' AS before_label, 'pfam_families' AS after_label,
+  ns AS total_sequences_before, ns AS total_sequences_after,
+  bs AS annotated_sequences_before, as_ AS annotated_sequences_after,
+  bsp AS annotated_sequence_percentage_before, asp AS annotated_sequence_percentage_after,
+  round(asp - bsp, 6) AS annotated_sequence_percentage_point_increase,
+  round((asp - bsp) / bsp * 100, 6) AS annotated_sequence_relative_increase_percentage,
+  CAST(na AS BIGINT) AS total_amino_acids_before, CAST(na AS BIGINT) AS total_amino_acids_after,
+  br AS annotated_amino_acids_before, ar AS annotated_amino_acids_after,
+  brp AS annotated_amino_acid_percentage_before, arp AS annotated_amino_acid_percentage_after,
+  round(arp - brp, 6) AS annotated_amino_acid_percentage_point_increase,
+  round((arp - brp) / brp * 100, 6) AS annotated_amino_acid_relative_increase_percentage
+FROM share
 """,
     "chunk_ids": """
 SELECT o_orderkey, printf('proteins_chunk_%06d', CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1 AS BIGINT))
