@@ -185,14 +185,33 @@ def code_lengths(model: Model, batch: pa.RecordBatch) -> np.ndarray:
     return totals
 
 
+def _best(totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language number, its bits, its posterior) of every text."""
+    best = totals.argmin(axis=1)
+    least = totals[np.arange(len(best)), best]
+    return best, least, 1 / np.exp2(np.clip(least[:, None] - totals, -1000, 0)).sum(axis=1)
+
+
+def _sure(shared, least: float):
+    """The rows whose best language has a posterior of at least ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=2 << 20):
+            score = _best(code_lengths(shared.value, batch))[2]
+            yield batch.filter(pa.array(score >= least))
+
+    return run
+
+
+def _lettered() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in slices(batches, limit=2 << 20):
-            totals = code_lengths(model, batch)
-            best = totals.argmin(axis=1)
-            least = totals[np.arange(len(best)), best]
-            score = 1 / np.exp2(np.clip(least[:, None] - totals, -1000, 0)).sum(axis=1)
+            best, least, score = _best(code_lengths(model, batch))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_key"),
@@ -213,9 +232,8 @@ def predict(docs: DataFrame, model: Model | None, key: Column) -> DataFrame:
     broadcast.
     """
     spark = docs.sparkSession
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(
-        F.struct(key.alias("key"), lettered.alias("lettered")).alias("_key"),
+        F.struct(key.alias("key"), _lettered().alias("lettered")).alias("_key"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     kind = rows.schema["_key"].dataType.simpleString()
@@ -261,12 +279,10 @@ def languages_of(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a language: ``und`` and scores below ``least`` go.
 
-    The whole row rides along as the key, so nothing is joined.
+    Whole rows go through the tasks that score them, so nothing is joined.
     """
     model = train(training_rows(docs))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return (
-        predict(docs, model, row)
-        .filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
-        .select(*[F.col("_key").getField(c).alias(c) for c in docs.columns])
-    )
+    if model is None:
+        return docs.filter(F.lit(False))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.filter(_lettered()).mapInArrow(_sure(shared, least), docs.schema)
