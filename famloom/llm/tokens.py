@@ -8,6 +8,7 @@ follows white space are encoded whole where that could differ.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -30,8 +31,8 @@ _SUSPECT = (
 )
 #: Where a full stop or comma before white space may belong to a longer run of signs.
 _SIGNS = r"[^\pL\pN][.,][ \n]"
-#: Distinct words kept per Python worker; beyond it the store starts anew.
-CACHED_WORDS = 400_000
+#: Distinct words kept per Python worker; beyond it those that were used once go.
+CACHED_WORDS = 600_000
 #: Text bytes cut into words at a time.
 WORD_SLICE = 4 << 20
 #: Words given to the library at a time; its results are large objects.
@@ -48,13 +49,18 @@ class WordEncoder:
             before = json.load(file).get("pre_tokenizer") or {}
         #: A leading space belongs to the word when the byte-level step cuts the text itself.
         self.spaced = before.get("type") == "ByteLevel"
-        self._reset()
-
-    def _reset(self) -> None:
         self.words = pa.array([], pa.string())
         self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        self.starts, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _keep(self, rows: np.ndarray) -> None:
+        """Only these rows of the store stay."""
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        spots = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[rows] - ends + sizes, sizes)
+        self.ids, self.starts, self.sizes = self.ids[spots], ends - sizes, sizes
+        self.words = self.words.take(pa.array(rows))
+        self.uses = np.zeros(len(rows), np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -62,13 +68,15 @@ class WordEncoder:
     def _rows(self, words: pa.Array) -> np.ndarray:
         """Row of each distinct word in the store, after adding the missing ones."""
         if len(self.words) > CACHED_WORDS:
-            self._reset()
+            often = np.flatnonzero(self.uses > 1)
+            self._keep(often if len(often) <= CACHED_WORDS // 2 else often[:0])
         release_memory()
         place = pc.index_in(words, value_set=self.words)
         missing = words.filter(pc.is_null(place))
         rows = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(missing):
             pieces = []
+            gc.disable()  # nothing here is cyclic, and there are very many small lists
             for i in range(0, len(missing), _BATCH):
                 found = self.tokenizer.encode_batch_fast(
                     missing.slice(i, _BATCH).to_pylist(), add_special_tokens=False
@@ -76,11 +84,13 @@ class WordEncoder:
                 ids = [encoding.ids for encoding in found]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 pieces.append((np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes))
+            gc.enable()
             flat = np.concatenate([ids for ids, _ in pieces])
             sizes = np.concatenate([sizes for _, sizes in pieces])
             rows[rows < 0] = len(self.words) + np.arange(len(missing))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
+            self.uses = np.concatenate([self.uses, np.zeros(len(missing), np.int64)])
             self.ids = np.concatenate([self.ids, flat])
             self.words = pa.concat_arrays([self.words, missing])
         return rows
@@ -102,7 +112,10 @@ class WordEncoder:
         parts = pc.split_pattern(pc.if_else(signs, marked, split_off), "\0")
         coded = parts.flatten().dictionary_encode()
         offsets = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
-        row = self._rows(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        distinct = self._rows(coded.dictionary)
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        self.uses[distinct] += np.bincount(place, minlength=len(distinct))
+        row = distinct[place]
         del marked, split_off, parts, coded
         sizes = self.sizes[row]
         total = np.zeros(len(row) + 1, np.int64)
