@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from famloom.llm.common import release_memory, slices
+from famloom.llm.common import release_memory, shuffle_partitions, slices
 from famloom.session import discard, durable
 
 #: Lines of a block, and captures of a shard (what one task of a look-up holds).
@@ -374,7 +374,9 @@ def fetch(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
     """
     places = lines.select("file", "offset", "length")
     if _arrow_reads(path):
-        return places.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(_ranges, _RECORD)
+        # Rows are small but stand for whole records, so their number of tasks is fixed.
+        dealt = places.repartition(shuffle_partitions(spark), "file")
+        return dealt.sortWithinPartitions("file", "offset").mapInArrow(_ranges, _RECORD)
     archives = spark.read.format("binaryFile").load(f"{path}/archives").select("path", "content")
     ranges = places.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
     return archives.join(ranges, F.col("path") == F.col("file")).select("content", "ranges").mapInArrow(
