@@ -2,8 +2,10 @@
 
 Every text is scanned as it is (the base spans).  Then a worklist unwraps layers:
 percent-encoding, Unicode and hex escapes, base64, and compressed data inside base64.
-A region that decodes to readable text becomes a layer, is scanned by the same patterns
-and searched for further regions, until nothing new appears; a layer whose content was
+The whole text with all its percent runs, or all its escapes, replaced becomes a layer, so
+that a decoded value keeps a plain key before it; base64 that decodes to readable text
+becomes a layer of its own.  A layer is scanned by the same patterns and searched for
+further layers, until nothing new appears; a layer whose content was
 seen before over the same place is not opened again, so cycles end.  A find in a layer
 maps back to the code points of the text that the layer's characters came from: escapes
 character by character, base64 and compressed data to their whole region.
@@ -51,9 +53,7 @@ _HINTS = {
 }
 _WRAPPED = r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]|[A-Za-z0-9+/_-]{16}"
 
-_PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
 _PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPED = re.compile(r"[^\s]*\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2})[^\s]*")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
@@ -99,9 +99,12 @@ def _utf16(units: str) -> str:
     return data.decode("utf-16-be", "surrogatepass")
 
 
-def _substituted(layer, region, pattern, decoded) -> _Layer | None:
-    """The region with every match of ``pattern`` replaced; the other characters stay."""
-    text, begin, end, fresh, at = [], [], [], [], region.start()
+def _substituted(layer, pattern, decoded) -> _Layer | None:
+    """The whole layer with every match of ``pattern`` replaced; the other characters stay.
+
+    ``decoded`` gives the new characters and how many old ones each came from.
+    """
+    text, begin, end, fresh, at = [], [], [], [], 0
 
     def keep(stop: int) -> None:
         text.append(layer.text[at:stop])
@@ -109,37 +112,38 @@ def _substituted(layer, region, pattern, decoded) -> _Layer | None:
         end.extend(layer.end[at:stop])
         fresh.extend([False] * (stop - at))
 
-    for match in pattern.finditer(layer.text, region.start(), region.end()):
+    for match in pattern.finditer(layer.text):
         new = decoded(match)
         if new is None:
             continue
         keep(match.start())
-        width = (match.end() - match.start()) / max(1, len(new))
-        for i in range(len(new)):
-            first = match.start() + int(i * width)
-            last = max(first, match.start() + int((i + 1) * width) - 1)
-            begin.append(layer.begin[first])
-            end.append(layer.end[min(last, match.end() - 1)])
-        text.append(new)
-        fresh.extend([True] * len(new))
-        at = match.end()
+        at = match.start()
+        for char, width in zip(*new):
+            text.append(char)
+            begin.append(layer.begin[at])
+            at += width
+            end.append(layer.end[at - 1])
+        fresh.extend([True] * len(new[0]))
     if not any(fresh):
         return None
-    keep(region.end())
+    keep(len(layer.text))
     return _Layer("".join(text), begin, end, fresh)
 
 
-def _percent(match: re.Match) -> str | None:
-    return _readable(bytes.fromhex(match[0].replace("%", "")))
+def _percent(match: re.Match) -> tuple[str, list[int]] | None:
+    text = _readable(bytes.fromhex(match[0].replace("%", "")))
+    return text and (text, [3 * len(c.encode()) for c in text])
 
 
-def _escape(match: re.Match) -> str | None:
+def _escape(match: re.Match) -> tuple[str, list[int]] | None:
     if match[1] is not None:
         point = int(match[1], 16)
-        return chr(point) if point < 0x110000 else None
+        return (chr(point), [len(match[0])]) if point < 0x110000 else None
     if match[0].startswith("\\x"):
-        return bytes.fromhex(match[0].replace("\\x", "")).decode("latin-1")
-    return _utf16(match[0])
+        text = bytes.fromhex(match[0].replace("\\x", "")).decode("latin-1")
+        return text, [4] * len(text)
+    text = _utf16(match[0])
+    return text, [12 if c > "\uffff" else 6 for c in text]
 
 
 def _windows(data: bytes) -> Iterator[bytes]:
@@ -185,10 +189,8 @@ def unwrap(text: str) -> set[tuple[int, int, int]]:
     seen: set[tuple] = set()
 
     def opened(layer: _Layer) -> Iterator[_Layer]:
-        for region in _PERCENT.finditer(layer.text):
-            yield _substituted(layer, region, _PERCENT_RUN, _percent)
-        for region in _ESCAPED.finditer(layer.text):
-            yield _substituted(layer, region, _ESCAPE, _escape)
+        yield _substituted(layer, _PERCENT_RUN, _percent)
+        yield _substituted(layer, _ESCAPE, _escape)
         for region in _BASE64.finditer(layer.text):
             yield from _base64_layers(layer, region)
 

@@ -445,6 +445,19 @@ def test_single_escapes_keep_exact_ends():
     assert {text[a:b] for a, _, b in secrets.unwrap(text)} == {"token%3Dabcdefg", "\\u0070assword=secret99"}
 
 
+@pytest.mark.parametrize(
+    "text,part",
+    [
+        (r'{"password": "\u0068\u0075\u006e\u0074\u0065\u0072\u0032\u0032"}', r'password": "\u0068\u0075\u006e\u0074\u0065\u0072\u0032\u0032'),
+        ("password = %68%75%6e%74%65%72%32%32 ok", "password = %68%75%6e%74%65%72%32%32"),
+        ("é 'token' : '%C3%A9' %73ecret  =  \"\\x68unter%322\" ok", "%73ecret  =  \"\\x68unter%322"),
+        (r"see api_key: \ud83d\ude00 passwd: \u0061bc\u{64}ef", r"passwd: \u0061bc\u{64}ef"),
+    ],
+)
+def test_values_parted_from_keys_by_spaces_and_quotes(text, part):
+    assert part in {text[a:b] for a, _, b in secrets.unwrap(text)}
+
+
 def test_cycles_and_big_layers_end(monkeypatch):
     assert secrets.unwrap("%2525252541 %%%41%zz \\u00 " + "A" * 5000) == set()
     monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
