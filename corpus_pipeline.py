@@ -24,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines are deleted; a document of nothing else goes."""
-    return line_dedup.drop_repeated_lines(docs, drop_emptied=True)
+    """Later copies of two or more lines, or of one line of 50 words, go; so do emptied documents."""
+    return line_dedup.drop_repeated_lines(docs, drop_emptied=True, min_words=line_dedup.PASSAGE_WORDS)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ doubling stops there; a last, overlapping step makes the depth exact.
 Suffixes of one final rank are an interval of the suffix array whose common prefix is at
 least ``min_lines`` lines.  The first of an interval by (doc_id, line) stays; each later
 one marks its ``min_lines`` lines, and marked lines that touch make the maximal repeated
-runs, which are deleted.  Runs never cross documents; overlaps count.
+runs, which are deleted.  Runs never cross documents; overlaps count.  With
+``min_words``, a line of that many words (runs of characters other than white space) is a
+run by itself, so later copies of it go whatever lines stand around them.
 
 Everything is built-in functions.  A line that a third of all documents hold is a hot
 pair only in joins of two shuffled sides, which adaptive execution splits.
@@ -32,6 +34,8 @@ from famloom.operators.skew import global_position
 from famloom.session import discard, durable
 
 MIN_LINES = 2
+#: Words of a line that is long enough to be a passage by itself.
+PASSAGE_WORDS = 50
 _DOC = ["doc_id", "mark"]
 
 
@@ -55,21 +59,24 @@ def _ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return global_position(again, [F.col(k) for k in keys], "rank")
 
 
-def suffix_ranks(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, mark, line, rank, head: suffixes whose first ``depth`` lines occur again.
-
-    Equal ranks mean equal first ``depth`` lines, ranks follow the order of line ids, and
-    ``head`` is the first place of the rank.
-    """
+def _line_ranks(docs: DataFrame, min_words: int | None = None) -> DataFrame:
+    """doc_id, mark, line, rank, head of lines that occur again; with ``min_words`` also long."""
+    content, keys = F.col("content"), [*_DOC, "line"]
     found = id_and_text(docs).withColumn("mark", F.xxhash64("text")).select(
         *_DOC, F.posexplode(_lines(F.col("text"))).alias("line", "content")
     )
-    lines = durable(
-        found.select(*_DOC, "line", F.unhex(F.sha2(F.col("content"), 256)).alias("content")).distinct()
-    )
+    if min_words is not None:
+        words = F.regexp_count(content, F.lit(r"[^ \t\r\f\x0B]+"))
+        found, keys = found.withColumn("long", words >= min_words), [*keys, "long"]
+    lines = durable(found.select(*keys, F.unhex(F.sha2(content, 256)).alias("content")).distinct())
     first = _ranked(lines, ["content"])
-    suffixes = durable(lines.join(first, "content").select(*_DOC, "line", "rank", "head"))
+    suffixes = durable(lines.join(first, "content").select(*keys, "rank", "head"))
     discard(lines)
+    return suffixes
+
+
+def _deeper(suffixes: DataFrame, depth: int) -> DataFrame:
+    """Ranks over ``depth`` lines from ranks over one, whose table is deleted."""
     reach = 1
     while reach < depth:
         step = min(reach, depth - reach)
@@ -84,17 +91,35 @@ def suffix_ranks(docs: DataFrame, depth: int) -> DataFrame:
     return suffixes
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def suffix_ranks(docs: DataFrame, depth: int) -> DataFrame:
+    """doc_id, mark, line, rank, head: suffixes whose first ``depth`` lines occur again.
+
+    Equal ranks mean equal first ``depth`` lines, ranks follow the order of line ids, and
+    ``head`` is the first place of the rank.
+    """
+    return _deeper(_line_ranks(docs), depth)
+
+
+def repeated_runs(
+    docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None
+) -> DataFrame:
     """doc_id, mark, runs: per document the maximal runs (first, last line, from 0) to delete."""
-    later = suffix_ranks(docs, min_lines).filter(~_place().eqNullSafe(F.col("head")))
-    in_order = Window.partitionBy(*_DOC).orderBy("line")
-    gap = F.col("line") - F.lag("line").over(in_order) > min_lines
-    islands = later.select(*_DOC, "line", F.coalesce(gap, F.lit(True)).cast("int").alias("_new")).select(
-        *_DOC, "line", F.sum("_new").over(in_order).alias("_run")
+    is_later = ~_place().eqNullSafe(F.col("head"))
+    marks = lambda df, n: df.filter(is_later).select(*_DOC, "line", (F.col("line") + n - 1).alias("last"))
+    ranks = _line_ranks(docs, min_words)
+    passages = None if min_words is None else durable(marks(ranks.filter("long"), 1))
+    later = marks(_deeper(ranks, min_lines), min_lines)
+    if passages is not None:
+        later = later.unionByName(passages)
+    in_order = Window.partitionBy(*_DOC).orderBy("line", "last")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.col("line") > F.max("last").over(before) + 1
+    islands = later.select(*_DOC, "line", "last", F.coalesce(gap, F.lit(True)).cast("int").alias("_new")).select(
+        *_DOC, "line", "last", F.sum("_new").over(in_order).alias("_run")
     )
     return (
         islands.groupBy(*_DOC, "_run")
-        .agg(F.min("line").alias("first"), (F.max("line") + min_lines - 1).alias("last"))
+        .agg(F.min("line").alias("first"), F.max("last").alias("last"))
         .groupBy(*_DOC)
         .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
     )
@@ -113,7 +138,9 @@ def _kept(lines: Column, runs: Column) -> Column:
     )
 
 
-def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def without_repeated_lines(
+    docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None
+) -> DataFrame:
     """Per document: _row (all its columns), kept_text, n_lines, n_removed, n_runs."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     rows = rows.select(
@@ -121,7 +148,7 @@ def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataF
         F.col("_row.doc_id").cast("bigint").alias("_id"),
         F.xxhash64(F.coalesce(F.col("_row.text"), F.lit(""))).alias("_mark"),
     )
-    runs = repeated_runs(docs, min_lines)
+    runs = repeated_runs(docs, min_lines, min_words)
     same = rows["_id"].eqNullSafe(runs.doc_id) & (rows["_mark"] == runs.mark)
     joined = rows.join(runs, same, "left").select("_row", "runs")
     lines = _lines(F.col("_row.text"))
@@ -149,13 +176,16 @@ def digest_rows(cut: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(
-    docs: DataFrame, min_lines: int = MIN_LINES, drop_emptied: bool = False
+    docs: DataFrame,
+    min_lines: int = MIN_LINES,
+    drop_emptied: bool = False,
+    min_words: int | None = None,
 ) -> DataFrame:
     """``docs`` with later copies of line runs deleted from the text; n_chars follows the text.
 
     With ``drop_emptied``, rows all of whose lines were deleted go.
     """
-    cut = without_repeated_lines(docs, min_lines)
+    cut = without_repeated_lines(docs, min_lines, min_words)
     if drop_emptied:
         cut = cut.filter(F.col("n_removed") < F.col("n_lines"))
     new = {"text": F.col("kept_text")}

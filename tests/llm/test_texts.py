@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 from urllib.parse import quote
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -132,6 +133,42 @@ def test_repeated_lines(spark, odd, m):
     )
 
 
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_repeated_passages(spark, odd, m):
+    draw = random.Random(m)
+    kinds = ["a", "b", "c", "one two", "one two  three", " four\tfive six seven", "x y z é", ""]
+    docs = [(i, "\n".join(draw.choice(kinds) for _ in range(draw.randint(1, 9)))) for i in range(80)]
+    seen, want = set(), set()
+    for key, text in docs:
+        lines, gone = text.split("\n"), set()
+        for i, line in enumerate(lines):
+            for kind, n, counts in (("run", m, True), ("passage", 1, len(line.split()) >= 3)):
+                window = tuple(lines[i : i + n])
+                if counts and len(window) == n:
+                    if (kind, window) in seen:
+                        gone.update(range(i, i + n))
+                    seen.add((kind, window))
+        runs = sum(i in gone and i - 1 not in gone for i in range(len(lines)))
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        want.add((key, len(gone), runs, kept))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    cut = line_dedup.without_repeated_lines(df, m, 3)
+    assert {(r._row.doc_id, r.n_removed, r.n_runs, r.kept_text) for r in cut.collect()} == want
+    assert line_dedup.drop_repeated_lines(odd, m, min_words=3).columns == odd.columns
+
+
+def test_pipeline_drops_a_passage_on_one_line(spark):
+    passage = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame(
+        [(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd"), (3, passage), (4, f"{passage[4:]}\na")],
+        "doc_id bigint, text string",
+    )
+    found = corpus_pipeline.dedup_lines(spark, docs, FOLDER)
+    assert {tuple(r) for r in found.collect()} == {
+        (1, f"a\n{passage}\nb"), (2, "c\nd"), (4, f"{passage[4:]}\na")
+    }
+
+
 def test_repeated_lines_emptied_and_empty(spark, empty):
     df = spark.createDataFrame([(1, "a\nb"), (2, "a\nb"), (3, "")], "doc_id bigint, text string")
     assert {r.doc_id for r in line_dedup.drop_repeated_lines(df, drop_emptied=True).collect()} == {1, 3}
