@@ -51,7 +51,8 @@ _HINTS = {
     "access": r"AKIA[A-Z0-9]",
     "hex": r"[0-9a-f]{24}",
 }
-_WRAPPED = r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]|[A-Za-z0-9+/_-]{16}"
+#: What a text must hold to be unwrapped: the least that each pattern of encoded parts matches.
+_WRAPPED = r"%[0-9A-Fa-f]{2}|\\(?:u\{?|x)[0-9A-Fa-f]|[A-Za-z0-9+/_-]{16}"
 
 _PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\x[0-9A-Fa-f]{2})+")

@@ -504,6 +504,14 @@ def test_cycles_and_big_layers_end(monkeypatch):
     assert secrets.unwrap(text) == {(0, 0, len(text))}
 
 
+def test_each_encoded_form_alone_is_unwrapped(spark):
+    hidden = base64.b64encode(b"password=hunter22").decode()
+    forms = [r"\u{70}assword=hunter22", r"\u0070assword=hunter22", r"\x70assword=hunter22", "%70assword=hunter22", hidden]
+    docs = spark.createDataFrame([(i, f"now {x} ok") for i, x in enumerate(forms)], "doc_id bigint, text string")
+    found = {(r.doc_id, r.spans, r.n_decoded) for r in secrets.find_secrets(docs).collect()}
+    assert found == {(i, f"assign:4:{4 + len(x)}", 1) for i, x in enumerate(forms)}
+
+
 def test_secret_rows(odd, empty):
     found = secrets.find_secrets(odd).collect()
     assert len(found) == len(ODD) and {r.base_sha256 for r in found} == {hashlib.sha256(b"").hexdigest()}
