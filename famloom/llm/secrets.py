@@ -1,29 +1,33 @@
 """Secrets in whole texts, also inside nested encodings.
 
 Every text is scanned as it is (the base spans).  Then a worklist unwraps layers:
-percent-encoding, Unicode and hex escapes, base64, and compressed data inside base64.
+percent-encoding, Unicode and hex escapes, base64, and compressed data (gzip, zlib, bzip2,
+xz, nested and of many members) in base64, percent-encoded or hex-escaped bytes.
 The whole text with all its percent runs, or all its escapes, replaced becomes a layer, so
 that a decoded value keeps a plain key before it; base64 that decodes to readable text
-becomes a layer of its own.  A layer is scanned by the same patterns and searched for
+becomes a layer of its own, as does base64 over several lines and each readable stretch
+under any of the four alignments.  A layer is scanned by the same patterns and searched for
 further layers, until nothing new appears; a layer whose content was
 seen before over the same place is not opened again, so cycles end.  A find in a layer
 maps back to the code points of the text that the layer's characters came from: escapes
-character by character, base64 and compressed data to their whole region.
+character by character, base64 and compressed data to the whole of their region that holds
+the readable stretch or the outermost compressed stream.
 
 Null and empty texts have no finds.  Rows are independent, so repeated rows give repeated
-results and an empty table none.  Further columns are ignored.  A compressed layer of
-more than ``LAYER_BYTES`` is scanned in overlapping windows of that size, each a layer of
-its own.
+results and an empty table none.  Further columns are ignored.  Decompressed text beyond
+``LAYER_BYTES`` is cut only where no find and no encoded part can lie across, so the cuts
+change no result; content without such a place, or that is not text, is held whole.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 
 from famloom.llm.common import id_and_text, slices
 
-#: Decoded bytes held at a time when data are decompressed, and what windows share.
+#: Decompressed text is cut from this size on, at a place within so many bytes of its end.
 LAYER_BYTES = 4 << 20
 WINDOW_OVERLAP = 64 << 10
 
@@ -57,6 +61,35 @@ _WRAPPED = r"%[0-9A-Fa-f]{2}|\\(?:u\{?|x)[0-9A-Fa-f]|[A-Za-z0-9+/_-]{16}"
 _PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same over lines, of which all but the last are as long; a single line matches too.
+_BASE64_LINES = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,}+)*+"
+    r"(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]++)?={0,2}"
+)
+_NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/_-]+")
+
+#: How compressed data begin, as bytes and as text with encoded bytes.
+_STREAM = re.compile(rb"(\x1f\x8b\x08)|(\x78[\x01\x5e\x9c\xda])|(BZh[1-9]1AY&SY)|(\xfd7zXZ\0)")
+_OPENERS: list[Callable] = [lambda: zlib.decompressobj(31), zlib.decompressobj, bz2.BZ2Decompressor, lzma.LZMADecompressor]
+_STREAM_TEXT = {
+    kind: re.compile(
+        "E1[fF]E8[bB]|(?:x|E78)(?:E01|E5[eE]|\\^|E9[cC]|E[dD][aA])|(?:B|E42)(?:Z|E5[aA])(?:h|E68)|E[fF][dD](?:7|E37)".replace("E", e)
+    )
+    for kind, e in (("%", "%"), ("\\x", r"\\x"))
+}
+_BYTE_RUN = {"%": re.compile("[!-~]*"), "\\x": re.compile("[ -~]*")}
+_BYTE = {
+    "%": re.compile("%([0-9A-Fa-f]{2})|(?s:.)"),
+    "\\x": re.compile(r"\\x([0-9A-Fa-f]{2})|\\[abfnrtv0\\'\"]|(?s:.)"),
+}
+_NAMED = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0"))
+#: Text of the length of the shortest find among other bytes.
+_STRETCH = re.compile(
+    rb"(?:[\t\n\f\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}"
+    rb"|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}"
+)
+#: Where decompressed text may be cut: no pattern above goes on from there.
+_CUT = re.compile(rb"\n(?=[^A-Za-z0-9+/_\x20\t-])|(?=[\xc2-\xf4])")
 
 _OUT = (
     "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, "
@@ -147,41 +180,133 @@ def _escape(match: re.Match) -> tuple[str, list[int]] | None:
     return text, [12 if c > "\uffff" else 6 for c in text]
 
 
-def _windows(data: bytes) -> Iterator[bytes]:
-    """Readable content of plain or compressed bytes, compressed data window by window."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-        machine, held, rest = zlib.decompressobj(47), b"", data
+def _decompressed(data: memoryview, kind: int) -> Iterator[tuple[bytes, int]]:
+    """(new bytes, end of the last whole member so far) of a stream and the members after it."""
+    machine, at, whole = _OPENERS[kind](), 0, 0
+    while at < len(data):
+        rest = bytes(data[at : at + WINDOW_OVERLAP])
+        at += len(rest)
+        more = True
         try:
-            while True:
+            while more and not machine.eof:
                 new = machine.decompress(rest, LAYER_BYTES)
-                rest = machine.unconsumed_tail
-                if not new:
-                    break
-                yield held + new
-                held = new[-WINDOW_OVERLAP:]
-        except zlib.error:
+                rest = getattr(machine, "unconsumed_tail", b"")
+                more = bool(rest) or len(new) == LAYER_BYTES or not getattr(machine, "needs_input", True)
+                if machine.eof:
+                    at -= len(machine.unused_data)
+                    whole = at
+                yield new, whole
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
             return
-    else:
-        yield data
+        if machine.eof:
+            head = _STREAM.match(bytes(data[at : at + 16]))
+            if not head or head.lastindex != kind + 1:
+                return
+            machine = _OPENERS[kind]()
+
+
+def _windows(parts: Iterator[tuple[bytes, int]]) -> Iterator[bytes]:
+    """The content of a stream, cut only where that changes nothing."""
+    held, goal = bytearray(), LAYER_BYTES
+    for new, _ in parts:
+        held += new
+        if len(held) >= goal:
+            near = max(0, len(held) - WINDOW_OVERLAP)
+            cut = max((near + m.end() for m in _CUT.finditer(held[near:])), default=0)
+            if cut and _readable(bytes(held[:cut])):
+                yield bytes(held[:cut])
+                del held[:cut]
+            goal = max(LAYER_BYTES, 2 * len(held))
+    if held:
+        yield bytes(held)
+
+
+def _contents(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(text, first byte, end) of readable parts of bytes, also inside nested compressed streams."""
+    seen: set[tuple] = set()
+    work: list[Iterator] = [iter([(data, None)])]
 
+    def unpacked(part: bytes, streams: list, place) -> Iterator[tuple]:
+        for first, end, kind in streams:
+            for window in _windows(_decompressed(memoryview(part)[first:], kind)):
+                yield window, place or (first, end)
 
-def _base64_layers(layer, region) -> Iterator[_Layer]:
-    raw = region[0].rstrip("=")
-    if len(raw) % 4 == 1:
-        return
-    try:
-        data = base64.b64decode(raw.replace("-", "+").replace("_", "/") + "=" * (-len(raw) % 4))
-    except (binascii.Error, ValueError):
-        return
-    begin, end = layer.begin[region.start()], layer.end[region.end() - 1]
-    for window in _windows(data):
-        # A window may begin or end inside a character.
-        text = _readable(window) or _readable(window.decode("utf-8", "ignore").encode())
-        if text and (window is data or len(text.encode()) >= len(window) - 6):
-            if window is data and _readable(data) is None:
+    while work:
+        part, place = next(work[-1], (None, None))
+        if part is None:
+            work.pop()
+            continue
+        key = hashlib.sha256(part).digest(), place
+        if key in seen:
+            continue
+        seen.add(key)
+        text = _readable(part)
+        if text is not None:
+            yield text, *(place or (0, len(part)))
+            continue
+        streams, gaps, at = [], [], 0
+        for head in _STREAM.finditer(part):
+            first = head.start()
+            if first < at:
                 continue
-            n = len(text)
-            yield _Layer(text, [begin] * n, [end] * n, [True] * n)
+            made = whole = 0
+            for new, whole in _decompressed(memoryview(part)[first:], head.lastindex - 1):
+                made += len(new)
+            if made:
+                streams.append((first, first + whole if whole else len(part), head.lastindex - 1))
+            if whole:
+                gaps.append((at, first))
+                at = first + whole
+        work.append(unpacked(part, streams, place))
+        for first, end in [*gaps, (at, len(part))]:
+            for match in _STRETCH.finditer(part, first, end):
+                yield match[0].decode(), *(place or match.span())
+
+
+def _solid(layer: _Layer, text: str, first: int, end: int) -> _Layer:
+    n = len(text)
+    return _Layer(text, [layer.begin[first]] * n, [layer.end[end - 1]] * n, [True] * n)
+
+
+def _base64_layers(layer: _Layer, region: re.Match) -> Iterator[_Layer]:
+    raw, places = region[0].rstrip("="), None
+    if "\n" in raw:
+        places = [i for i, c in enumerate(raw) if c not in "\r\n\x20\t"]
+        raw = _NOT_BASE64.sub("", raw)
+    size, start = len(raw), region.start()
+    raw = raw.replace("-", "+").replace("_", "/")
+    for shift in range(4):
+        part = raw[shift : size - ((size - shift) % 4 == 1)]
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        for text, first, end in _contents(data):
+            begin, last = shift + 4 * first // 3, shift - (-4 * end // 3) - 1
+            if places:
+                begin, last = places[begin], places[last]
+            stop = region.end() if end == len(data) else start + last + 1
+            yield _solid(layer, text, start + begin, stop)
+
+
+def _byte_layers(layer: _Layer, kind: str) -> Iterator[_Layer]:
+    """Compressed data in percent-encoded or hex-escaped bytes, between which others stand as they are."""
+    done = 0
+    for head in _STREAM_TEXT[kind].finditer(layer.text):
+        run = _BYTE_RUN[kind].match(layer.text, head.start())
+        if head.start() < done or kind not in run[0]:
+            continue
+        data, places = bytearray(), []
+        for match in _BYTE[kind].finditer(run[0]):
+            part = match[0]
+            places.append(run.start() + match.start())
+            if match[1]:
+                data.append(int(match[1], 16))
+            else:
+                data.append(_NAMED.get(part[1], ord(part[1])) if len(part) == 2 else ord(part))
+        places.append(run.end())
+        if _STREAM.match(data):
+            for text, first, end in _contents(bytes(data)):
+                if first == 0:
+                    done = max(done, places[end])
+                    yield _solid(layer, text, places[0], places[end])
 
 
 def unwrap(text: str) -> set[tuple[int, int, int]]:
@@ -192,8 +317,14 @@ def unwrap(text: str) -> set[tuple[int, int, int]]:
     def opened(layer: _Layer) -> Iterator[_Layer]:
         yield _substituted(layer, _PERCENT_RUN, _percent)
         yield _substituted(layer, _ESCAPE, _escape)
+        for kind in ("%", "\\x"):
+            if kind in layer.text:
+                yield from _byte_layers(layer, kind)
         for region in _BASE64.finditer(layer.text):
             yield from _base64_layers(layer, region)
+        for region in _BASE64_LINES.finditer(layer.text):
+            if "\n" in region[0]:
+                yield from _base64_layers(layer, region)
 
     whole = range(len(text))
     work = [_Layer(text, whole, range(1, len(text) + 1), None)]

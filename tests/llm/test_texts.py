@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import os
 import random
 import re
@@ -504,6 +506,51 @@ def test_cycles_and_big_layers_end(monkeypatch):
     assert secrets.unwrap(text) == {(0, 0, len(text))}
 
 
+def test_compressed_layers_are_opened_to_the_end():
+    secret = b"api_key: QWERTYUI"
+    b64 = lambda data: base64.b64encode(data).decode()
+    packed = gzip.compress(secret)
+    forms = [
+        b64(gzip.compress(gzip.compress(packed))),
+        b64(gzip.compress(b"first ") + gzip.compress(secret[:9]) + gzip.compress(secret[9:])),
+        b64(bz2.compress(zlib.compress(lzma.compress(secret)))),
+        "".join(f"%{c:02x}" for c in packed),
+        quote(zlib.compress(secret), safe=""),
+        "".join(f"\\x{c:02x}" for c in packed),
+        repr(zlib.compress(secret))[2:-1],
+    ]
+    for form in forms:
+        text = f"é before {form} after"
+        assert {(text[a:b], secrets.KINDS[k]) for a, k, b in secrets.unwrap(text)} == {(form, "assign")}, form
+
+
+def test_window_edges_cut_nothing(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
+    monkeypatch.setattr(secrets, "WINDOW_OVERLAP", 100)
+    draw = random.Random(1)
+    noise = lambda n: bytes(draw.randrange(256) for _ in range(n))
+    inner = base64.b64encode(noise(3000) + b" token=abcdefgh " + noise(3000))
+    for data in (
+        b"#x\n" * 300 + inner + b"\n#y" * 900,
+        b"#x\n" * 300 + b"token=" + b"%61" * 900,
+        noise(2000) + zlib.compress(noise(3000) + b" token=abcdefgh " + noise(99)),
+    ):
+        text = base64.b64encode(gzip.compress(data)).decode()
+        assert (0, 0, len(text)) in secrets.unwrap(text)
+
+
+def test_base64_in_parts_of_runs_and_over_lines():
+    found = lambda text: {text[a:b] for a, _, b in secrets.unwrap(text)}
+    assert found("https://ex.org/dl/c2VjcmV0PWFiY2RlZmdoMTI=") == {"c2VjcmV0PWFiY2RlZmdoMTI="}
+    for before in ("a/", "ab_", "abc-", "abcd/", "abcde_"):
+        part = base64.b64encode(b"secret=abcdefgh12").decode()
+        assert any(x.endswith(part) for x in found(f"see {before}{part} ok")), before
+    packed = base64.encodebytes(gzip.compress(b"token=abcdefgh " + bytes(range(256)))).decode().strip()
+    assert packed.count("\n") > 2 and packed in found(f"see\n{packed}\n\nok")
+    wrapped = base64.encodebytes(b"x " * 25 + b"password=hunter22 and so on").decode().strip().replace("\n", "\r\n  ")
+    assert found(f"see:\n{wrapped}") == {wrapped}
+
+
 def test_each_encoded_form_alone_is_unwrapped(spark):
     hidden = base64.b64encode(b"password=hunter22").decode()
     forms = [r"\u{70}assword=hunter22", r"\u0070assword=hunter22", r"\x70assword=hunter22", "%70assword=hunter22", hidden]
