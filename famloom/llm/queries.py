@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from famloom.llm import (
     decontaminate,
     exact_dedup,
+    hard_negatives,
     language_id,
     line_dedup,
     minhash,
@@ -73,6 +74,12 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    swapped = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.quantized(table(spark, folder, "embeddings"), scale=256, label=swapped)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -84,10 +91,12 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER copies AS keep_id, count(*) OVER copies AS group_size,
                doc_id = max(doc_id) OVER copies AS kept, sha256(coalesce(text, '')) AS text_sha256
