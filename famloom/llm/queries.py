@@ -13,6 +13,7 @@ from famloom.llm import (
     line_dedup,
     minhash,
     packing,
+    phrases,
     secrets,
     suffix_dedup,
     token_files,
@@ -80,6 +81,10 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -92,11 +97,13 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
+    "op13_phrases": phrases.ORACLE,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER copies AS keep_id, count(*) OVER copies AS group_size,
                doc_id = max(doc_id) OVER copies AS kept, sha256(coalesce(text, '')) AS text_sha256
