@@ -66,7 +66,7 @@ def trie_from_bytes(data: bytes) -> Trie:
     lengths, joined, levels = unpacked(data)
     return Trie(
         word_column(lengths.astype(np.int64), joined),
-        [tuple(x.astype(np.int64) for x in level) for level in levels],
+        levels,
     )
 
 
@@ -99,7 +99,8 @@ def build(words: pa.Array, piece: np.ndarray, depth: int, skip: int = 0) -> Trie
             node = following
         else:
             keys, counts = np.unique(node[ends - 1] * size + word[ends], return_counts=True)
-        levels.append((keys // max(size, 1), keys % max(size, 1), counts))
+        levels.append(tuple(_narrow(x) for x in (keys // max(size, 1), keys % max(size, 1), counts)))
+        del keys, ends
     return Trie(table, levels)
 
 
@@ -143,7 +144,7 @@ def split(trie: Trie, boundaries: Sequence[Sequence[bytes]]) -> Iterator[tuple[i
             span = slice(start[k], high[k])
             counts = count[span].copy()
             counts[: low[k] - start[k]] = 0
-            levels.append((parent[span] - (start[k - 1] if k else 0), label[span], counts))
+            levels.append((parent[span].astype(np.int64) - (start[k - 1] if k else 0), label[span], counts))
             used.append(label[span])
         names, places = np.unique(np.concatenate(used), return_inverse=True)
         ends = np.cumsum([len(u) for u in used])
@@ -184,7 +185,7 @@ def union(tries: list[Trie], least: int = 1) -> Trie:
             up = places[parent]
             stays = up >= 0
             keys.append(up[stays] * size + names[label[stays]])
-            counts.append(count[stays])
+            counts.append(count[stays].astype(np.int64))
             sizes.append(int(stays.sum()))
             kept.append(stays)
         distinct, sums, where = _summed(np.concatenate(keys), np.concatenate(counts))

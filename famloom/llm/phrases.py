@@ -36,7 +36,7 @@ from famloom.operators.skew import lookup
 from famloom.session import discard, durable
 
 #: Text bytes that one shard trie is built from, and that one prefix range stands for.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 RANGE_BYTES = 12 << 20
 #: Sampled sequences a range, to lay the boundaries by.
 SAMPLES = 60
@@ -63,10 +63,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     inner = inner[inner < len(data)]
     begins[inner] = ~apart[inner]
     starts = np.flatnonzero(begins)
-    breaks = kinds == 2
-    piece = np.cumsum(breaks, dtype=np.int64)[starts] + np.searchsorted(offsets, starts, side="right")
-    held = np.cumsum(~apart, dtype=np.int64)[starts] - 1  # bytes of words before each
-    lengths = np.diff(np.r_[held, np.count_nonzero(~apart)])
+    ends = ~apart
+    ends[:-1] &= apart[1:] | begins[1:]
+    lengths = np.flatnonzero(ends) + 1 - starts
+    piece = np.searchsorted(np.flatnonzero(kinds == 2), starts) + np.searchsorted(offsets, starts, side="right")
     return count_automata.word_column(lengths, _LOWER[data[~apart]]), piece, starts
 
 
@@ -179,8 +179,8 @@ def _shards(boundaries: list, depth: int, limit: int) -> Callable:
                         ],
                         names=["range", "lang", "trie"],
                     )
-                del trie
-            release_memory()
+                trie = part = None
+                release_memory()
 
     return shards
 
