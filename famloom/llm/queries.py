@@ -9,6 +9,7 @@ from famloom.llm import (
     decontaminate,
     exact_dedup,
     hard_negatives,
+    html_text,
     language_id,
     line_dedup,
     minhash,
@@ -81,6 +82,10 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages"))
+
+
 def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.mine_phrases(table(spark, folder, "documents"))
 
@@ -97,6 +102,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_html_text": op12_html_text,
     "op13_phrases": op13_phrases,
 }
 
