@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from famloom.functions.annotations import document_faults
 from famloom.operators.bitmaps import bitmap_totals
 from famloom.operators.overlaps import overlap_pairs as pairs_of
+from famloom.operators.quarantine import part_rows
 from famloom.operators.sieve import IdSieve
+from famloom.operators.versions import VersionedTable
 from famloom.plans import coverage as C
+from famloom.session import ensure_checkpoint_dir
 from query_catalog.adapters import HITS_SQL, hits, table
 
 
@@ -62,6 +68,52 @@ def residue_bitmap(spark: SparkSession, folder: str) -> DataFrame:
     return totals.withColumn("jaccard", F.try_divide(F.col("overlap").cast("double"), union))
 
 
+def committed_update(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as a versioned table: balances set by orders, then segments of some; both versions."""
+    held = VersionedTable(spark, f"{ensure_checkpoint_dir(spark)}/versioned-{uuid.uuid4().hex}")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    held.create(customers, "c_custkey", buckets=16)
+    changes = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("c_custkey"),
+        F.col("o_totalprice").alias("c_acctbal"),
+        F.struct("o_orderdate", "o_orderkey").alias("row_no"),
+    )
+    second = held.update(changes, ["c_acctbal"], "row_no")
+    rich = held.read().filter("c_acctbal > 200000").select("c_custkey", F.lit("RICH").alias("c_mktsegment"))
+    held.update(rich, ["c_mktsegment"])
+    numbered = [
+        held.read(v.number).withColumn("version", F.lit(v.number)) for v in (second, held.latest())
+    ]
+    return numbered[0].unionByName(numbered[1])
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Each line as an annotation document; some are cut off, lack fields or hold words for numbers."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    whole = F.format_string('{"p":[["PF",1e-5,20.0,1,3,%d,%d]],"m":[["F",1e-7,35.0,%d,%d]]}', n, n + 4, q, q + 6)
+    document = (
+        F.when(F.col("l_tax") == 0.01, F.expr("substring(whole, 1, length(whole) - 1)"))
+        .when(F.col("l_tax") == 0.02, F.format_string('{"p":[["PF",1e-5,20.0,1,3,%d]]}', n))
+        .when(F.col("l_tax") == 0.03, F.format_string('{"m":[["F",1e-7,35.0,%d,"end"]]}', n))
+        .when(F.col("l_tax") == 0.04, F.format_string('{"m":{"F":%d}}', n))
+        .when(F.col("l_tax") == 0.05, F.lit(None).cast("string"))
+        .otherwise(F.col("whole"))
+    )
+    lines = table(spark, folder, "lineitem").withColumn("whole", whole)
+    return lines.select("l_orderkey", "l_linenumber", document.alias("metadata"))
+
+
+def annotation_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Good and rejected documents with the reason, and how many share it."""
+    parted = part_rows(_documents(spark, folder), document_faults(F.col("metadata")))
+    counts = [F.struct(F.lit(k).alias("outcome"), F.lit(n).cast("bigint").alias("n")) for k, n in parted.counts.items()]
+    totals = spark.range(1).select(F.inline(F.array(*counts)))
+    both = parted.rejected.withColumnRenamed("reject_reason", "outcome").unionByName(
+        parted.good.withColumn("outcome", F.lit("good"))
+    )
+    return both.join(F.broadcast(totals), "outcome").select("l_orderkey", "l_linenumber", "metadata", "outcome", "n")
+
+
 QUERIES = {
     "overlap_pairs": overlap_pairs,
     "overlap_partners": overlap_partners,
@@ -69,6 +121,8 @@ QUERIES = {
     "sieve_remove": sieve_remove,
     "sieve_flag": sieve_flag,
     "residue_bitmap": residue_bitmap,
+    "committed_update": committed_update,
+    "annotation_quarantine": annotation_quarantine,
 }
 
 _LARGE = "SELECT o_orderkey FROM orders WHERE o_totalprice > 300000"
@@ -105,5 +159,33 @@ SELECT protein, count(*) FILTER (one) AS total1, count(*) FILTER (two) AS total2
        count(*) FILTER (one AND two) AS overlap,
        CAST(count(*) FILTER (one AND two) AS DOUBLE) / count(*) AS jaccard
 FROM sides GROUP BY protein
+""",
+    "committed_update": """
+WITH second AS (
+  SELECT c_custkey, coalesce(arg_max(o_totalprice, (o_orderdate, o_orderkey)), any_value(c_acctbal)) AS c_acctbal,
+         any_value(c_mktsegment) AS c_mktsegment
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
+SELECT *, 2 AS version FROM second
+UNION ALL
+SELECT c_custkey, c_acctbal, CASE WHEN c_acctbal > 200000 THEN 'RICH' ELSE c_mktsegment END, 3 FROM second
+""",
+    "annotation_quarantine": """
+WITH written AS (
+  SELECT l_orderkey, l_linenumber, l_tax,
+         printf('{"p":[["PF",1e-5,20.0,1,3,%d,%d]],"m":[["F",1e-7,35.0,%d,%d]]}', l_linenumber, l_linenumber + 4,
+                CAST(l_quantity AS INTEGER), CAST(l_quantity AS INTEGER) + 6) AS whole
+  FROM lineitem),
+judged AS (
+  SELECT l_orderkey, l_linenumber,
+         CASE l_tax WHEN 0.01 THEN left(whole, length(whole) - 1)
+              WHEN 0.02 THEN printf('{"p":[["PF",1e-5,20.0,1,3,%d]]}', l_linenumber)
+              WHEN 0.03 THEN printf('{"m":[["F",1e-7,35.0,%d,"end"]]}', l_linenumber)
+              WHEN 0.04 THEN printf('{"m":{"F":%d}}', l_linenumber)
+              WHEN 0.05 THEN NULL ELSE whole END AS metadata,
+         CASE l_tax WHEN 0.01 THEN 'not a JSON object' WHEN 0.02 THEN 'short hit under p'
+              WHEN 0.03 THEN 'bad coordinate under m' WHEN 0.04 THEN 'm is not a list of hits'
+              ELSE 'good' END AS outcome
+  FROM written)
+SELECT *, count(*) OVER (PARTITION BY outcome) AS n FROM judged
 """,
 }
