@@ -177,6 +177,28 @@ def test_redundancy_star_settles(spark):
     assert [(r["fam1"], r["fam2"]) for r in kept.collect()] == [(1, 2)]
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_redundancy_of_a_long_chain_takes_few_rounds(spark, monkeypatch, seed):
+    """Each family's only winner is the one before it; the pairs' order is drawn."""
+    count, rounds = 200, []
+    step = redundancy._next_rules
+    monkeypatch.setattr(redundancy, "_next_rules", lambda *a: rounds.append(1) or step(*a))
+    when = list(range(count))
+    if seed:
+        random.Random(seed).shuffle(when)
+    else:
+        when.reverse()  # every outcome hangs on the whole chain before it
+    pairs = sorted(((i, i + 1, when[i]) for i in range(count)), key=lambda p: p[2])
+    size = {i: 1000 - i for i in range(count + 1)}
+    dropped = redundancy.redundant_families(
+        spark.createDataFrame(pairs, "fam1 long, fam2 long, row_no long"),
+        spark.createDataFrame(list(size.items()), "id long, family_size long"),
+    )
+    got = [r["family_id"] for r in dropped.orderBy(F.col("dropped_at").desc()).collect()]
+    assert got == _sequential(pairs, size)
+    assert len(rounds) <= 9
+
+
 def test_redundancy_needs_sizes(spark):
     with pytest.raises(Exception, match="no size for family 2"):
         redundancy.redundant_families(
