@@ -106,6 +106,37 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
+def extend_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after new edges joined the graph: the same as a run over all edges.
+
+    ``labels`` is the last version, (node, component) with the smallest node as component;
+    ``edges`` are symmetric and may bring new nodes.  Each end becomes its component, so
+    only the components that the new edges touch are joined anew: rounds and rows follow
+    the new edges, and the old ones are not read.
+    """
+    labels, edges = labels.select("node", "component"), durable(edges.select("src", "dst"))
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    known = durable(ends.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+
+    def of(end: str) -> DataFrame:
+        return known.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+
+    contracted = (
+        edges.join(of("src"), "src")
+        .join(of("dst"), "dst")
+        .select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+        .filter("src <> dst")
+    )
+    merged = connected_components(durable(contracted.distinct())).select(
+        F.col("node").alias("component"), F.col("component").alias("_new")
+    )
+    fresh = known.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    every = labels.unionByName(fresh)
+    return lookup(every, merged.filter("component <> _new"), ["component"]).select(
+        "node", F.coalesce("_new", "component").alias("component")
+    )
+
+
 def cluster_summaries(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clusters, members) of the graph given by symmetric text edges.
 

@@ -207,6 +207,29 @@ def test_redundancy_needs_sizes(spark):
         ).collect()
 
 
+def _both_ways(edges):
+    return [(str(a), str(b)) for a, b in edges] + [(str(b), str(a)) for a, b in edges]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_after_new_edges_equal_a_full_run(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    draw = lambda n, most: [(rng.randrange(most), rng.randrange(most)) for _ in range(n)]
+    old, new = draw(60, 90), draw(12, 110) + [(500, 501), (501, 3)]
+    of = lambda pairs: spark.createDataFrame(_both_ways(pairs), "src string, dst string")
+    before = graph.connected_components(of(old))
+    read = []
+    whole = graph.connected_components
+    monkeypatch.setattr(graph, "connected_components", lambda e: read.append(e.count()) or whole(e))
+    after = graph.extend_components(before, of(new))
+    monkeypatch.undo()
+    got = sorted(map(tuple, after.collect()))
+    assert got == sorted(map(tuple, graph.connected_components(of(old + new)).collect()))
+    assert read and read[0] <= 2 * len(new)
+    nothing = graph.extend_components(before, of([]))
+    assert sorted(map(tuple, nothing.collect())) == sorted(map(tuple, before.collect()))
+
+
 def _check_components(spark, seed):
     rng = random.Random(seed)
     edges = [(str(rng.randrange(120)), str(rng.randrange(120)), 0.5) for _ in range(70)]
