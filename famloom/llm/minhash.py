@@ -12,10 +12,11 @@ small sets agree register by register as often as large ones.  Five registers ma
    within five standard deviations, and if sizes allow it; links are confirmed on full
    sets.
 3. Bands that now hold more than one component are unresolved: every member outside the
-   band's largest component is estimated against all members, block by block inside
-   tasks.  Where the estimate leaves a component possible, the member's full set is
-   compared with those of the whole component, again by blocks, and only links come out.
-   Pairs inside one component need no look, whatever their number.
+   band's largest component is estimated against all members, in cells of a visitor block
+   and a member block; a pair is looked at in the first band that it shares.  Where the
+   estimate leaves a component possible, the member's full set is compared with those of
+   the whole component, again in cells, and only links come out; they extend the
+   components of step 2.  Pairs inside one component need no look, whatever their number.
 
 So no link is lost between sets that share a band, and a pair at 0.75 misses all 51 bands
 with a chance of 1e-6.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from famloom.llm.common import binary_rows, id_and_text, slices, text_bytes
-from famloom.operators.graph import connected_components
+from famloom.operators.graph import connected_components, extend_components
 from famloom.session import discard, durable
 
 WORDS = 5
@@ -42,9 +43,9 @@ REGISTERS = 256
 ROWS = 5
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
-#: Members of a band that are compared with its outsiders in one go.
+#: Members, and outsiders, of a band that are compared in one cell.
 BLOCK = 2048
-#: Members of a component whose full sets are compared with its visitors in one go.
+#: Members of a component, and visitors, whose full sets are compared in one cell.
 SET_BLOCK = 512
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -175,30 +176,36 @@ def band_keys(codes: np.ndarray) -> np.ndarray:
     return total
 
 
-def estimated_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def _levels(n: np.ndarray) -> np.ndarray:
+    """Chance of each leading-zero count in a bucket of sets of these sizes."""
+    load = np.maximum(np.asarray(n, float), REGISTERS)[..., None] / REGISTERS
+    above = np.exp(-load * np.exp2(-np.arange(0, 40.0)))  # no value below this level
+    return np.diff(1 - above, append=0.0) * -1
+
+
+def _corrected(a: np.ndarray, b: np.ndarray, levels_a: np.ndarray, levels_b: np.ndarray) -> np.ndarray:
     """Share of equal registers, corrected for registers of different sets that agree by chance.
 
     Two unrelated buckets agree when their leading-zero counts do and then with chance
     2**-``MANTISSA`` for the mantissa.
     """
-    same = (a == b).mean(axis=-1)
-    level = np.exp2(-np.arange(0, 40.0))
+    chance = (levels_a * levels_b).sum(axis=-1) / (1 << MANTISSA)
+    return ((a == b).mean(axis=-1) - chance) / (1 - chance)
 
-    def share(n):
-        load = np.maximum(np.asarray(n, float), REGISTERS)[..., None] / REGISTERS
-        above = np.exp(-load * level)  # no value below this level
-        return np.diff(1 - above, append=0.0) * -1
 
-    chance = (share(n_a) * share(n_b)).sum(axis=-1) / (1 << MANTISSA)
-    return (same - chance) / (1 - chance)
+def estimated_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Similarity of pairs of register rows."""
+    return _corrected(a, b, _levels(n_a), _levels(n_b))
+
+
+def _margin(large: np.ndarray, least: float) -> np.ndarray:
+    return 5 * np.sqrt(least * (1 - least) / np.maximum(np.minimum(large, REGISTERS), 1))
 
 
 def may_be_similar(a, b, n_a, n_b, least: float) -> np.ndarray:
     """False only where sizes rule the pair out, or the estimate by five deviations."""
     small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-    drawn = np.minimum(large, REGISTERS)
-    margin = 5 * np.sqrt(least * (1 - least) / np.maximum(drawn, 1))
-    return (small >= least * large) & (estimated_jaccard(a, b, n_a, n_b) >= least - margin)
+    return (small >= least * large) & (estimated_jaccard(a, b, n_a, n_b) >= least - _margin(large, least))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,24 +315,36 @@ def _id_pairs(pairs: list[tuple[int, np.ndarray]], names: list[str]) -> pa.Recor
 
 
 def _outsiders(least: float):
-    """(visitor, component): components of a band that hold a member the visitor may be similar to."""
+    """(visitor, component): components of a band that hold a member the visitor may be similar to.
+
+    A pair that shares an earlier band is left to that one: both stand there too, one of
+    them as a visitor.
+    """
 
     def compare(table: pa.RecordBatch) -> pa.RecordBatch:
         codes, n = _codes(table.column("codes")), table.column("n").to_numpy()
         ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
         visitor = table.column("visitor").to_numpy(zero_copy_only=False)
+        keys = band_keys(codes).view(np.int64)
+        at = int(np.flatnonzero(keys[0] == table.column("band")[0].as_py())[0])
+        earlier, levels = keys[:, :at], _levels(n)
         members, found = np.flatnonzero(~visitor), []
         for g in np.flatnonzero(visitor).tolist():
-            other = members[component[members] != component[g]]
-            fits = other[may_be_similar(codes[g], codes[other], n[g], n[other], least)]
-            found.append((ids[g], np.unique(component[fits])))
+            large = np.maximum(n[members], n[g])
+            fits = (component[members] != component[g]) & (np.minimum(n[members], n[g]) >= least * large)
+            other, large = members[fits], large[fits]
+            if at:
+                first = ~(earlier[other] == earlier[g]).any(axis=1)
+                other, large = other[first], large[first]
+            likely = _corrected(codes[g], codes[other], levels[g], levels[other]) >= least - _margin(large, least)
+            found.append((ids[g], np.unique(component[other[likely]])))
         return _id_pairs(found, ["id", "target"])
 
-    return _by_group(["band", "block"], compare)
+    return _by_group(["band", "cell"], compare)
 
 
 def _linked_visitors(least_percent: int):
-    """(a, b): visitors and members of a component's block whose full sets are similar."""
+    """(a, b): visitors and members of a component's cell whose full sets are similar."""
 
     def compare(table: pa.RecordBatch) -> pa.RecordBatch:
         values, n = shingles(table.column("text"))
@@ -347,7 +366,7 @@ def _linked_visitors(least_percent: int):
             found.append((ids[g], ids[linked]))
         return _id_pairs(found, ["a", "b"])
 
-    return _by_group(["target", "block"], compare)
+    return _by_group(["target", "cell"], compare)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -355,6 +374,27 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def _cells(members: DataFrame, visitors: DataFrame, key: str, size: int) -> DataFrame:
+    """Each member block of a key meets each visitor block in a numbered cell.
+
+    Both tables have the key's ``_members`` and ``_visitors`` counts; a cell holds about
+    ``size`` rows of each side at most.
+    """
+    rows, columns = (F.ceil(F.col(c) / F.lit(size)).cast("int") for c in ("_members", "_visitors"))
+    own = F.xxhash64("id")
+
+    def placed(df: DataFrame, row, column, visitor: bool) -> DataFrame:
+        cells = F.transform(F.sequence(F.lit(0), (columns if row is not None else rows) - 1), lambda i: (
+            (row if row is not None else i) * columns + (column if column is not None else i)
+        ).cast("bigint"))
+        rest = [c for c in ("component",) if c in df.columns]
+        return df.select(key, F.explode(cells).alias("cell"), "id", *rest, F.lit(visitor).alias("visitor"))
+
+    return placed(members, F.pmod(own, rows), None, False).unionByName(
+        placed(visitors, None, F.pmod(own, columns), True), allowMissingColumns=True
+    )
+
+
 def near_duplicates(docs: DataFrame, least_percent: int = 75) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     least = least_percent / 100
@@ -401,50 +441,35 @@ def near_duplicates(docs: DataFrame, least_percent: int = 75) -> DataFrame:
     largest = shares.groupBy("band").agg(
         F.max_by("component", F.struct("_n", "component")).alias("_main")
     )
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    member = unresolved.join(largest, "band").withColumn("_blocks", blocks)
-    inside = member.select(
-        "band", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int").alias("block"), "id", "component",
-        F.lit(False).alias("visitor"),
-    )
-    guests = member.filter(F.col("component") != F.col("_main")).select(
-        "band", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), "id", "component",
-        F.lit(True).alias("visitor"),
-    )
+    member = unresolved.join(largest, "band")
+    outside = F.col("component") != F.col("_main")
+    counts = durable(member.groupBy("band").agg(F.count_if(outside).alias("_visitors"), F.count("*").alias("_members")))
     targets = durable(
-        inside.unionByName(guests)
+        _cells(member.join(counts, "band"), member.filter(outside).join(counts, "band"), "band", BLOCK)
         .join(sets.select("id", "n", "codes"), "id")
-        .repartition("band", "block")
-        .sortWithinPartitions("band", "block")
+        .repartition("band", "cell")
+        .sortWithinPartitions("band", "cell")
         .mapInArrow(_outsiders(least), "id bigint, target bigint")
         .distinct()
     )
+    asked = durable(targets.groupBy("target").agg(F.count("*").alias("_visitors")))
     homes = (
         sets.select("id")
         .join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
         .select("id", F.coalesce("component", "id").alias("target"))
-        .join(targets.select("target").distinct(), "target")
-    )
-    sizes = homes.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / F.lit(SET_BLOCK)).cast("int").alias("_blocks"))
-    members = homes.join(sizes, "target").select(
-        "target", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int").alias("block"), "id",
-        F.lit(False).alias("visitor"),
-    )
-    visits = targets.join(sizes, "target").select(
-        "target", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), "id",
-        F.lit(True).alias("visitor"),
+        .join(asked.select("target"), "target")
     )
+    sizes = durable(homes.groupBy("target").agg(F.count("*").alias("_members")).join(asked, "target"))
     more = durable(
-        members.unionByName(visits)
+        _cells(homes.join(sizes, "target"), targets.join(sizes, "target"), "target", SET_BLOCK)
         .join(texts.withColumnRenamed("doc_id", "id"), "id")
-        .repartition("target", "block")
-        .sortWithinPartitions("target", "block")
+        .repartition("target", "cell")
+        .sortWithinPartitions("target", "cell")
         .mapInArrow(_linked_visitors(least_percent), "a bigint, b bigint")
     )
     if not more.isEmpty():
-        discard(parts)
-        parts = durable(connected_components(_both_ways(links.unionByName(more))))
-    discard(shared, unresolved, targets)
+        parts = durable(extend_components(parts, _both_ways(more)))
+    discard(shared, unresolved, counts, targets, asked, sizes, more)
     group = sets.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select(
         *same, F.coalesce("component", "id").alias("component_id")
     )
