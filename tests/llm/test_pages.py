@@ -10,7 +10,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from famloom.llm import decontaminate, line_dedup, minhash, warc
+from famloom.llm import decontaminate, language_id, line_dedup, minhash, warc
 from famloom.llm.common import table
 from famloom.llm.token_files import new_folder
 
@@ -85,7 +85,8 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in pieces.select("doc_id").distinct().collect()}
     docs = table(spark, FOLDER, "documents")
     items = table(spark, FOLDER, "benchmark")
-    after = line_dedup.drop_repeated_lines(docs, drop_emptied=True)
+    known = language_id.keep_identified(docs)
+    after = line_dedup.drop_repeated_lines(known, drop_emptied=True, min_words=line_dedup.PASSAGE_WORDS)
     near = minhash.keep_one_of_each(after)
     want = {r.doc_id for r in decontaminate.drop_contaminated(near, items).select("doc_id").collect()}
     assert kept == want and 0 < len(kept) < docs.count()
