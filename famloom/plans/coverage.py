@@ -17,6 +17,7 @@ from famloom.functions.ranges import merged_length, region_segments
 from famloom.functions.scores import percentage, relative_increase
 from famloom.operators.intervals import covered_length, coverage_totals, subtract_intervals
 from famloom.operators.skew import global_position, group_position
+from famloom.schemas import require_columns
 
 #: Hits in one document; further ones continue in the protein's next part.
 HITS_PER_CELL = 100_000
@@ -150,6 +151,14 @@ def append_annotations(
     )
 
 
+def whole_rows(proteins: DataFrame) -> DataFrame:
+    """``proteins`` with every row marked as a whole protein: part 0 of 1."""
+    clash = {"part", "n_parts"} & set(proteins.columns)
+    if clash:
+        raise ValueError(f"the table already says how it is split: {', '.join(sorted(clash))}")
+    return proteins.withColumns({"part": F.lit(0), "n_parts": F.lit(1)})
+
+
 def _covered_per_protein(
     proteins: DataFrame, selections: Sequence[Sequence[str]], by: Sequence[str]
 ) -> DataFrame:
@@ -174,8 +183,6 @@ def _covered_per_protein(
             ],
         )
 
-    if "n_parts" not in proteins.columns:
-        return in_row(parsed)
     # Proteins split over several rows: their spans are merged across the rows.
     whole = in_row(parsed.filter("n_parts = 1"))
     split = parsed.filter("n_parts > 1")
@@ -193,12 +200,15 @@ def annotation_stats(
 ) -> DataFrame:
     """Sequence and residue annotation shares, one row per label (and value of ``by``).
 
-    A table split into parts must keep its ``part`` and ``n_parts`` columns.
+    A protein is the rows that share its name if ``n_parts`` says it is split, else one
+    row.  Tables from :func:`append_annotations` have that column; :func:`whole_rows`
+    gives it to a table of one row a protein.  Without it the job fails.
 
     ``selections`` maps a label to its comma-separated keys; all labels share one
     scan.  Coverage is settled inside each protein's row, so the only shuffle
     carries one partial sum per task.
     """
+    require_columns(proteins, ["n_parts"], "protein table (see whole_rows)")
     keys = {label: annotation_keys(text) for label, text in selections.items()}
     per_protein = _covered_per_protein(proteins, list(keys.values()), by)
     places = range(len(keys))
@@ -228,10 +238,15 @@ def annotation_stats(
 
 
 def compare_stats(stats: DataFrame, before: str, after: str, by: Sequence[str] = ()) -> DataFrame:
-    """Before/after row (per value of ``by``) with percentage-point and relative increases."""
+    """Before/after row (per value of ``by``) with percentage-point and relative increases.
+
+    A label without a row, in the table or for a value of ``by``, fails the job.
+    """
 
     def of(label: str, column: str) -> Column:
-        return F.max(F.when(F.col("label") == label, F.col(column)))
+        mine = F.col("label") == label
+        none = F.raise_error(F.lit(f"no statistics row is labelled {label}"))
+        return F.when(F.count_if(mine) == 0, none).otherwise(F.max(F.when(mine, F.col(column))))
 
     # Whole numbers are read through double, so "10.0" counts as 10.
     counts = [
@@ -298,7 +313,7 @@ def annotation_pipeline(
     """
     by = [] if dataset is None else [dataset]
     annotated = append_annotations(proteins, hits, order, by=by)
-    stats = annotation_stats(proteins, {before: "p"}, by).unionByName(
+    stats = annotation_stats(whole_rows(proteins), {before: "p"}, by).unionByName(
         annotation_stats(annotated, {after: "p,m"}, by)
     )
     return annotated, stats, compare_stats(stats, before, after, by)

@@ -132,7 +132,7 @@ _SELECTIONS = {"pfam": "p", "pfam_families": "p,m"}
 
 
 def annotation_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return C.annotation_stats(proteins(spark, folder), _SELECTIONS)
+    return C.annotation_stats(C.whole_rows(proteins(spark, folder)), _SELECTIONS)
 
 
 def annotation_compare(spark: SparkSession, folder: str) -> DataFrame:

@@ -54,10 +54,10 @@ def map_edge_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_column_rewrite(spark: SparkSession, folder: str) -> DataFrame:
-    """File columns renamed after the id, whatever dots the old names hold."""
+    """File columns renamed after the id; the old names are whole addresses, dots and slashes included."""
     pages = table(spark, folder, "pages").select(
         F.col("page_id").alias("id"),
-        F.concat(F.substring("url", 8, 12), F.lit(".tar.gz")).alias("msa_file"),
+        F.col("url").alias("msa_file"),
         F.when(F.length("html") % 2 == 0, F.concat(F.lit("f"), F.length("html"), F.lit(".cif"))).alias(
             "cif_file"
         ),
@@ -247,7 +247,7 @@ SELECT coalesce(a.new_id, l_suppkey) AS fam1, coalesce(b.new_id, l_partkey) AS f
 FROM lineitem LEFT JOIN mapping a ON a.old_id = l_suppkey LEFT JOIN mapping b ON b.old_id = l_partkey
 """,
     "file_column_rewrite": """
-SELECT page_id AS id, concat(page_id, '.gz') AS msa_file,
+SELECT page_id AS id, concat(page_id, '.', string_split(url, '.')[-1]) AS msa_file,
        CASE WHEN length(html) % 2 = 0 THEN concat(page_id, '.cif') END AS cif_file FROM pages
 """,
     "subset_semi": """

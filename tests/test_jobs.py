@@ -26,7 +26,7 @@ def test_annotation_stats_counts_overlap_once(spark):
         ],
         PROTEINS,
     )
-    row = coverage.annotation_stats(df, {"pfam": "p"}).first()
+    row = coverage.annotation_stats(coverage.whole_rows(df), {"pfam": "p"}).first()
     assert row["total_sequences"] == 2 and row["annotated_sequences"] == 1
     assert row["total_amino_acids"] == 10 and row["annotated_amino_acids"] == 5
     assert row["annotated_sequence_percentage"] == 50.0
@@ -36,14 +36,14 @@ def test_annotation_stats_counts_overlap_once(spark):
 def test_annotation_stats_over_both_keys(spark):
     document = {"p": [_p(1, 4)], "m": [["F1", 1e-7, 35.0, 3, 6]]}
     df = spark.createDataFrame([("s1", "AAAAAA", json.dumps(document))], PROTEINS)
-    got = {r["label"]: r["annotated_amino_acids"] for r in coverage.annotation_stats(df, {"a": "p", "b": "p,m"}).collect()}
+    got = {r["label"]: r["annotated_amino_acids"] for r in coverage.annotation_stats(coverage.whole_rows(df), {"a": "p", "b": "p,m"}).collect()}
     assert got == {"a": 4, "b": 6}
 
 
 def test_malformed_hit_fails(spark):
     df = spark.createDataFrame([("s1", "AAAA", '{"p":[["x",1]]}')], PROTEINS)
     with pytest.raises(Exception, match="Malformed annotation"):
-        coverage.annotation_stats(df, {"a": "p"}).collect()
+        coverage.annotation_stats(coverage.whole_rows(df), {"a": "p"}).collect()
 
 
 def test_annotation_keys_are_checked():
@@ -76,6 +76,24 @@ def test_compare_stats(spark):
     assert zero["annotated_sequence_relative_increase_percentage"] == 0.0
 
 
+@pytest.mark.parametrize("keep,by", [("label <> 'pfam'", []), ("false", []), ("label = 'both' or dataset = 'one'", ["dataset"])])
+def test_compare_stats_needs_a_row_of_each_label(spark, keep, by):
+    rows = [(d, label, 10, 3, 100, 40, 30.0, 40.0) for d in ("one", "two") for label in ("pfam", "both")]
+    stats = spark.createDataFrame(rows, f"dataset string, {STATS}").filter(keep)
+    with pytest.raises(Exception, match="no statistics row is labelled pfam"):
+        coverage.compare_stats(stats, "pfam", "both", by).collect()
+
+
+def test_statistics_ask_how_proteins_are_split(spark):
+    df = spark.createDataFrame([("s1", "AAAA", ""), ("s1", "AAAA", "")], PROTEINS)
+    with pytest.raises(MissingColumnsError, match="n_parts"):
+        coverage.annotation_stats(df, {"a": "p"})
+    marked = coverage.whole_rows(df)
+    assert coverage.annotation_stats(marked, {"a": "p"}).first()["total_sequences"] == 2
+    with pytest.raises(ValueError, match="part"):
+        coverage.whole_rows(marked)
+
+
 HITS = "target string, query string, i_evalue double, score double, ali_from int, ali_to int, line_order int"
 
 
