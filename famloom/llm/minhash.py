@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from famloom.llm.common import binary_rows, id_and_text, slices, text_bytes
+from famloom.llm.common import binary_rows, id_and_text, release_memory, slices, text_bytes
 from famloom.operators.graph import connected_components, extend_components
 from famloom.session import discard, durable
 
@@ -46,7 +46,7 @@ MANTISSA = 10
 #: Members, and outsiders, of a band that are compared in one cell.
 BLOCK = 2048
 #: Members of a component, and visitors, whose full sets are compared in one cell.
-SET_BLOCK = 512
+SET_BLOCK = 256
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
@@ -343,11 +343,18 @@ def _outsiders(least: float):
     return _by_group(["band", "cell"], compare)
 
 
+def _sets_of(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a cell's texts, some megabytes of text at a time."""
+    parts = [shingles(part.column("text")) for part in slices(iter([table]), limit=1 << 20)]
+    release_memory()
+    return np.concatenate([v for v, _ in parts]), np.concatenate([n for _, n in parts])
+
+
 def _linked_visitors(least_percent: int):
     """(a, b): visitors and members of a component's cell whose full sets are similar."""
 
     def compare(table: pa.RecordBatch) -> pa.RecordBatch:
-        values, n = shingles(table.column("text"))
+        values, n = _sets_of(table)
         ends = np.cumsum(n)
         ids = table.column("id").to_numpy()
         visitor = table.column("visitor").to_numpy(zero_copy_only=False)
