@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from famloom.functions.ids import file_stem
+from famloom.operators.sections import section_lines
 from famloom.sources.tables import read_headerless, read_lines
 from famloom.schemas import STRUCTURE_HITS
 
@@ -163,17 +164,22 @@ def read_local_quality(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     The table starts after the line naming its first column and ends at the next
     ``loop_``; its rows have seven tokens, the fifth being the quality.  Files
-    without the table keep one row with null quality.
+    without the table keep one row with null quality.  Large files are read in splits.
     """
-    section = r"(?s)_ma_qa_metric_local\.ordinal_id[^\n]*\n(.*?)(?=\n\s*loop_|\z)"
-    blocks = F.regexp_extract_all(F.col("value"), F.lit(section), F.lit(1))
-    rows = F.filter(
-        F.transform(F.flatten(F.transform(blocks, lambda b: F.split(b, r"\n"))), tokens),
-        lambda row: F.size(row) == 7,
+    found = local_quality_from_lines(read_lines(spark, path)).select("file_path", "plddt")
+    files = spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("file_path"), file_stem(F.col("_metadata.file_name")).alias("id")
     )
-    return spark.read.text(path, wholetext=True).select(
-        file_stem(F.col("_metadata.file_name")).alias("id"),
-        F.explode_outer(F.transform(rows, lambda row: F.get(row, F.lit(4)).cast("double"))).alias(
-            "plddt"
-        ),
+    return files.join(found, "file_path", "left").select("id", "plddt")
+
+
+def local_quality_from_lines(lines: DataFrame) -> DataFrame:
+    """The same for lines in a DataFrame (file_path, value, line_order): file_path, section, plddt."""
+    opens = F.col("value").contains("_ma_qa_metric_local.ordinal_id")
+    closes = F.col("value").rlike(r"^\s*loop_")
+    parts = tokens(F.col("value"))
+    rows = section_lines(
+        lines.select("file_path", "value", "line_order"),
+        "file_path", F.col("line_order.block"), F.col("line_order"), opens, closes, F.size(parts) == 7,
     )
+    return rows.select("file_path", "section", F.get(parts, F.lit(4)).cast("double").alias("plddt"))

@@ -14,6 +14,7 @@ from famloom.operators.sieve import IdSieve
 from famloom.operators.versions import VersionedTable
 from famloom.plans import coverage as C
 from famloom.session import ensure_checkpoint_dir
+from famloom.sources.reports import local_quality_from_lines
 from query_catalog.adapters import HITS_SQL, hits, table
 
 
@@ -114,6 +115,29 @@ def annotation_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     return both.join(F.broadcast(totals), "outcome").select("l_orderkey", "l_linenumber", "metadata", "outcome", "n")
 
 
+def local_quality_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as structure files whose quality tables open and close far from their rows."""
+    lines = table(spark, folder, "lineitem")
+    row = F.concat_ws(" ", F.lit("A"), F.lit("1"), F.lit("M"), F.lit("1"), F.col("l_quantity").cast("int"), F.lit("1 1"))
+    head = F.when(
+        F.expr("l_orderkey % 40 = 0"), F.lit("_ma_qa_metric_local.ordinal_id")
+    ).when(F.expr("l_orderkey % 60 = 7"), F.lit("loop_")).otherwise(F.lit("ATOM 1 N N . MET A 1 1 ? 1.5"))
+    place = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    written = lines.select(
+        F.col("l_suppkey").alias("file_path"), place.alias("_place"), F.posexplode(F.array(head, row)).alias("_no", "value")
+    ).select(
+        "file_path",
+        "value",
+        F.struct(
+            F.col("file_path").alias("file"), F.expr("_place.l_orderkey div 5000").alias("block"),
+            F.struct("_place", "_no").alias("row"),
+        ).alias("line_order"),
+    )
+    return local_quality_from_lines(written).groupBy("file_path", "section").agg(
+        F.count(F.lit(1)).alias("residues"), F.sum(F.col("plddt").cast("bigint")).alias("quality")
+    )
+
+
 QUERIES = {
     "overlap_pairs": overlap_pairs,
     "overlap_partners": overlap_partners,
@@ -123,6 +147,7 @@ QUERIES = {
     "residue_bitmap": residue_bitmap,
     "committed_update": committed_update,
     "annotation_quarantine": annotation_quarantine,
+    "local_quality_lines": local_quality_lines,
 }
 
 _LARGE = "SELECT o_orderkey FROM orders WHERE o_totalprice > 300000"
@@ -187,5 +212,19 @@ judged AS (
               ELSE 'good' END AS outcome
   FROM written)
 SELECT *, count(*) OVER (PARTITION BY outcome) AS n FROM judged
+""",
+    "local_quality_lines": """
+WITH placed AS (
+  SELECT l_suppkey AS file_path, CAST(CAST(l_quantity AS INTEGER) AS BIGINT) AS q,
+         CASE WHEN l_orderkey % 40 = 0 THEN 1 WHEN l_orderkey % 60 = 7 THEN 0 END AS event,
+         row_number() OVER (PARTITION BY l_suppkey
+                            ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS n
+  FROM lineitem),
+scanned AS (
+  SELECT file_path, q, last_value(event IGNORE NULLS) OVER upto AS state,
+         count(*) FILTER (event = 1) OVER upto AS section
+  FROM placed WINDOW upto AS (PARTITION BY file_path ORDER BY n ROWS UNBOUNDED PRECEDING))
+SELECT file_path, section, count(*) AS residues, CAST(sum(q) AS BIGINT) AS quality
+FROM scanned WHERE state = 1 GROUP BY ALL
 """,
 }

@@ -7,12 +7,15 @@ import gzip
 import json
 import os
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from famloom import sinks
 from famloom.operators import remap, updates
 from famloom.plans import alignments, collect, profiles
+from famloom.sources.tables import read_lines
 from famloom.sources import files, reports, tables
 
 
@@ -158,6 +161,45 @@ def test_local_quality(spark, tmp_path):
     assert {tuple(r) for r in got} == {("1", 2, 55.5), ("2", 0, 0.0)}
 
 
+def test_local_quality_of_files_in_many_splits(spark, tmp_path):
+    """Sections that begin splits before their rows, against a search of the whole text."""
+    draw = random.Random(2)
+    want = {}
+    for name in range(6):
+        lines = []
+        for _ in range(draw.choice([0, 40, 400])):
+            kind = draw.random()
+            lines.append(
+                "_ma_qa_metric_local.ordinal_id" if kind < 0.04 else " loop_" if kind < 0.07
+                else f"A {len(lines)} M 1 {draw.randrange(100)} 1 1" if kind < 0.6 else "ATOM 1 N N . MET A 1 1 ? 1.5"
+            )
+        text = "\n".join(["data_x", *lines]) + "\n"
+        _write(tmp_path / "s" / f"{name}.cif", text)
+        inside, found = False, []
+        for line in lines:
+            if line.startswith("_ma"):
+                inside = True
+            elif line == " loop_":
+                inside = False
+            elif inside and len(line.split()) == 7:
+                found.append(float(line.split()[4]))
+        want[str(name)] = sorted(found) or [None]
+    sizes = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "0"}
+    kept = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        assert read_lines(spark, str(tmp_path / "s")).rdd.getNumPartitions() > 20
+        rows = reports.read_local_quality(spark, str(tmp_path / "s")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    got = {}
+    for row in rows:
+        got.setdefault(row.id, []).append(row.plddt)
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}
+
+
 def test_blobs_from_files(spark, tmp_path):
     _write(tmp_path / "b" / "1.fas.gz", ">a\nX\n")
     listed = files.family_files(files.list_files(spark, str(tmp_path / "b")))
