@@ -12,6 +12,7 @@ import gc
 import json
 import os
 import re
+import unicodedata
 from itertools import chain
 
 import numpy as np
@@ -29,8 +30,9 @@ _SUSPECT = (
     r"[\s\x0b\x1c-\x1f]{2}|\x00"
     r"|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-#: Where a full stop or comma before white space may belong to a longer run of signs.
-_SIGNS = r"[^\pL\pN][.,][ \n]"
+#: Where a full stop or comma before white space may belong to a longer run of signs;
+#: ``{}`` takes the letters that the tokenizer's normalizer turns into letter and mark.
+_SIGNS = r"(?:[^\pL\pN]{})[.,][ \n]"
 #: Distinct words kept per Python worker; beyond it those that were used once go.
 CACHED_WORDS = 600_000
 #: Text bytes cut into words at a time.
@@ -40,6 +42,15 @@ _BATCH = 16_384
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def _ends_in_mark(tokenizer: Tokenizer) -> str:
+    """Letters and numbers whose normalized form ends in neither."""
+    if tokenizer.normalizer is None:
+        return ""
+    plain = lambda c: unicodedata.category(c)[0] in "LN"
+    letters = filter(plain, map(chr, range(0x110000)))
+    return "".join(c for c in letters if not plain((tokenizer.normalizer.normalize_str(c) or c)[-1]))
+
+
 class WordEncoder:
     """Encodes columns of texts; ``path`` is a file of the tokenizers library."""
 
@@ -49,6 +60,8 @@ class WordEncoder:
             before = json.load(file).get("pre_tokenizer") or {}
         #: A leading space belongs to the word when the byte-level step cuts the text itself.
         self.spaced = before.get("type") == "ByteLevel"
+        marked = "".join(f"\\x{{{ord(c):x}}}" for c in _ends_in_mark(self.tokenizer))
+        self.signs = _SIGNS.format(f"|[{marked}]" if marked else "")
         self.words = pa.array([], pa.string())
         self.ids = np.zeros(0, np.uint32)
         self.starts, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
@@ -105,7 +118,7 @@ class WordEncoder:
             text = texts[int(i)].as_py()
             apart[i] = "\0" in text or (self.spaced and bool(_DOUBLE_SPACE.search(text)))
         marked = pc.if_else(pa.array(apart), "", texts) if apart.any() else texts
-        signs = pc.match_substring_regex(marked, _SIGNS)
+        signs = pc.match_substring_regex(marked, self.signs)
         for mark, cut in ((" ", "\0 "), ("\n", "\0\n\0")) if self.spaced else ((" ", "\0"), ("\n", "\0")):
             marked = pc.replace_substring(marked, mark, cut)
         split_off = pc.replace_substring(pc.replace_substring(marked, ".\0", "\0.\0"), ",\0", "\0,\0")

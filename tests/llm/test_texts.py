@@ -10,6 +10,7 @@ import lzma
 import os
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from urllib.parse import quote
@@ -661,3 +662,29 @@ def test_words_encode_like_whole_texts(path):
     ends = np.cumsum(counts)
     for text, n, end in zip(texts, counts, ends):
         assert coder.whole(text).tolist() == ids[end - n : end].tolist(), repr(text)
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_every_character_before_a_sign_encodes_like_the_whole_text(path):
+    """Normalization takes some letters apart; the mark then belongs to the sign's run."""
+    from famloom.llm.tokens import WordEncoder
+
+    assigned = [c for c in map(chr, range(1, 0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    coder = WordEncoder(path)
+    for start in range(0, len(assigned), 20_000):
+        texts = [f"a{c}. {c}, b{c}.\n{c}c. ,{c} x" for c in assigned[start : start + 20_000]]
+        ids, counts = coder.encode(pa.array(texts))
+        want = coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ends = np.cumsum(counts)
+        for text, n, end, whole in zip(texts, counts, ends, want):
+            assert whole.ids == ids[end - n : end].tolist(), repr(text)
+
+
+def test_letters_that_normalization_takes_apart():
+    from famloom.llm.tokens import WordEncoder
+
+    coder = WordEncoder(WORD)
+    texts = ["पहाड़, नदी", "İstanbul’da Aİ. x", "שּׁ. a", "\u0958. \u0958,\nb"]
+    ids, counts = coder.encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    assert [ids[e - n : e].tolist() for n, e in zip(counts, ends)] == [coder.whole(t).tolist() for t in texts]
