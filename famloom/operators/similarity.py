@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from famloom.functions.ranges import region_hull
-from famloom.operators.intervals import coverage_totals
+from famloom.operators.bitmaps import bitmap_totals
 from famloom.operators.skew import lookup
 from famloom.session import durable
 
@@ -227,7 +227,7 @@ def residue_similarity(pairs: DataFrame, members: DataFrame, meta: DataFrame) ->
         .withColumn("_span", region_hull(F.col("region"), F.col("_length")))
         .select("fam1", "fam2", "side", "_span.start", "_span.end")
     )
-    totals = coverage_totals(spans, ["fam1", "fam2"], "side")
+    totals = bitmap_totals(spans, ["fam1", "fam2"], "side")
     union = F.col("total1") + F.col("total2") - F.col("overlap")
     scored = totals.select(
         "fam1", "fam2", F.try_divide(F.col("overlap").cast("double"), union).alias("similarity")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from famloom.operators import redundancy, similarity
+from famloom.functions.ids import from_sortable_text
+from famloom.operators import graph, redundancy, similarity
 from famloom.plans import superfamilies as S
 from famloom.session import durable
 from query_catalog.adapters import PAIRS_SQL, family_meta, members, table
@@ -106,6 +107,18 @@ def superfamily_members(spark: SparkSession, folder: str) -> DataFrame:
     return _superfamilies(spark, folder).members
 
 
+def components_extended(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of most edges, extended by the rest: each family and the smallest of its component."""
+    edges, _, _ = _edges(spark, folder)
+    late = F.expr("(fam1 + fam2) % 10 = 0")
+    edges = durable(edges)
+    first, rest = (durable(graph.symmetric_edges(edges.filter(c))) for c in (~late, late))
+    labels = graph.extend_components(durable(graph.connected_components(first)), rest)
+    return labels.select(
+        from_sortable_text(F.col("node")).alias("family_id"), from_sortable_text(F.col("component")).alias("component")
+    )
+
+
 def superfamily_cells(spark: SparkSession, folder: str) -> DataFrame:
     return _superfamilies(spark, folder).report()
 
@@ -233,6 +246,7 @@ QUERIES = {
     "filtered_edges": filtered_edges,
     "superfamily_report": superfamily_report,
     "superfamily_members": superfamily_members,
+    "components_extended": components_extended,
     "superfamily_cells": superfamily_cells,
     "superfamily_cells_parts": superfamily_cells_parts,
     "singletons": singletons,
@@ -265,6 +279,10 @@ FROM pairs WHERE fam_a NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriori
 """,
     "superfamily_report": f"{_COMPONENTS} SELECT * FROM clusters",
     "superfamily_members": f"{_COMPONENTS} SELECT * FROM membership",
+    "components_extended": f"""{_COMPONENTS}
+SELECT family_id, CAST(min(CAST(family_id AS BIGINT)) OVER (PARTITION BY cluster_id) AS VARCHAR) AS component
+FROM membership WHERE cluster_id LIKE 'SF_%'
+""",
     "superfamily_cells": f"""{_COMPONENTS}
 SELECT c.cluster_id, c.family_rep_id, c.family_size, 0 AS part,
        string_agg(m.family_id, ';' ORDER BY CAST(m.family_id AS BIGINT)) AS family_ids
