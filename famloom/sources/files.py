@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from famloom.functions.ids import file_stem
 from famloom.functions.sequences import mask_is_valid
+from famloom.sources.places import folders_in, opened
 from famloom.sources.tables import read_lines
 
 
@@ -109,49 +111,41 @@ def _parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
 
+def _one_form(path: Column) -> Column:
+    """Local names with one slash after the scheme, as Hadoop writes them."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def marked_folders(
     spark: SparkSession, root: str, marker_file: str, markers: list[str]
 ) -> DataFrame:
     """Second-level folders whose marker file contains any of the ``markers``.
 
-    Spark's file listing leaves out names starting with ``.`` or ``_``; such marker
-    files are opened inside tasks, one per folder.
+    The driver lists the first level only.  Tasks list the second level of their folders
+    and open the marker files there, so nothing deeper is listed and hidden names are
+    found like others.  Markers are looked for in the file's bytes.
     """
-    if not marker_file.startswith((".", "_")):
-        text = spark.read.text(f"{root}/*/*/{marker_file}", wholetext=True)
-        found = F.lit(False)
-        for marker in markers:
-            found = found | F.col("value").contains(marker)
-        return (
-            text.filter(found)
-            .select(_parent(F.col("_metadata.file_path")).alias("folder"))
-            .distinct()
-        )
-    tail = re.escape("/" + root.rstrip("/").rsplit("/", 1)[-1])
-    folder = F.regexp_extract("path", rf"^(.*{tail}/[^/]+/[^/]+)/", 1)
-    folders = (
-        list_files(spark, root, recursiveFileLookup=True)
-        .select(folder.alias("folder"))
-        .filter("folder <> ''")
-        .distinct()
-    )
-
-    def keep(batches: Iterator) -> Iterator:
-        from pyarrow import fs
+    first = spark.createDataFrame([(f,) for f in folders_in(spark, root)], "folder string")
+    sought = [marker.encode() for marker in markers]
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked = []
-            for path in batch["folder"]:
-                system, base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-                name = f"{base}/{marker_file}"
-                content = ""
-                if system.get_file_info(name).type == fs.FileType.File:
-                    with system.open_input_stream(name) as handle:
-                        content = handle.read().decode("utf-8", "replace")
-                marked.append(any(marker in content for marker in markers))
-            yield batch[marked]
-
-    return folders.mapInPandas(keep, "folder string")
+            for folder in batch.column("folder").to_pylist():
+                system, base = opened(folder)
+                below = system.get_file_info(fs.FileSelector(base, recursive=False))
+                names = [f.base_name for f in below if f.type == fs.FileType.Directory]
+                files = system.get_file_info([f"{base}/{name}/{marker_file}" for name in names])
+                found = []
+                for name, file in zip(names, files):
+                    if file.type == fs.FileType.File:
+                        with system.open_input_stream(file.path, compression=None) as handle:
+                            content = handle.read()
+                        if any(marker in content for marker in sought):
+                            found.append(f"{folder}/{name}")
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["folder"])
+
+    spread = max(1, spark.sparkContext.defaultParallelism)
+    return first.repartition(spread, "folder").mapInArrow(keep, "folder string")
 
 
 def lines_in_folders(
@@ -159,7 +153,7 @@ def lines_in_folders(
 ) -> DataFrame:
     """Lines of ``root/*/*/pattern`` files that lie in the given folders."""
     lines = read_lines(spark, f"{root}/*/*/{pattern}")
-    return lines.withColumn("folder", _parent(F.col("file_path"))).join(
+    return lines.withColumn("folder", _one_form(_parent(F.col("file_path")))).join(
         folders, "folder", "left_semi"
     )
 
@@ -169,5 +163,5 @@ def files_in_folders(spark: SparkSession, root: str, pattern: str, folders: Data
     files = list_files(spark, f"{root}/*/*/{pattern}")
     depth = pattern.count("/") + 1
     return files.withColumn(
-        "folder", F.regexp_replace("path", rf"(/[^/]*){{{depth}}}$", "")
+        "folder", _one_form(F.regexp_replace("path", rf"(/[^/]*){{{depth}}}$", ""))
     ).join(folders, "folder", "left_semi")

@@ -14,6 +14,8 @@ from famloom.operators.sieve import IdSieve
 from famloom.operators.versions import VersionedTable
 from famloom.plans import coverage as C
 from famloom.session import ensure_checkpoint_dir
+from famloom.sinks import fasta_lines
+from famloom.sources.bundles import bundle_lines, read_bundles, write_bundles
 from famloom.sources.reports import local_quality_from_lines
 from query_catalog.adapters import HITS_SQL, hits, table
 
@@ -138,7 +140,23 @@ def local_quality_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def family_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines as FASTA records in bundles of their suppliers, and the records of every bundle."""
+    path = f"{ensure_checkpoint_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    header = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey")
+    records = table(spark, folder, "lineitem").select(
+        "l_suppkey", "l_orderkey", "l_linenumber",
+        fasta_lines(header, F.concat("l_returnflag", "l_linestatus")).alias("record"),
+    )
+    write_bundles(records, path, "l_suppkey", "record", ["l_orderkey", "l_linenumber"])
+    lines = bundle_lines(read_bundles(spark, path))
+    return lines.groupBy(F.col("family").alias("l_suppkey"), F.col("value").alias("line")).agg(
+        F.count(F.lit(1)).alias("n"), (F.min("line_order") % 2).alias("place")
+    )
+
+
 QUERIES = {
+    "family_bundles": family_bundles,
     "overlap_pairs": overlap_pairs,
     "overlap_partners": overlap_partners,
     "sieve_keep": sieve_keep,
@@ -154,6 +172,13 @@ _LARGE = "SELECT o_orderkey FROM orders WHERE o_totalprice > 300000"
 _COLUMNS = "l_orderkey, l_linenumber, l_partkey, l_quantity"
 
 ORACLES = {
+    "family_bundles": """
+SELECT l_suppkey, '>' || l_orderkey || '/' || l_linenumber || '/' || l_partkey AS line,
+       count(*) AS n, CAST(0 AS INTEGER) AS place
+FROM lineitem GROUP BY ALL
+UNION ALL
+SELECT l_suppkey, l_returnflag || l_linestatus, count(*), CAST(1 AS INTEGER) FROM lineitem GROUP BY ALL
+""",
     "overlap_pairs": f"""WITH {HITS_SQL},
 spans AS (
   SELECT protein, which, family_id, l_linenumber AS line, s, s + l_linenumber * 3 AS e FROM hits
