@@ -101,6 +101,27 @@ def test_exact_duplicates_drop_keeps_columns(odd, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
+def test_exact_duplicates_sort_and_merge_in_every_round(spark, odd):
+    """The plan that runs: sorted runs are aggregated in order, with no hash table, per round."""
+    rows_ = exact_dedup.digests(odd)
+    for runs, rounds in ((4, 1), (16, 2), (60, 3)):
+        plan = exact_dedup.merge_runs(rows_, runs)._jdf.queryExecution().executedPlan().toString()
+        plan = plan.split("Initial Plan")[0]
+        assert "HashAggregate" not in plan
+        assert plan.count("SortAggregate") == 2 * rounds
+        assert plan.count("Exchange hashpartitioning") == rounds
+        assert plan.count("Sort [") >= 2 * rounds
+
+
+def test_exact_duplicates_never_merge_by_one_digest_alone(spark):
+    kinds = "doc_id long, text_sha256 string, _bytes long, _mark long, _run int"
+    forged = spark.createDataFrame([(1, "aa", 3, 7, 0), (2, "aa", 3, 8, 5), (3, "bb", 1, 1, 2)], kinds)
+    with pytest.raises(Exception, match="different texts share"):
+        exact_dedup.merge_runs(forged, 6).collect()
+    fine = exact_dedup.merge_runs(forged.filter("doc_id <> 2"), 6).collect()
+    assert sorted((r.text_sha256, r.keep_id, r.group_size) for r in fine) == [("aa", 1, 1), ("bb", 3, 1)]
+
+
 # -- repeated lines
 
 
