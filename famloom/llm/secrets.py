@@ -1,12 +1,13 @@
 """Secrets in whole texts, also inside nested encodings.
 
 Every text is scanned as it is (the base spans).  Then a worklist unwraps layers:
-percent-encoding, Unicode and hex escapes, base64, and compressed data (gzip, zlib, bzip2,
-xz, nested and of many members) in base64, percent-encoded or hex-escaped bytes.
+percent-encoding, Unicode and hex escapes, base64 (also of UTF-16), and compressed data
+(gzip, zlib, bzip2, xz, nested and of many members) in base64, percent-encoded or
+hex-escaped bytes.  Percent-encoded bytes that are not UTF-8 stand for Latin-1 characters.
 The whole text with all its percent runs, or all its escapes, replaced becomes a layer, so
 that a decoded value keeps a plain key before it; base64 that decodes to readable text
-becomes a layer of its own, as does base64 over several lines and each readable stretch
-under any of the four alignments.  A layer is scanned by the same patterns and searched for
+becomes a layer of its own, as does base64 over several lines, whether the breaks are
+plain or written as escapes, and each readable stretch under any of the four alignments.  A layer is scanned by the same patterns and searched for
 further layers, until nothing new appears; a layer whose content was
 seen before over the same place is not opened again, so cycles end.  A find in a layer
 maps back to the code points of the text that the layer's characters came from: escapes
@@ -27,7 +28,8 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,17 +58,21 @@ _HINTS = {
     "hex": r"[0-9a-f]{24}",
 }
 #: What a text must hold to be unwrapped: the least that each pattern of encoded parts matches.
-_WRAPPED = r"%[0-9A-Fa-f]{2}|\\(?:u\{?|x)[0-9A-Fa-f]|[A-Za-z0-9+/_-]{16}"
+_WRAPPED = r"%u?[0-9A-Fa-f]{2}|\\(?:u\{?|U|x)[0-9A-Fa-f]|[A-Za-z0-9+/_-]{16}"
 
 _PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\x[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(
+    r"(?:\\u[0-9A-Fa-f]{4})+|(?:%u[0-9A-Fa-f]{4})+|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})"
+    r"|(?:\\x[0-9A-Fa-f]{2})+"
+)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A line break with the next line's indent, plain or as escapes.
+_BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*")
 #: The same over lines, of which all but the last are as long; a single line matches too.
 _BASE64_LINES = re.compile(
-    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,}+)*+"
-    r"(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]++)?={0,2}"
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:BREAK[A-Za-z0-9+/_-]{16,}+)*+"
+    r"(?:BREAK[A-Za-z0-9+/_-]++)?={0,2}".replace("BREAK", _BREAK.pattern)
 )
-_NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/_-]+")
 
 #: How compressed data begin, as bytes and as text with encoded bytes.
 _STREAM = re.compile(rb"(\x1f\x8b\x08)|(\x78[\x01\x5e\x9c\xda])|(BZh[1-9]1AY&SY)|(\xfd7zXZ\0)")
@@ -88,6 +94,9 @@ _STRETCH = re.compile(
     rb"(?:[\t\n\f\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}"
     rb"|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}"
 )
+#: The same in UTF-16 of either byte order; what the patterns match is ASCII.
+_WIDE = ((re.compile(rb"(?:[\t\n\f\r\x20-\x7e]\0){12,}"), 0), (re.compile(rb"(?:\0[\t\n\f\r\x20-\x7e]){12,}"), 1))
+_ODD = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f]+")
 #: Where decompressed text may be cut: no pattern above goes on from there.
 _CUT = re.compile(rb"\n(?=[^A-Za-z0-9+/_\x20\t-])|(?=[\xc2-\xf4])")
 
@@ -108,10 +117,20 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+class _Same:
+    """One number for every character of a layer."""
+
+    def __init__(self, number: int):
+        self.number = number
+
+    def __getitem__(self, at: int | slice) -> int | array:
+        return array("i", [self.number]) * (at.stop - at.start) if isinstance(at, slice) else self.number
+
+
 class _Layer:
     """Decoded text; character i came from the code points begin[i]..end[i] of the original."""
 
-    def __init__(self, text: str, begin: list[int], end: list[int], fresh: list[bool]):
+    def __init__(self, text: str, begin: Sequence[int], end: Sequence[int], fresh: Sequence[int]):
         self.text, self.begin, self.end, self.fresh = text, begin, end, fresh
 
     def key(self) -> tuple:
@@ -124,12 +143,12 @@ def _readable(data: bytes) -> str | None:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    odd = sum(c < " " and c not in "\t\r\n\f" or c == "\x7f" for c in text)
+    odd = sum(map(len, _ODD.findall(text)))
     return text if text and odd * 10 <= len(text) else None
 
 
 def _utf16(units: str) -> str:
-    data = b"".join(int(u, 16).to_bytes(2, "big") for u in units.split("\\u")[1:])
+    data = b"".join(int(u, 16).to_bytes(2, "big") for u in units.split(units[:2])[1:])
     return data.decode("utf-16-be", "surrogatepass")
 
 
@@ -138,13 +157,13 @@ def _substituted(layer, pattern, decoded) -> _Layer | None:
 
     ``decoded`` gives the new characters and how many old ones each came from.
     """
-    text, begin, end, fresh, at = [], [], [], [], 0
+    text, begin, end, fresh, at = [], array("i"), array("i"), bytearray(), 0
 
     def keep(stop: int) -> None:
         text.append(layer.text[at:stop])
         begin.extend(layer.begin[at:stop])
         end.extend(layer.end[at:stop])
-        fresh.extend([False] * (stop - at))
+        fresh.extend(bytes(stop - at))
 
     for match in pattern.finditer(layer.text):
         new = decoded(match)
@@ -157,7 +176,7 @@ def _substituted(layer, pattern, decoded) -> _Layer | None:
             begin.append(layer.begin[at])
             at += width
             end.append(layer.end[at - 1])
-        fresh.extend([True] * len(new[0]))
+        fresh.extend(b"\1" * len(new[0]))
     if not any(fresh):
         return None
     keep(len(layer.text))
@@ -165,13 +184,14 @@ def _substituted(layer, pattern, decoded) -> _Layer | None:
 
 
 def _percent(match: re.Match) -> tuple[str, list[int]] | None:
-    text = _readable(bytes.fromhex(match[0].replace("%", "")))
-    return text and (text, [3 * len(c.encode()) for c in text])
+    text = bytes.fromhex(match[0].replace("%", "")).decode("utf-8", "surrogateescape")
+    widths = [3 if "\udc80" <= c <= "\udcff" else 3 * len(c.encode()) for c in text]
+    return "".join(chr(ord(c) - 0xDC00) if "\udc80" <= c <= "\udcff" else c for c in text), widths
 
 
 def _escape(match: re.Match) -> tuple[str, list[int]] | None:
-    if match[1] is not None:
-        point = int(match[1], 16)
+    if match[1] or match[2]:
+        point = int(match[1] or match[2], 16)
         return (chr(point), [len(match[0])]) if point < 0x110000 else None
     if match[0].startswith("\\x"):
         text = bytes.fromhex(match[0].replace("\\x", "")).decode("latin-1")
@@ -240,6 +260,10 @@ def _contents(data: bytes) -> Iterator[tuple[str, int, int]]:
         if key in seen:
             continue
         seen.add(key)
+        if b"\0" in part:
+            for pattern, first in _WIDE:
+                for match in pattern.finditer(part):
+                    yield match[0][first::2].decode("ascii"), *(place or match.span())
         text = _readable(part)
         if text is not None:
             yield text, *(place or (0, len(part)))
@@ -264,15 +288,16 @@ def _contents(data: bytes) -> Iterator[tuple[str, int, int]]:
 
 
 def _solid(layer: _Layer, text: str, first: int, end: int) -> _Layer:
-    n = len(text)
-    return _Layer(text, [layer.begin[first]] * n, [layer.end[end - 1]] * n, [True] * n)
+    return _Layer(text, _Same(layer.begin[first]), _Same(layer.end[end - 1]), _Same(1))
 
 
 def _base64_layers(layer: _Layer, region: re.Match) -> Iterator[_Layer]:
     raw, places = region[0].rstrip("="), None
-    if "\n" in raw:
-        places = [i for i, c in enumerate(raw) if c not in "\r\n\x20\t"]
-        raw = _NOT_BASE64.sub("", raw)
+    breaks = [match.span() for match in _BREAK.finditer(raw)]
+    if breaks:
+        ends, begins = [b[0] for b in breaks] + [len(raw)], [0] + [b[1] for b in breaks]
+        places = array("i", (i for first, end in zip(begins, ends) for i in range(first, end)))
+        raw = _BREAK.sub("", raw)
     size, start = len(raw), region.start()
     raw = raw.replace("-", "+").replace("_", "/")
     for shift in range(4):
@@ -323,7 +348,7 @@ def unwrap(text: str) -> set[tuple[int, int, int]]:
         for region in _BASE64.finditer(layer.text):
             yield from _base64_layers(layer, region)
         for region in _BASE64_LINES.finditer(layer.text):
-            if "\n" in region[0]:
+            if _BREAK.search(region[0]):
                 yield from _base64_layers(layer, region)
 
     whole = range(len(text))

@@ -10,6 +10,7 @@ import lzma
 import os
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -501,6 +502,37 @@ def test_nested_layers_map_to_the_source():
         assert {(text[a:b], secrets.KINDS[k]) for a, k, b in secrets.unwrap(text)} == {(layer, "assign")}
 
 
+def test_latin_bytes_wide_escapes_json_breaks_and_utf16_are_unwrapped():
+    secret = "password=hunter2234"
+    percent = "".join(f"%{b:02x}" for b in secret.encode())
+    text = f"q=caf%E9&{percent} end"
+    start = text.index(percent)
+    assert secrets.unwrap(text) == {(start, 0, start + len(percent))}
+    text = f"%70%E9%FF {percent}%E9 end"  # bytes that are no UTF-8 inside the same run
+    assert secrets.unwrap(text) == {(10, 0, 10 + len(percent))}
+    for form, width in ((r"\U{:08x}", 10), ("%u{:04X}", 6), (r"\u{{{:x}}}", 6)):
+        text = "see " + "".join(form.format(ord(c)) for c in secret) + " ok"
+        assert secrets.unwrap(text) == {(4, 0, 4 + width * len(secret))}
+        assert re.search(secrets._WRAPPED, text)
+    long = base64.b64encode(b"x" * 40 + b" " + secret.encode() + b" " + b"y" * 40).decode()
+    for gap in (r"\n", r"\r\n", "\n", "\r\n  "):
+        text = '{"data": "' + gap.join(long[i : i + 64] for i in range(0, len(long), 64)) + '"}'
+        assert (10, 0, len(text) - 2) in secrets.unwrap(text), gap
+    for order in ("utf-16-le", "utf-16-be"):
+        code = base64.b64encode(f"$x = 'é'; {secret}; exit".encode(order)).decode()
+        found = secrets.unwrap(f"run -EncodedCommand {code} now")
+        assert found and all(kind == 0 and start >= 20 and end <= 20 + len(code) for start, kind, end in found)
+
+
+def test_positions_of_a_long_text_are_small():
+    text = "%41" + "lorem ipsum dolor " * 400_000
+    tracemalloc.start()
+    assert secrets.unwrap(text) == set()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(text)
+
+
 def test_single_escapes_keep_exact_ends():
     text = "go token%3Dabcdefg now \\u0070assword=secret99!"
     assert {text[a:b] for a, _, b in secrets.unwrap(text)} == {"token%3Dabcdefg", "\\u0070assword=secret99"}
