@@ -414,6 +414,50 @@ def test_leaks_of_odd_rows(spark, odd, empty):
     assert decontaminate.leaks(odd, items.filter("false")).count() == 0
 
 
+def _edited(draw, words, n, vocabulary):
+    words = list(words)
+    for _ in range(n):
+        i = draw.randrange(len(words))
+        how = draw.randrange(3)
+        if how == 0:
+            words[i] = draw.choice(vocabulary)
+        elif how == 1:
+            words.insert(i, draw.choice(vocabulary))
+        else:
+            del words[i]
+    return words
+
+
+@pytest.mark.parametrize("n", [15, 30, 59, 120])
+def test_the_bit_sampling_filter_passes_edited_and_stops_unrelated_windows(n):
+    draw = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 5) for i in range(3000)]
+    passage = lambda k: draw.choices(vocabulary, weights, k=k)
+    texts = [passage(n) for _ in range(150)]
+    items = decontaminate.prepare(list(range(150)), [" ".join(t) for t in texts])
+    words, _ = decontaminate.words_of(pa.array([" ".join(passage(n)) for _ in range(500)]))
+    start = np.arange(500) * n
+    passed = [decontaminate.passing(words, start, start + n, np.full(500, i), items).mean() for i in range(20)]
+    assert np.mean(passed) < 0.05
+    held = [" ".join(passage(40) + _edited(draw, t, n // 4, vocabulary) + passage(40)) for t in texts]
+    found = {(row, item) for row, item, *_ in decontaminate.leaks_of(pa.array(held), items)}
+    assert sum((i, i) in found for i in range(150)) >= 0.99 * 150
+
+
+def test_an_opening_that_many_items_share_is_listed_in_parts(monkeypatch):
+    opening = " ".join(f"open{i}" for i in range(12))
+    texts = [f"{opening} " + " ".join(f"item{i}x{j}" for j in range(12)) for i in range(400)]
+    items = decontaminate.prepare(list(range(400)), texts)
+    docs = pa.array([f"{opening} nothing else here", texts[7] + " " + texts[399], ""])
+    whole = decontaminate.leaks_of(docs, items)
+    assert {(row, item) for row, item, *_ in whole if not _[0]} == {(1, 7), (1, 399)}
+    monkeypatch.setattr(decontaminate, "SEEDS", 300)
+    words, row = decontaminate.words_of(docs)
+    assert max(found.shape[1] for found in decontaminate.seeded(words, row, items)) <= 400
+    assert decontaminate.leaks_of(docs, items) == whole
+
+
 # -- packing
 
 
