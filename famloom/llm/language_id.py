@@ -4,15 +4,23 @@ Per language a context tree holds how often each byte followed the last three, t
 and no bytes.  A byte that a context has seen costs its share of the context's counts; an
 unseen byte costs an escape and what the shorter context says, renormalised over the
 bytes that the longer one has not seen (escape method C), down to a uniform choice.
-Statistics are frozen after training, so every context has one exact code length per
-byte and language; they are laid out as one table, and a text's code length is a sum of
-look-ups.  The language with the shortest code wins, the smaller name on ties; the score
-is its posterior under equal priors.
-
-Training reads labelled documents that the caller allows, at most about ``SAMPLE_DOCS``
-per language, chosen by a hash of the id -- a documented bound of the model, as are
-``MAX_CONTEXTS`` three-byte contexts (the most frequent ones over all languages) and
-``MAX_LANGUAGES`` labels.
+Statistics are frozen after training, so an unseen byte costs a constant of its context
+on top of the shorter context's code, and a tree is four sorted tables: the bits of
+(context, byte) pairs that were seen, and the escape bits of contexts.  Every context of
+every language is kept.  A text's code length is a sum over its distinct four-byte
+strings.
+
+The language with the shortest code wins, the smaller name on ties.  The score is its
+posterior under equal priors against the other languages and against no language at all:
+single bytes with the mean shares of all languages.  Letters in an order that no learned
+language uses cost more by the trees than one by one, so their score is near 0.
+
+Training reads labelled documents that the caller allows, chosen by a hash of the id: of
+each language about ``SAMPLE_DOCS`` documents and ``SAMPLE_BYTES`` bytes, of all languages
+together about ``SAMPLE_TOTAL`` bytes.  Every label is learned.  A tree is fitted by one
+task from the distinct four-byte strings of its sample; trees are broadcast, and larger
+ones than ``MODEL_BYTES`` together are refused with an error.  Texts are scored in blocks of
+``BLOCK`` bytes, so a long text needs about three times its own size.
 
 A null text, or one without a letter, is ``und`` with score 0, and so is every text if
 there is no training document.  Repeated rows give repeated results, an empty table none;
@@ -25,175 +33,221 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from famloom.llm.common import slices, text_bytes
+from famloom.session import discard, durable
 
 SAMPLE_DOCS = 3000
-MAX_CONTEXTS = 8192
-MAX_LANGUAGES = 256
+SAMPLE_BYTES = 8 << 20
+SAMPLE_TOTAL = 256 << 20
+MODEL_BYTES = 256 << 20
+BLOCK = 1 << 20
 ORDER = 3
 #: Bytes before a text's first.
 _START = 10
+_TREE = "lang string, depth int, grams binary, bits binary, contexts binary, escapes binary"
+
+
+class Level(NamedTuple):
+    """Contexts of one length: the last byte of a gram is the one that is coded."""
+
+    grams: np.ndarray
+    bits: np.ndarray
+    contexts: np.ndarray
+    escapes: np.ndarray
 
 
 class Model(NamedTuple):
     languages: list[str]
-    #: class of each byte; bytes never seen in training share the last one
-    classes: np.ndarray
-    #: context number by the classes of the last three bytes
-    contexts: np.ndarray
-    #: bits of (context, class) for each language
-    bits: np.ndarray
+    #: per language its levels by context length; the first holds the bits of all 256 bytes
+    trees: list[list[Level]]
 
 
-def _with_starts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts with ``ORDER`` start bytes before each, and where texts begin."""
+def _with_starts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts with ``ORDER`` start bytes before each, where texts begin and end."""
     data, offsets = text_bytes(batch.column("text"))
     sizes = np.diff(offsets)
-    padded = np.full(len(data) + ORDER * len(sizes), _START, np.uint8)
     begins = offsets[:-1] + ORDER * np.arange(1, len(sizes) + 1)
-    padded[np.arange(len(data)) + ORDER * np.repeat(np.arange(1, len(sizes) + 1), sizes)] = data
-    return padded, begins
+    padded = np.full(len(data) + ORDER * len(sizes), _START, np.uint8)
+    padded[_coded(len(padded), begins)] = data
+    return padded, begins, begins + sizes
+
+
+def _coded(size: int, begins: np.ndarray) -> np.ndarray:
+    """Which bytes are text; start bytes are context only."""
+    text = np.ones(size, bool)
+    for k in range(1, ORDER + 1):
+        text[begins - k] = False
+    return text
+
+
+def _blocks(
+    padded: np.ndarray, begins: np.ndarray, ends: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(four-byte strings of coded bytes, texts, where each text begins) block by block."""
+    text = _coded(len(padded), begins)
+    for low in range(ORDER, len(padded), BLOCK):
+        high = min(low + BLOCK, len(padded))
+        near = padded[low - ORDER : high].astype(np.uint32)
+        grams = near[:-3] << 24 | near[1:-2] << 16 | near[2:-1] << 8 | near[3:]
+        first, last = np.searchsorted(ends, low, "right"), np.searchsorted(begins, high, "left")
+        owners = np.arange(first, last)
+        sizes = np.minimum(ends[owners], high) - np.maximum(begins[owners], low)
+        owners, sizes = owners[sizes > 0], sizes[sizes > 0]
+        if len(owners):
+            yield grams[text[low:high]], owners, np.cumsum(sizes) - sizes
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, limit=1 << 20):
-        padded, begins = _with_starts(batch)
-        wide = padded.astype(np.uint32)
-        grams = wide[:-3] << 24 | wide[1:-2] << 16 | wide[2:-1] << 8 | wide[3:]
+    for batch in slices(batches, limit=BLOCK):
         languages, codes = np.unique(np.array(batch.column("lang").to_pylist()), return_inverse=True)
-        owner = np.repeat(codes, np.diff(np.append(begins, len(padded) + ORDER)) - ORDER)
-        last = np.ones(len(padded), bool)
-        for k in range(1, ORDER + 1):
-            last[begins - k] = False  # start bytes are context only
-        grams = grams[last[3:]]
-        found, counts = np.unique(owner.astype(np.uint64) << np.uint64(32) | grams, return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(languages)
-                .take(pa.array((found >> np.uint64(32)).astype(np.int64)))
-                .cast(pa.string()),
-                pa.array((found & np.uint64(0xFFFFFFFF)).astype(np.int64)),
-                pa.array(counts, pa.int64()),
-            ],
-            ["lang", "gram", "n"],
-        )
+        names = pa.array(languages)
+        for grams, owners, starts in _blocks(*_with_starts(batch)):
+            owner = np.repeat(codes[owners].astype(np.uint64), np.diff(np.append(starts, len(grams))))
+            found, counts = np.unique(owner << np.uint64(32) | grams, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    names.take(pa.array((found >> np.uint64(32)).astype(np.int64))).cast(pa.string()),
+                    pa.array((found & np.uint64(0xFFFFFFFF)).astype(np.int64)),
+                    pa.array(counts, pa.int64()),
+                ],
+                ["lang", "gram", "n"],
+            )
 
 
-def sample(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
-    """About ``per_language`` rows of each language by a hash of doc_id; all if there are fewer.
+def sample(
+    labelled: DataFrame,
+    per_language: int = SAMPLE_DOCS,
+    language_bytes: int = SAMPLE_BYTES,
+    total_bytes: int = SAMPLE_TOTAL,
+) -> DataFrame:
+    """Rows (text, lang) of each language by a hash of doc_id; all where there are fewer.
 
-    Only the ``MAX_LANGUAGES`` most frequent labels are learned, so their counts are a
-    literal and no text is moved to its label.
+    Shares stand in a stored table of one row per label, so a small one is broadcast and
+    no text is moved to its label.
     """
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return labelled
-    share = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    wanted = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, per_language / r.n))])
-    return labelled.filter(share < F.try_element_at(wanted, F.col("lang")))
+    counts = durable(
+        labelled.groupBy("lang").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")
+        )
+    )
+    each = min(language_bytes, total_bytes / max(1, counts.count()))
+    share = F.least(F.lit(per_language) / F.col("n"), F.lit(each) / F.greatest("size", F.lit(1)))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    shares = counts.select("lang", share.alias("share"))
+    return labelled.join(shares, "lang").filter(drawn < F.col("share")).select("text", "lang")
+
+
+def tree_of(grams: np.ndarray, n: np.ndarray) -> list[Level]:
+    """The levels of one language from its distinct four-byte strings and their counts."""
+    none = np.zeros(0, np.uint32)
+    counts = np.bincount(grams & 255, n, 256)
+    total, kinds = counts.sum(), np.count_nonzero(counts)
+    escaped = kinds / (total + kinds) / max(1, 256 - kinds)
+    chance = counts / total if kinds == 256 else np.where(counts > 0, counts / (total + kinds), escaped)
+    tree = [Level(none, -np.log2(chance), none, np.zeros(0))]
+    shorter, shares = np.arange(256), chance
+    for depth in range(1, ORDER + 1):
+        keys, place = np.unique(grams & ((1 << 8 * depth + 8) - 1), return_inverse=True)
+        counts = np.bincount(place, n)
+        contexts, owner = np.unique(keys >> 8, return_inverse=True)
+        totals, kinds = np.bincount(owner, counts), np.bincount(owner)
+        # What a longer context has seen, the shorter one has seen too.
+        below = shares[np.searchsorted(shorter, keys & ((1 << 8 * depth) - 1))]
+        rest = np.maximum(1 - np.bincount(owner, below), 1e-12)
+        shorter, shares = keys, counts / (totals + kinds)[owner]
+        escapes = np.log2(rest) - np.log2(kinds / (totals + kinds))
+        tree.append(Level(keys, -np.log2(shares), contexts, escapes))
+    return tree
+
+
+def _fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    tree = tree_of(rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
+    kinds = (np.uint32, np.float32, np.uint32, np.float32)
+    return pd.DataFrame(
+        [
+            (key[0], depth, *(part.astype(kind).tobytes() for part, kind in zip(level, kinds)))
+            for depth, level in enumerate(tree)
+        ],
+        columns=["lang", "depth", "grams", "bits", "contexts", "escapes"],
+    )
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> Model | None:
     """Fit the trees to rows (doc_id, text, lang) with text and lang; None without rows."""
-    rows = (
+    counts = (
         sample(labelled.select("doc_id", "text", "lang"), per_language)
-        .select("text", "lang")
         .mapInArrow(_count, "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
     )
-    if rows.empty:
+    levels = durable(counts.groupBy("lang").applyInPandas(_fit, _TREE))
+    parts = ["grams", "bits", "contexts", "escapes"]
+    size = levels.agg(F.sum(sum(F.octet_length(p).cast("bigint") for p in parts))).first()[0]
+    if size is None:
         return None
-    languages = sorted(rows["lang"].unique())
-    gram = rows["gram"].to_numpy().astype(np.int64)
-    seen = np.zeros(256, bool)
-    for shift in (0, 8, 16, 24):
-        seen[gram >> shift & 255] = True
-    seen[_START] = True
-    k = int(seen.sum()) + 1
-    classes = np.full(256, k - 1, np.uint8)
-    classes[seen] = np.arange(k - 1)
-    language = rows["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy()
-    n = rows["n"].to_numpy().astype(np.float64)
-    a, b, c, d = (classes[gram >> s & 255].astype(np.int64) for s in (24, 16, 8, 0))
-
-    # Contexts by number: 0 is the empty one, then one, two and three bytes.
-    own = {0: np.zeros(len(gram), np.int64), 1: c, 2: b * k + c, 3: (a * k + b) * k + c}
-    numbers = {1: np.zeros(k, np.int64), 2: np.zeros(k * k, np.int64), 3: np.zeros(k**3, np.int32)}
-    parents, order_of, total = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 1
-    for order in (1, 2, 3):
-        codes, inverse = np.unique(own[order], return_inverse=True)
-        if order == 3 and len(codes) > MAX_CONTEXTS:
-            weight = np.bincount(inverse, n)
-            codes = np.sort(codes[np.argsort(-weight, kind="stable")[:MAX_CONTEXTS]])
-        if order > 1:
-            numbers[order] = np.tile(numbers[order - 1], k).astype(numbers[order].dtype)
-        parents.append(numbers[order][codes].astype(np.int64))
-        numbers[order][codes] = total + np.arange(len(codes))
-        order_of.append(np.full(len(codes), order))
-        total += len(codes)
-    parent, depth = np.concatenate(parents), np.concatenate(order_of)
-
-    bits = np.zeros((total, k, len(languages)), np.float32)
-    for i in range(len(languages)):
-        mine = language == i
-        chance = np.full((total, k), 1 / 256)
-        chance[:, k - 1] = 1 / 256  # one of the bytes never seen
-        for order in range(ORDER + 1):
-            here = np.flatnonzero(depth == order)
-            low = here[0] if len(here) else 0
-            shorter = chance[parent[here]] if order else np.full((len(here), k), 1 / 256)
-            at = numbers[order][own[order][mine]] if order else own[0][mine]
-            at = np.asarray(at, np.int64)
-            fits = (at >= low) & (at < low + len(here))
-            counts = np.zeros((len(here), k))
-            np.add.at(counts, (at[fits] - low, d[mine][fits]), n[mine][fits])
-            sums, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-            # The last class stands for all bytes never seen, each with the same share.
-            spare = 256 - (k - 1)
-            mass = np.where(counts > 0, 0, shorter)
-            rest = mass[:, : k - 1].sum(axis=1, keepdims=True) + spare * mass[:, k - 1 :]
-            escape = kinds / np.maximum(sums + kinds, 1)
-            model = np.where(
-                counts > 0, counts / np.maximum(sums + kinds, 1), escape * mass / np.maximum(rest, 1e-300)
-            )
-            chance[here] = np.where(sums > 0, model, shorter)
-        bits[:, :, i] = -np.log2(chance)
-    return Model(languages, classes, numbers[3], bits)
+    if size > MODEL_BYTES:
+        raise ValueError(f"trees of {size} bytes, more than MODEL_BYTES: take a smaller sample")
+    trees: dict[str, list[Level]] = {}
+    for row in sorted(levels.collect(), key=lambda r: (r.lang, r.depth)):
+        kinds = (np.uint32, np.float32, np.uint32, np.float32)
+        trees.setdefault(row.lang, []).append(
+            Level(*(np.frombuffer(row[p], kind) for p, kind in zip(parts, kinds)))
+        )
+    discard(levels)
+    return Model(list(trees), list(trees.values()))
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of every key in a sorted table."""
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
+
+
+def gram_bits(tree: list[Level], grams: np.ndarray) -> np.ndarray:
+    """Bits of the last byte of each four-byte string after its first three."""
+    bits, open_ = np.zeros(len(grams), np.float64), np.arange(len(grams))
+    for depth in range(ORDER, 0, -1):
+        level, keys = tree[depth], grams[open_] & np.uint32((1 << 8 * depth + 8) - 1)
+        at, seen = _find(level.grams, keys)
+        bits[open_[seen]] += level.bits[at[seen]]
+        open_, keys = open_[~seen], keys[~seen]
+        at, known = _find(level.contexts, keys >> np.uint32(8))
+        bits[open_[known]] += level.escapes[at[known]]
+    bits[open_] += tree[0].bits[grams[open_] & np.uint32(255)]
+    return bits
 
 
 def code_lengths(model: Model, batch: pa.RecordBatch) -> np.ndarray:
-    """Bits of every text (rows) under every language (columns)."""
-    padded, begins = _with_starts(batch)
-    k = len(model.bits[0])
-    s = model.classes[padded].astype(np.int32)
-    context = model.contexts[(s[:-3] * k + s[1:-2]) * k + s[2:-1]]
-    cost = model.bits.reshape(-1, len(model.languages))[context.astype(np.int64) * k + s[3:]]
-    for j in range(1, ORDER + 1):
-        gone = begins - j - 3
-        cost[gone[gone >= 0]] = 0  # start bytes cost nothing
-    totals = np.zeros((len(begins), len(model.languages)))
-    ends = np.append(begins[1:] - ORDER, len(padded))
-    full = ends > begins
-    if full.any():
-        totals[full] = np.add.reduceat(cost, begins[full] - 3, axis=0, dtype=np.float64)
+    """Bits of every text (rows) under every language (columns), and last under none."""
+    alone = -np.log2(np.mean([np.exp2(-tree[0].bits.astype(np.float64)) for tree in model.trees], axis=0))
+    totals = np.zeros((batch.num_rows, len(model.languages) + 1))
+    for grams, owners, starts in _blocks(*_with_starts(batch)):
+        coded = pa.array(grams).dictionary_encode()
+        distinct, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        order = np.argsort(distinct)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        distinct, place = distinct[order], rank[place]
+        for i, tree in enumerate(model.trees):
+            totals[owners, i] += np.add.reduceat(gram_bits(tree, distinct)[place], starts)
+        totals[owners, -1] += np.add.reduceat(alone[grams & np.uint32(255)], starts)
     return totals
 
 
 def _best(totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language number, its bits, its posterior) of every text."""
-    best = totals.argmin(axis=1)
+    best = totals[:, :-1].argmin(axis=1)
     least = totals[np.arange(len(best)), best]
-    return best, least, 1 / np.exp2(np.clip(least[:, None] - totals, -1000, 0)).sum(axis=1)
+    return best, least, 1 / np.exp2(np.clip(least[:, None] - totals, -1000, 1000)).sum(axis=1)
 
 
 def _sure(shared, least: float):
-    """The rows whose best language has a posterior of at least ``least``."""
+    """The rows whose best language scores at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=2 << 20):
@@ -226,11 +280,7 @@ def _predict(shared):
 
 
 def predict(docs: DataFrame, model: Model | None, key: Column) -> DataFrame:
-    """(_key, lang_pred, score, code_bits) for every row; ``key`` is carried through.
-
-    The model's size is bounded by ``MAX_CONTEXTS`` and the bytes in use, so it is
-    broadcast.
-    """
+    """(_key, lang_pred, score, code_bits) for every row; ``key`` is carried through."""
     spark = docs.sparkSession
     rows = docs.select(
         F.struct(key.alias("key"), _lettered().alias("lettered")).alias("_key"),

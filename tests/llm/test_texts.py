@@ -7,6 +7,7 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import math
 import os
 import random
 import re
@@ -674,23 +675,58 @@ def test_languages_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
-def test_code_lengths_are_a_distribution(spark):
-    docs = table(spark, FOLDER, "documents")
-    model = language_id.train(language_id.training_rows(docs))
-    spare = 256 - (model.bits.shape[1] - 1)
-    chance = np.exp2(-model.bits.astype(float))
-    total = chance[:, :-1].sum(axis=1) + spare * chance[:, -1]
-    assert np.allclose(total, 1, atol=1e-4)
-    text = docs.first().text
-    batch = pa.RecordBatch.from_pydict({"text": pa.array([text, "", text])})
-    lengths = language_id.code_lengths(model, batch)
-    state, want = [10, 10, 10], np.zeros(len(model.languages))
-    for byte in text.encode():
-        a, b, c = (int(model.classes[x]) for x in state)
-        k = model.bits.shape[1]
-        want += model.bits[model.contexts[(a * k + b) * k + c], model.classes[byte]]
-        state = [*state[1:], byte]
-    assert np.allclose(lengths[0], want) and np.allclose(lengths[2], want) and not lengths[1].any()
+def _escape_c(counts, context):
+    """Chances of all bytes after a context by escape method C, from counts of (context, byte)."""
+    shorter = _escape_c(counts, context[1:]) if context else [1 / 256] * 256
+    seen = counts.get(context)
+    if not seen:
+        return shorter
+    total, kinds = sum(seen.values()), len(seen)
+    rest = sum(p for x, p in enumerate(shorter) if x not in seen)
+    escape = kinds / (total + kinds)
+    return [seen[x] / (total + kinds) if x in seen else escape * p / rest for x, p in enumerate(shorter)]
+
+
+def test_code_lengths_by_force(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK", 7)
+    texts = {"x": ["abracadabra", "a", "caba\u00e9 \n"], "y": ["bandana", "nab", ""], "z": ["\u0436\u0437"]}
+    rows = [(t, name) for name, many in texts.items() for t in many]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string")
+    model = language_id.train(df)
+    assert model.languages == ["x", "y", "z"]
+    asked = ["abra", "", "nana\u00e9", "qqq", "abracadabra bandana", "\u0436a\u0437\n"]
+    found = language_id.code_lengths(model, pa.RecordBatch.from_pydict({"text": pa.array(asked)}))
+    alone = np.zeros(256)
+    for i, many in enumerate(texts.values()):
+        counts = {}
+        for text in many:
+            data = b"\n\n\n" + text.encode()
+            for j in range(3, len(data)):
+                for k in range(4):
+                    counts.setdefault(data[j - k : j], Counter())[data[j]] += 1
+        alone += np.array(_escape_c(counts, b"")) / 3
+        assert math.isclose(sum(_escape_c(counts, b"bra")), 1)
+        for row, text in enumerate(asked):
+            data = b"\n\n\n" + text.encode()
+            want = sum(-math.log2(_escape_c(counts, data[j - 3 : j])[data[j]]) for j in range(3, len(data)))
+            assert math.isclose(found[row, i], want, rel_tol=1e-4, abs_tol=1e-3), (text, i)
+    for row, text in enumerate(asked):
+        assert math.isclose(found[row, 3], -sum(np.log2(alone[x]) for x in text.encode()), rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_every_label_is_learned_and_noise_is_rejected(spark):
+    draw = random.Random(5)
+    rows = [(i, f"{chr(0x4E00 + i)} word{i % 7}", f"l{i:03}") for i in range(300)]
+    many = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert len(language_id.train(many).languages) == 300
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = spark.createDataFrame(
+        [(-1 - i, "".join(draw.choices(letters, k=300)), None) for i in range(50)], docs.schema
+    )
+    kept = language_id.keep_identified(docs.unionByName(noise))
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert min(ids) >= 0 and len(ids) == docs.select("doc_id").distinct().count()
 
 
 def test_languages_of_odd_rows(spark, odd, empty):
