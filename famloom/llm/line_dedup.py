@@ -195,7 +195,8 @@ def drop_repeated_lines(
     return cut.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
-#: The same decisions in SQL: windows of two lines, the first of each stays.
+#: The same decisions in SQL: of equal windows of two lines, and of equal lines of 50 words,
+#: the first stays.
 ORACLE = """
 WITH numbered AS (
   SELECT doc_id, line_no, content, lead(content) OVER (PARTITION BY doc_id ORDER BY line_no) AS following
@@ -205,10 +206,15 @@ WITH numbered AS (
 later AS (
   SELECT doc_id, line_no FROM numbered WHERE following IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY content, following ORDER BY doc_id, line_no) > 1),
+passages AS (
+  SELECT doc_id, line_no FROM numbered
+  WHERE len(regexp_extract_all(content, '[^ \\t\\r\\f\\x0B]+')) >= 50
+  QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, line_no) > 1),
 marked AS (
   SELECT n.doc_id, n.line_no, n.content,
          EXISTS (SELECT 1 FROM later l WHERE l.doc_id = n.doc_id
-                 AND l.line_no IN (n.line_no, n.line_no - 1)) AS gone
+                 AND l.line_no IN (n.line_no, n.line_no - 1))
+         OR EXISTS (SELECT 1 FROM passages p WHERE p.doc_id = n.doc_id AND p.line_no = n.line_no) AS gone
   FROM numbered n),
 edges AS (
   SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY line_no), FALSE) AS opens

@@ -38,7 +38,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.digest_rows(line_dedup.without_repeated_lines(table(spark, folder, "documents")))
+    cut = line_dedup.without_repeated_lines(
+        table(spark, folder, "documents"), min_words=line_dedup.PASSAGE_WORDS
+    )
+    return line_dedup.digest_rows(cut)
 
 
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
