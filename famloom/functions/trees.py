@@ -41,13 +41,20 @@ def lenient_count(text: Column) -> Column:
     return F.coalesce(text.try_cast("double").try_cast("int"), F.lit(0))
 
 
+def _replaced(text: Column, *pairs: tuple[str, str]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def _marked(text: Column) -> Column:
     """The text without quoting, and with marks for the separators outside quotes.
 
     Cut at quotes, every second piece is quoted.  An empty piece between two quoted ones is
     a doubled quote.  Each piece is looked at once.
     """
-    pieces = F.split(F.translate(text, _CELL + _LINE, ""), '"', -1)
+    # Replacing looks for one sign at a time, translating would look up every character.
+    pieces = F.split(_replaced(text, (_CELL, ""), (_LINE, "")), '"', -1)
 
     def joined(cut: Column) -> Column:
         # ``cut`` is bound once, so the text is not split again for every piece.
@@ -57,7 +64,7 @@ def _marked(text: Column) -> Column:
         return (
             F.when(i % 2 == 1, p)
             .when((i > 0) & (i < n - 1) & (p == ""), F.lit('"'))
-            .otherwise(F.translate(F.replace(p, F.lit("\r\n"), F.lit("\n")), ",\n", _CELL + _LINE))
+            .otherwise(_replaced(p, ("\r\n", "\n"), (",", _CELL), ("\n", _LINE)))
         )
 
     return let(pieces, joined)
@@ -72,26 +79,31 @@ def _csv_fields(line: Column) -> Column:
 
 
 def _records_under(header: Column, lines: Column) -> Column:
-    def place(name: str) -> Column:
-        return F.array_position(header, name).cast("int")
+    names = ("ids", "labels", "parents", "counts")
+    # Where the columns stand is looked up once a tree, not once a record.
+    places = F.struct(*[(F.array_position(header, name).cast("int") - 1).alias(name) for name in names])
 
-    def value(fields: Column, name: str) -> Column:
-        return F.coalesce(F.get(fields, place(name) - 1), F.lit(""))
+    def record(fields: Column, at: Column) -> Column:
+        def value(name: str) -> Column:
+            return F.coalesce(F.get(fields, at[name]), F.lit(""))
 
-    def record(fields: Column) -> Column:
         return F.struct(
-            value(fields, "ids").alias("ids"),
-            value(fields, "labels").alias("labels"),
-            value(fields, "parents").alias("parents"),
-            lenient_count(value(fields, "counts")).alias("counts"),
-            depth(value(fields, "ids")).alias("depth"),
+            value("ids").alias("ids"),
+            value("labels").alias("labels"),
+            value("parents").alias("parents"),
+            lenient_count(value("counts")).alias("counts"),
+            depth(value("ids")).alias("depth"),
         )
 
     complete = F.size(lines) > 1
-    for name in ("ids", "labels", "parents", "counts"):
+    for name in names:
         complete = complete & F.array_contains(header, name)
-    rows = F.transform(
-        F.slice(lines, F.lit(2), F.size(lines)), lambda line: let(_csv_fields(line), record)
+    rows = let(
+        places,
+        lambda at: F.transform(
+            F.slice(lines, F.lit(2), F.size(lines)),
+            lambda line: let(_csv_fields(line), lambda fields: record(fields, at)),
+        ),
     )
     return F.when(complete, rows).otherwise(F.array().cast(_RECORD))
 
@@ -110,13 +122,17 @@ def tree_records(blob: Column) -> Column:
 
 def leaf_records(records: Column) -> Column:
     """Records whose id is nobody's parent inside the same tree."""
-    parents = F.array_distinct(
-        F.filter(F.transform(records, lambda r: r["parents"]), lambda parent: parent != "")
-    )
+
+    def parents(rows: Column) -> Column:
+        return F.array_distinct(
+            F.filter(F.transform(rows, lambda r: r["parents"]), lambda parent: parent != "")
+        )
+
+    # ``records`` may be a whole parse, so both the parents and the leaves come from one value.
     return let(
         records,
         lambda rows: let(
-            parents,
+            parents(rows),
             lambda inner: F.filter(rows, lambda r: ~F.array_contains(inner, r["ids"])),
         ),
     )

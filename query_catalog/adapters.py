@@ -110,18 +110,16 @@ def biome_leaves(spark: SparkSession, folder: str) -> DataFrame:
             "c_custkey", F.concat_ws(":", F.lit("root"), "r_name", "n_name", "c_mktsegment").alias("parent")
         )
     )
+    # Orders get their place before they meet the lines, which are then dealt only once.
+    placed = orders.join(places, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "parent", "label")
+    path = F.concat_ws(":", "parent", "label")
     return (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(places, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy(
-            F.concat_ws("/", "l_partkey", "l_linenumber").alias("family_id"),
-            F.concat_ws(":", "parent", "label").alias("path"),
-            "parent",
-            "label",
-        )
+        lines.join(placed, lines.l_orderkey == placed.o_orderkey)
+        .groupBy(F.concat_ws("/", "l_partkey", "l_linenumber").alias("family_id"), "parent", "label")
         .agg(F.count(F.lit(1)).cast("int").alias("count"))
-        .withColumns(
-            {"top_level": F.get(F.split("path", ":"), F.lit(1)), "place": F.lit(0)}
+        .select(
+            "family_id", path.alias("path"), "parent", "label", "count",
+            F.get(F.split(path, ":"), F.lit(1)).alias("top_level"), F.lit(0).alias("place"),
         )
     )
 
@@ -142,23 +140,23 @@ leaves AS (
 
 
 def tree_nodes(leaves: DataFrame) -> DataFrame:
-    """Leaves plus all their ancestors as (family_id, path, parent, label, count)."""
-    parts = F.split("path", ":")
-    levels = F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ":")
-    )
-    path, parent = F.col("node"), F.regexp_extract("node", r"^(.*):[^:]*$", 1)
+    """Leaves plus all their ancestors as (family_id, path, parent, label, count).
+
+    The few leaves of a family are dealt by family, so ancestors are summed where they arise.
+    """
+    levels = F.sequence(F.lit(1), F.size(F.split("path", ":")))
+    path, label = F.col("node"), F.substring_index("node", ":", -1)
+    parent = F.when(
+        F.contains(path, F.lit(":")), F.left(path, F.char_length(path) - F.char_length(label) - 1)
+    ).otherwise("")
     return (
-        leaves.select("family_id", F.explode(levels).alias("node"), "count")
+        leaves.select("family_id", "path", "count")
+        .repartition("family_id")
+        .select("family_id", "path", "count", F.explode(levels).alias("_level"))
+        .select("family_id", F.expr("substring_index(path, ':', _level)").alias("node"), "count")
         .groupBy("family_id", "node")
         .agg(F.sum("count").cast("int").alias("count"))
-        .select(
-            "family_id",
-            path.alias("path"),
-            parent.alias("parent"),
-            F.element_at(F.split(path, ":"), -1).alias("label"),
-            "count",
-        )
+        .select("family_id", path.alias("path"), parent.alias("parent"), label.alias("label"), "count")
     )
 
 

@@ -25,7 +25,7 @@ def blob_leaves(spark: SparkSession, folder: str) -> DataFrame:
     blobs = nodes.groupBy(F.col("family_id").alias("id")).agg(
         F.concat(
             F.lit("ids,labels,parents,counts\n"),
-            F.array_join(F.array_sort(F.collect_list(line)), "\n"),
+            F.array_join(F.sort_array(F.collect_list(line)), "\n"),
         ).alias("biome_blob")
     )
     return B.family_leaves(blobs).drop("place")
