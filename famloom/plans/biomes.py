@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from famloom.functions.trees import colour, leaf_records, top_level, tree_records
 
@@ -28,11 +28,23 @@ def family_leaves(families: DataFrame, key: str = "id", blob: str = "biome_blob"
 
 
 def leaves_of_nodes(nodes: DataFrame, key: str = "family_id") -> DataFrame:
-    """Leaves when the tree nodes are rows (family, path, parent, ...): never a parent."""
-    parents = nodes.filter(F.coalesce("parent", F.lit("")) != "").select(
-        key, F.col("parent").alias("path")
+    """Leaves when the tree nodes are rows (family, path, parent, ...): never a parent.
+
+    Each node also gives a mark on its parent's place; where marks stand first, the place is
+    no leaf.  The nodes are read once, and nodes dealt by family are not dealt again.
+    """
+    node = F.struct(F.col("path").alias("_path"), F.lit(0).alias("_mark"))
+    mark = F.struct(F.col("parent").alias("_path"), F.lit(1).alias("_mark"))
+    inner = F.coalesce("parent", F.lit("")) != ""
+    places = nodes.select("*", F.inline(F.when(inner, F.array(node, mark)).otherwise(F.array(node))))
+    marks_first = Window.partitionBy(key, "_path").orderBy(F.col("_mark").desc())
+    # A place without a path or family is on nobody's parent's place.
+    unknown = F.col(key).isNull() | F.col("_path").isNull()
+    return (
+        places.withColumn("_first", F.first("_mark").over(marks_first))
+        .filter((F.col("_mark") == 0) & ((F.col("_first") == 0) | unknown))
+        .select(key, "path", *[c for c in nodes.columns if c not in (key, "path")])
     )
-    return nodes.join(parents, [key, "path"], "left_anti")
 
 
 def leaf_distribution(leaves: DataFrame) -> DataFrame:
@@ -130,7 +142,7 @@ def _with_share(chosen: DataFrame, leaves: DataFrame, distribution: DataFrame) -
         .select("family_id", "top_level")
         .distinct()
         .groupBy("family_id")
-        .agg(F.array_join(F.array_sort(F.collect_list("top_level")), ", ").alias("top_levels"))
+        .agg(F.array_join(F.sort_array(F.collect_list("top_level")), ", ").alias("top_levels"))
     )
     return chosen.join(tops, "family_id").select(
         "family_id",
