@@ -3,8 +3,8 @@
 The set join is exact and never pairs up everything that shares one element.
 Elements are ranked from rare to common; two sets with Jaccard >= t must share an
 element among the first few of each (the prefix), and must be of similar size.
-Only prefixes are joined, on (element, size band), and candidates are then
-counted in full.  An element that nearly every set holds ranks last and is
+Only prefixes are joined, on (element, size band); parity sketches of the sets rule
+out most joined pairs on the spot, and the other candidates are counted in full.  An element that nearly every set holds ranks last and is
 joined only for sets too small to have anything rarer.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from famloom.functions.ranges import region_hull
 from famloom.operators.bitmaps import bitmap_totals
+from famloom.operators.sieve import IdSieve
 from famloom.operators.skew import lookup
 from famloom.session import durable
 
@@ -28,40 +29,38 @@ def _needed(threshold: float, total: Column) -> Column:
     return F.ceil(total * F.lit(share) - F.lit(1e-9)).cast("bigint")
 
 
-def _ranked(sets: DataFrame, family: str, element: str) -> DataFrame:
-    """Elements held by two or more sets, with set size and an upper rank bound.
+def _ranked(sets: DataFrame, marks: DataFrame, family: str, element: str) -> DataFrame:
+    """Elements held by two or more sets, with set size, sketch and an upper rank bound.
+
+    Ranks are taken over all sets; only the sets with ``marks`` are returned.
 
     ``_before`` counts the set's elements in strictly rarer buckets.  A bucket is
     a frequency class cut into hash slices, so a set has a bounded number of
-    buckets and no set is ever sorted as a whole.
+    buckets and no set is ever sorted as a whole.  A bucket of one or two elements is
+    given by its smallest and largest; only fuller ones are joined to their elements.
     """
     counted = sets.groupBy(element).agg(F.count(F.lit(1)).alias("_freq"))
-    tagged = lookup(sets, counted, [element], "inner")
     class_ = F.floor(F.log2("_freq")).cast("int")
     slice_ = F.pmod(F.xxhash64(element), F.lit(_SUB_BUCKETS)).cast("int")
-    tagged = tagged.withColumn(
-        "_bucket", F.when(F.col("_freq") == 1, F.lit(-1)).otherwise(class_ * _SUB_BUCKETS + slice_)
+    bucket = F.when(F.col("_freq") == 1, F.lit(-1)).otherwise(class_ * _SUB_BUCKETS + slice_)
+    tagged = durable(
+        lookup(sets, counted, [element], "inner").select(family, element, bucket.alias("_bucket"))
     )
     earlier = Window.partitionBy(family).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    whole = Window.partitionBy(family)
-    histogram = (
+    placed = durable(
         tagged.groupBy(family, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            family,
-            "_bucket",
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-            F.sum("_n").over(whole).alias("_size"),
-        )
-    )
-    return (
-        tagged.filter("_freq > 1")
-        .drop("_freq")
-        .join(histogram, [family, "_bucket"])
-        .drop("_bucket")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(element).alias("_least"), F.max(element).alias("_most"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .filter("_bucket >= 0")
+        .join(marks, family)
     )
+    facts = [family, "_before", "_size", "_low", "_high"]
+    ends = F.when(F.col("_n") == 1, F.array("_least")).otherwise(F.array("_least", "_most"))
+    few = placed.filter("_n <= 2").select(*facts, F.explode(ends).alias(element))
+    full = durable(placed.filter("_n > 2").select(*facts, "_bucket"))
+    return few.unionByName(tagged.join(full, [family, "_bucket"]).drop("_bucket"))
 
 
 def similar_sets(
@@ -75,15 +74,26 @@ def similar_sets(
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
-    sets = durable(members.select(family, element).filter(F.col(element).isNotNull()).distinct())
-    classes = durable(_equal_sets(sets, family, element))
-    heads = classes.select(F.col("_head").alias(family)).distinct()
-    pairs = _similar_heads(sets.join(heads, family, "left_semi"), threshold, family, element)
-    return _expanded(pairs, classes, family)
+    known = F.col(family).isNotNull() & F.col(element).isNotNull()
+    sets = durable(members.select(family, element).filter(known).distinct())
+    marks, copies = _equal_sets(sets, family, element)
+    others = copies.filter(F.col(family) != F.col("_head")).select(family)
+    heads = marks.join(others, family, "left_anti")
+    pairs = _similar_heads(sets, heads, threshold, family, element)
+    return _expanded(pairs, copies, family)
 
 
-def _equal_sets(sets: DataFrame, family: str, element: str) -> DataFrame:
-    """(family, _n, _head): set size and the smallest family with the same set.
+def _sketch(element: str, half: int) -> Column:
+    """64 of a set's 128 parity bits: each element flips one of them."""
+    bit = F.pmod(F.xxhash64(F.lit("sketch"), element), F.lit(128)).cast("int")
+    mine = F.shiftright(bit, 6) == half
+    flip = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)))
+    return F.bit_xor(F.when(mine, flip).otherwise(F.lit(0).cast("bigint")))
+
+
+def _equal_sets(sets: DataFrame, family: str, element: str) -> tuple[DataFrame, DataFrame]:
+    """(family, _size, _low, _high): size and sketch of each set; and the sets that several
+    families hold as (family, _n, _head), _head being the smallest of them.
 
     Sets are told apart by size and two independent 64-bit digests.
     """
@@ -92,23 +102,34 @@ def _equal_sets(sets: DataFrame, family: str, element: str) -> DataFrame:
             F.count(F.lit(1)).alias("_n"),
             F.bit_xor(F.xxhash64(element)).alias("_one"),
             F.bit_xor(F.xxhash64(F.lit("second"), element)).alias("_two"),
+            _sketch(element, 0).alias("_low"),
+            _sketch(element, 1).alias("_high"),
         )
     )
-    heads = marks.groupBy("_n", "_one", "_two").agg(F.min(family).alias("_head"))
-    return lookup(marks, heads, ["_n", "_one", "_two"], "inner").select(family, "_n", "_head")
+    digests = ["_n", "_one", "_two"]
+    repeated = marks.groupBy(*digests).agg(F.min(family).alias("_head"), F.count(F.lit(1)).alias("_k"))
+    copies = lookup(marks, repeated.filter("_k > 1").drop("_k"), digests, "inner")
+    return (
+        marks.select(family, F.col("_n").alias("_size"), "_low", "_high"),
+        durable(copies.select(family, "_n", "_head")),
+    )
 
 
-def _expanded(pairs: DataFrame, classes: DataFrame, family: str) -> DataFrame:
-    """Pairs of all families from pairs of heads, and the pairs inside each class."""
-    one = classes.select(F.col("_head").alias("_s"), F.col(family).alias("_x"))
-    two = classes.select(F.col("_head").alias("_l"), F.col(family).alias("_y"))
-    shared = classes.groupBy("_head", "_n").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
+def _expanded(pairs: DataFrame, copies: DataFrame, family: str) -> DataFrame:
+    """Pairs of all families from pairs of heads, and the pairs inside each class.
+
+    A head without copies stands for itself, so only the copies are joined.
+    """
+    one = copies.select(F.col("_head").alias("_s"), F.col(family).alias("_x"))
+    two = copies.select(F.col("_head").alias("_l"), F.col(family).alias("_y"))
     n = F.col("_n")
-    equal = shared.select(
+    equal = copies.filter(F.col(family) == F.col("_head")).select(
         F.col("_head").alias("_s"), F.col("_head").alias("_l"), n.alias("_s_size"), n.alias("_l_size"),
         n.alias("shared"), F.lit(1.0).alias("jaccard"),
     )
-    every = pairs.unionByName(equal).join(one, "_s").join(two, "_l")
+    every = pairs.unionByName(equal).join(one, "_s", "left").join(two, "_l", "left").withColumns(
+        {"_x": F.coalesce("_x", "_s"), "_y": F.coalesce("_y", "_l")}
+    )
     flip = F.col("_x") > F.col("_y")
     return every.filter((F.col("_s") != F.col("_l")) | (F.col("_x") < F.col("_y"))).select(
         F.when(flip, F.col("_y")).otherwise(F.col("_x")).alias("fam_a"),
@@ -120,10 +141,15 @@ def _expanded(pairs: DataFrame, classes: DataFrame, family: str) -> DataFrame:
     )
 
 
-def _similar_heads(sets: DataFrame, threshold: float, family: str, element: str) -> DataFrame:
-    """(_s, _l, their sizes, shared, jaccard) of different sets; the ranked elements are stored
-    once, since candidates and counts both read them."""
-    ranked = durable(_ranked(sets, family, element))
+def _similar_heads(
+    sets: DataFrame, marks: DataFrame, threshold: float, family: str, element: str
+) -> DataFrame:
+    """(_s, _l, their sizes, shared, jaccard) of different sets.
+
+    Parity bits that differ are at most the elements that only one of two sets holds, so
+    pairs with too many of them are left out where they are found, before any shuffle.
+    """
+    ranked = _ranked(sets, marks, family, element)
     size = F.col("_size")
     base = math.log(1.0 / threshold) if threshold < 1.0 else None
     band = F.floor(F.log(size.cast("double")) / base).cast("int") if base else size.cast("int")
@@ -131,37 +157,42 @@ def _similar_heads(sets: DataFrame, threshold: float, family: str, element: str)
     def prefix(required: Column) -> DataFrame:
         return ranked.filter(F.col("_before") < size - required + 1)
 
+    def side(mark: str) -> list[Column]:
+        return [F.col(c).alias(f"_{mark}{c}") for c in ("_size", "_before", "_low", "_high")]
+
     # The smaller set of a pair needs more of itself shared, so its prefix is shorter.
     smaller = prefix(_needed(threshold, size * 2)).select(
         F.col(family).alias("_s"),
         element,
-        size.alias("_s_size"),
-        F.col("_before").alias("_s_before"),
+        *side("s"),
         F.explode(F.array(band, band + 1) if base else F.array(band)).alias("_band"),
     )
     larger = prefix(F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("bigint")).select(
-        F.col(family).alias("_l"),
-        element,
-        size.alias("_l_size"),
-        F.col("_before").alias("_l_before"),
-        band.alias("_band"),
+        F.col(family).alias("_l"), element, *side("l"), band.alias("_band")
     )
-    required = _needed(threshold, F.col("_s_size") + F.col("_l_size"))
+    total = F.col("_s_size") + F.col("_l_size")
+    required = _needed(threshold, total)
     ordered = (F.col("_s_size") < F.col("_l_size")) | (
         (F.col("_s_size") == F.col("_l_size")) & (F.col("_s") < F.col("_l"))
     )
-    candidates = (
+    apart = F.bit_count(F.col("_s_low").bitwiseXOR(F.col("_l_low"))) + F.bit_count(
+        F.col("_s_high").bitwiseXOR(F.col("_l_high"))
+    )
+    candidates = durable(
         smaller.join(larger, [element, "_band"])
         .filter(
             ordered
             & (F.col("_s_size") >= F.col("_l_size") * F.lit(threshold) - F.lit(1e-9))
             & (F.col("_s_before") < F.col("_s_size") - required + 1)
             & (F.col("_l_before") < F.col("_l_size") - required + 1)
+            & (apart <= total - required * 2)
         )
         .select("_s", "_l", "_s_size", "_l_size")
         .distinct()
     )
-    common = ranked.select(F.col(family).alias("_f"), element)
+    # Few sets are in a candidate; the others' elements are not shuffled to be counted.
+    met = IdSieve(candidates.select(F.col("_s").alias("_f")).unionByName(candidates.select(F.col("_l").alias("_f"))))
+    common = met.marked(ranked.select(F.col(family).alias("_f"), element), "_f").filter("_maybe").drop("_maybe")
     shared = (
         candidates.join(common.withColumnRenamed("_f", "_s"), "_s")
         .join(common.withColumnRenamed("_f", "_l"), ["_l", element], "left_semi")

@@ -100,6 +100,32 @@ def test_similar_sets_with_hot_elements(spark):
     test_similar_sets_is_exact(spark, 0.5)
 
 
+def test_similar_sets_with_full_buckets(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_SUB_BUCKETS", 1)
+    test_similar_sets_is_exact(spark, 0.5)
+
+
+def test_similar_sets_rule_pairs_out_before_the_shuffle(spark, monkeypatch):
+    rows = [(i, e) for i in range(60) for e in ("shared", *(f"{i // 2}-{k}" for k in range(3)), f"own {i}")]
+    stored, kept = [], similarity.durable
+
+    def seen(df):
+        stored.append(kept(df))
+        return stored[-1]
+
+    monkeypatch.setattr(similarity, "durable", seen)
+    found = similarity.similar_sets(spark.createDataFrame(rows, "family_id long, protein string"), 0.5).count()
+    monkeypatch.undo()
+    candidates = [t.count() for t in stored if t.columns[:2] == ["_s", "_l"]]
+    assert found == 30 and len(candidates) == 1 and 30 <= candidates[0] < 60 * 59 // 20
+
+
+def test_similar_sets_leave_out_rows_without_a_family(spark):
+    rows = [(f, e) for f in (1, None) for e in "abc"] + [(2, e) for e in "abcd"]
+    got = similarity.similar_sets(spark.createDataFrame(rows, "family_id long, protein string"), 0.5)
+    assert [tuple(r) for r in got.collect()] == [(1, 2, 3, 4, 3, 0.75)]
+
+
 def test_residue_similarity_tries_first_representative_first(spark):
     members = spark.createDataFrame(
         [(1, "a", "1-10"), (2, "a", "6-15"), (1, "b", "-"), (2, "b", "1-5"),
