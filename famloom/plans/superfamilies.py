@@ -85,7 +85,7 @@ def build_superfamilies(
     """
     symmetric = durable(symmetric_edges(edges, order))
     clusters, members = cluster_summaries(symmetric)
-    alone = singleton_ids(symmetric, first_id, last_id)
+    alone = durable(singleton_ids(symmetric, first_id, last_id))
     named = alone.select(
         F.concat(F.lit("Singleton_"), "family_id").alias("cluster_id"), "family_id"
     )

@@ -286,6 +286,25 @@ def _check_components(spark, seed):
     }
 
 
+def test_finished_components_leave_the_rounds(spark, monkeypatch):
+    pairs = [(i, i + 1) for i in range(0, 200, 2)] + [(i, i + 1) for i in range(1000, 1064)]
+    edges = spark.createDataFrame(_both_ways(pairs), "src string, dst string")
+    read, kept = [], graph.durable
+
+    def seen(df):
+        stored = kept(df)
+        if df.columns == ["src", "dst"]:
+            read.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(graph, "durable", seen)
+    found = graph.connected_components(edges).collect()
+    monkeypatch.undo()
+    want = {str(i): min(str(i - i % 2), str(i - i % 2 + 1)) for i in range(200)}
+    assert {r["node"]: r["component"] for r in found} == {**want, **{str(i): "1000" for i in range(1000, 1065)}}
+    assert read[0] == len(pairs) and sum(read[1:]) <= 2 * len(pairs)
+
+
 def test_components_equal_union_find(spark):
     _check_components(spark, 5)
 
