@@ -143,7 +143,9 @@ def tree_nodes(leaves: DataFrame) -> DataFrame:
     """Leaves plus all their ancestors as (family_id, path, parent, label, count).
 
     The few leaves of a family are dealt by family, so ancestors are summed where they arise.
+    Ancestors are many times the leaves, so the parts are counted, not merged by the leaves' size.
     """
+    parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels = F.sequence(F.lit(1), F.size(F.split("path", ":")))
     path, label = F.col("node"), F.substring_index("node", ":", -1)
     parent = F.when(
@@ -151,7 +153,7 @@ def tree_nodes(leaves: DataFrame) -> DataFrame:
     ).otherwise("")
     return (
         leaves.select("family_id", "path", "count")
-        .repartition("family_id")
+        .repartition(parts, "family_id")
         .select("family_id", "path", "count", F.explode(levels).alias("_level"))
         .select("family_id", F.expr("substring_index(path, ':', _level)").alias("node"), "count")
         .groupBy("family_id", "node")
