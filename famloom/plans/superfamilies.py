@@ -153,7 +153,8 @@ def novelty_scores(
     Ids that are not numbers count in the denominator but never match.
     """
     wanted = members.join(true_novel.select("cluster_id"), "cluster_id", "left_semi")
-    numbered = wanted.select("cluster_id", F.col("family_id").try_cast("bigint").alias("_id"))
+    # Sizes and hits both read the novel clusters' members, which are found once.
+    numbered = durable(wanted.select("cluster_id", F.col("family_id").try_cast("bigint").alias("_id")))
     ids = novel_filtered.select(F.col(novel_filtered.columns[0]).cast("bigint").alias("_id")).distinct()
     # Sizes come from all rows, hits from the matching ones, so ids without a number are not joined.
     sizes = numbered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("family_size"))
