@@ -1,8 +1,9 @@
 """Pairs of similar sets, and residue-level similarity of family pairs.
 
 The set join is exact and never pairs up everything that shares one element.
-Elements are ranked from rare to common; two sets with Jaccard >= t must share an
-element among the first few of each (the prefix), and must be of similar size.
+Each set becomes one row, its elements from rare to common by the frequency of their
+hash cells; two sets with Jaccard >= t must share an element among the first few of
+each (the prefix), and must be of similar size.
 Only prefixes are joined, on (element, size band); parity sketches of the sets rule
 out most joined pairs on the spot, and the other candidates are counted in full.  An element that nearly every set holds ranks last and is
 joined only for sets too small to have anything rarer.
@@ -21,6 +22,11 @@ from famloom.operators.skew import lookup
 from famloom.session import durable
 
 _SUB_BUCKETS = 256
+#: A family with more rows is cut into parts by element, so that no task holds it whole.
+PART_ROWS = 1 << 14
+#: Hash cells that element frequencies are counted in at most: 4 MB for all tasks.
+MAX_CELLS = 1 << 22
+_PAGE = 1 << 10
 
 
 def _needed(threshold: float, total: Column) -> Column:
@@ -29,38 +35,136 @@ def _needed(threshold: float, total: Column) -> Column:
     return F.ceil(total * F.lit(share) - F.lit(1e-9)).cast("bigint")
 
 
-def _ranked(sets: DataFrame, marks: DataFrame, family: str, element: str) -> DataFrame:
-    """Elements held by two or more sets, with set size, sketch and an upper rank bound.
+def _cell(element: str, cells: int) -> Column:
+    return F.pmod(F.xxhash64(element), F.lit(cells))
 
-    Ranks are taken over all sets; only the sets with ``marks`` are returned.
 
-    ``_before`` counts the set's elements in strictly rarer buckets.  A bucket is
-    a frequency class cut into hash slices, so a set has a bounded number of
-    buckets and no set is ever sorted as a whole.  A bucket of one or two elements is
-    given by its smallest and largest; only fuller ones are joined to their elements.
+def _frequency_pages(rows: DataFrame, element: str, cells: int) -> DataFrame:
+    """(_page, _classes): per hash cell of elements, log2 of its rows; -1 for a single one.
+
+    A cell's class is a rank that needs no join with the elements: rare ones come first,
+    and one that shares its cell with a frequent one only comes later than it might.
+    """
+    blank = rows.sparkSession.range(cells).select("id", F.lit(0).cast("bigint").alias("_rows"))
+    counted = rows.groupBy(_cell(element, cells).alias("id")).agg(F.count(F.lit(1)).alias("_rows"))
+    class_ = F.when(F.col("_rows") <= 1, F.lit(-1)).otherwise(F.floor(F.log2("_rows"))).cast("tinyint")
+    summed = counted.unionByName(blank).groupBy("id").agg(F.sum("_rows").alias("_rows"))
+    in_order = F.sort_array(F.collect_list(F.struct((F.col("id") % _PAGE).alias("at"), class_.alias("class"))))
+    return summed.groupBy(F.floor(F.col("id") / _PAGE).alias("_page")).agg(
+        F.transform(in_order, lambda c: c["class"]).alias("_classes")
+    )
+
+
+def _pieces(members: DataFrame, family: str, element: str) -> DataFrame:
+    """Every set as one row (family, _part, _parts, _n, _alone, _items, _buckets).
+
+    ``_items`` are the distinct elements from rare to common, by (bucket, element); a bucket
+    is a frequency class cut into hash slices.  The first ``_alone`` of them are held by no
+    other set.  A family of many rows has several parts, dealt by element, and only then
+    ``_buckets``.  Rows are shuffled once, by family and part.
     """
-    counted = sets.groupBy(element).agg(F.count(F.lit(1)).alias("_freq"))
-    class_ = F.floor(F.log2("_freq")).cast("int")
+    known = members.select(family, element).filter(F.col(family).isNotNull() & F.col(element).isNotNull())
+    sized = known.groupBy(family).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > PART_ROWS)
+    large = durable(sized.select(family, F.ceil(F.col("_rows") / PART_ROWS).cast("int").alias("_parts")))
+    cells = 1 << min(max(known.count(), _PAGE), MAX_CELLS).bit_length() - 1
+    pages = durable(_frequency_pages(known, element, cells))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = (
+        known.join(F.broadcast(large), family, "left")
+        .select(
+            family,
+            element,
+            F.pmod(F.xxhash64(F.lit("part"), element), parts).cast("int").alias("_part"),
+            parts.alias("_parts"),
+        )
+        .repartition(family, "_part")
+    )
+    class_ = F.get("_classes", (_cell(element, cells) % _PAGE).cast("int"))
     slice_ = F.pmod(F.xxhash64(element), F.lit(_SUB_BUCKETS)).cast("int")
-    bucket = F.when(F.col("_freq") == 1, F.lit(-1)).otherwise(class_ * _SUB_BUCKETS + slice_)
-    tagged = durable(
-        lookup(sets, counted, [element], "inner").select(family, element, bucket.alias("_bucket"))
+    bucket = F.when(class_ < 0, F.lit(-1)).otherwise(class_.cast("int") * _SUB_BUCKETS + slice_)
+    placed = dealt.withColumn("_page", F.floor(_cell(element, cells) / _PAGE)).join(F.broadcast(pages), "_page")
+    grouped = (
+        placed.select(family, "_part", "_parts", F.struct(bucket.alias("bucket"), F.col(element).alias("item")).alias("_at"))
+        .groupBy(family, "_part")
+        .agg(F.max("_parts").alias("_parts"), F.sort_array(F.collect_set("_at")).alias("_sorted"))
+    )
+    return durable(
+        grouped.select(
+            family,
+            "_part",
+            "_parts",
+            F.size("_sorted").cast("bigint").alias("_n"),
+            F.size(F.filter("_sorted", lambda x: x["bucket"] < 0)).alias("_alone"),
+            F.col("_sorted.item").alias("_items"),
+            F.when(F.col("_parts") > 1, F.col("_sorted.bucket")).alias("_buckets"),
+        )
+    )
+
+
+def _marks(pieces: DataFrame, family: str) -> DataFrame:
+    """(family, _n, _one, _two): size and two digests; only cut families are grouped."""
+    per = pieces.select(
+        family,
+        "_parts",
+        "_n",
+        F.xxhash64("_part", "_items").alias("_one"),
+        F.xxhash64(F.lit("second"), "_part", "_items").alias("_two"),
+    )
+    cut = per.filter("_parts > 1").groupBy(family).agg(
+        F.sum("_n").alias("_n"), F.bit_xor("_one").alias("_one"), F.bit_xor("_two").alias("_two")
+    )
+    return per.filter("_parts = 1").drop("_parts").unionByName(cut)
+
+
+def _sketch(half: int) -> Column:
+    """64 of a set's 128 parity bits: each element flips one of them."""
+    zero = F.lit(0).cast("bigint")
+
+    def flip(bits: Column, item: Column) -> Column:
+        bit = F.pmod(F.xxhash64(F.lit("sketch"), item), F.lit(128)).cast("int")
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)))
+        return bits.bitwiseXOR(F.when(F.shiftright(bit, 6) == half, one).otherwise(zero))
+
+    return F.aggregate("_items", zero, flip)
+
+
+def _prefixes(pieces: DataFrame, threshold: float, family: str, element: str) -> DataFrame:
+    """Elements that a pair may meet on: (family, element, _size, _before, _low, _high).
+
+    ``_before`` counts the set's elements that come earlier.  In a cut family, where no task
+    sees them all, it counts those in strictly rarer buckets, which are a bounded number.
+    """
+    facts = [family, "_size", "_before", "_low", "_high"]
+    size = F.col("_size")
+    longest = (size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
+    marked = pieces.withColumns({"_low": _sketch(0), "_high": _sketch(1)})
+    whole = (
+        marked.filter("_parts = 1")
+        .withColumn("_size", F.col("_n"))
+        .select(family, "_size", "_alone", "_low", "_high", F.posexplode(F.slice("_items", F.lit(1), longest)))
+        .filter("pos >= _alone")
+        .select(family, F.col("col").alias(element), "_size", F.col("pos").cast("bigint").alias("_before"), "_low", "_high")
     )
-    earlier = Window.partitionBy(family).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+    cut = pieces.filter("_parts > 1")
+    if cut.isEmpty():
+        return whole
+    totals = marked.filter("_parts > 1").groupBy(family).agg(
+        F.sum("_n").alias("_size"), F.bit_xor("_low").alias("_low"), F.bit_xor("_high").alias("_high")
     )
-    placed = durable(
+    tagged = cut.select(family, F.inline(F.arrays_zip(F.col("_items").alias(element), F.col("_buckets").alias("_bucket"))))
+    earlier = Window.partitionBy(family).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (
         tagged.groupBy(family, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(element).alias("_least"), F.max(element).alias("_most"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .agg(F.count(F.lit(1)).alias("_in"))
+        .withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
         .filter("_bucket >= 0")
-        .join(marks, family)
+        .join(totals, family)
+        .filter(F.col("_before") < longest)
+        .select("_bucket", *facts)
+    )
+    return whole.unionByName(
+        tagged.join(durable(buckets), [family, "_bucket"]).select(family, element, *facts[1:])
     )
-    facts = [family, "_before", "_size", "_low", "_high"]
-    ends = F.when(F.col("_n") == 1, F.array("_least")).otherwise(F.array("_least", "_most"))
-    few = placed.filter("_n <= 2").select(*facts, F.explode(ends).alias(element))
-    full = durable(placed.filter("_n > 2").select(*facts, "_bucket"))
-    return few.unionByName(tagged.join(full, [family, "_bucket"]).drop("_bucket"))
 
 
 def similar_sets(
@@ -74,45 +178,22 @@ def similar_sets(
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
-    known = F.col(family).isNotNull() & F.col(element).isNotNull()
-    sets = durable(members.select(family, element).filter(known).distinct())
-    marks, copies = _equal_sets(sets, family, element)
+    pieces = _pieces(members, family, element)
+    copies = _equal_sets(_marks(pieces, family), family)
     others = copies.filter(F.col(family) != F.col("_head")).select(family)
-    heads = marks.join(others, family, "left_anti")
-    pairs = _similar_heads(sets, heads, threshold, family, element)
-    return _expanded(pairs, copies, family)
+    heads = pieces if others.isEmpty() else IdSieve(others).remove(pieces, family)
+    return _expanded(_similar_heads(heads, threshold, family, element), copies, family)
 
 
-def _sketch(element: str, half: int) -> Column:
-    """64 of a set's 128 parity bits: each element flips one of them."""
-    bit = F.pmod(F.xxhash64(F.lit("sketch"), element), F.lit(128)).cast("int")
-    mine = F.shiftright(bit, 6) == half
-    flip = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)))
-    return F.bit_xor(F.when(mine, flip).otherwise(F.lit(0).cast("bigint")))
-
-
-def _equal_sets(sets: DataFrame, family: str, element: str) -> tuple[DataFrame, DataFrame]:
-    """(family, _size, _low, _high): size and sketch of each set; and the sets that several
-    families hold as (family, _n, _head), _head being the smallest of them.
+def _equal_sets(marks: DataFrame, family: str) -> DataFrame:
+    """Sets that several families hold as (family, _n, _head), _head being the smallest of them.
 
     Sets are told apart by size and two independent 64-bit digests.
     """
-    marks = durable(
-        sets.groupBy(family).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.bit_xor(F.xxhash64(element)).alias("_one"),
-            F.bit_xor(F.xxhash64(F.lit("second"), element)).alias("_two"),
-            _sketch(element, 0).alias("_low"),
-            _sketch(element, 1).alias("_high"),
-        )
-    )
     digests = ["_n", "_one", "_two"]
     repeated = marks.groupBy(*digests).agg(F.min(family).alias("_head"), F.count(F.lit(1)).alias("_k"))
     copies = lookup(marks, repeated.filter("_k > 1").drop("_k"), digests, "inner")
-    return (
-        marks.select(family, F.col("_n").alias("_size"), "_low", "_high"),
-        durable(copies.select(family, "_n", "_head")),
-    )
+    return durable(copies.select(family, "_n", "_head"))
 
 
 def _expanded(pairs: DataFrame, copies: DataFrame, family: str) -> DataFrame:
@@ -141,35 +222,21 @@ def _expanded(pairs: DataFrame, copies: DataFrame, family: str) -> DataFrame:
     )
 
 
-def _similar_heads(
-    sets: DataFrame, marks: DataFrame, threshold: float, family: str, element: str
-) -> DataFrame:
+def _similar_heads(pieces: DataFrame, threshold: float, family: str, element: str) -> DataFrame:
     """(_s, _l, their sizes, shared, jaccard) of different sets.
 
     Parity bits that differ are at most the elements that only one of two sets holds, so
     pairs with too many of them are left out where they are found, before any shuffle.
     """
-    ranked = _ranked(sets, marks, family, element)
     size = F.col("_size")
     base = math.log(1.0 / threshold) if threshold < 1.0 else None
     band = F.floor(F.log(size.cast("double")) / base).cast("int") if base else size.cast("int")
+    ranked = _prefixes(pieces, threshold, family, element).withColumn("_band", band)
 
-    def prefix(required: Column) -> DataFrame:
-        return ranked.filter(F.col("_before") < size - required + 1)
-
-    def side(mark: str) -> list[Column]:
-        return [F.col(c).alias(f"_{mark}{c}") for c in ("_size", "_before", "_low", "_high")]
+    def side(mark: str, rows: DataFrame) -> DataFrame:
+        facts = [F.col(c).alias(f"_{mark}{c}") for c in ("_size", "_before", "_low", "_high")]
+        return rows.select(F.col(family).alias(f"_{mark}"), element, *facts, "_band")
 
-    # The smaller set of a pair needs more of itself shared, so its prefix is shorter.
-    smaller = prefix(_needed(threshold, size * 2)).select(
-        F.col(family).alias("_s"),
-        element,
-        *side("s"),
-        F.explode(F.array(band, band + 1) if base else F.array(band)).alias("_band"),
-    )
-    larger = prefix(F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("bigint")).select(
-        F.col(family).alias("_l"), element, *side("l"), band.alias("_band")
-    )
     total = F.col("_s_size") + F.col("_l_size")
     required = _needed(threshold, total)
     ordered = (F.col("_s_size") < F.col("_l_size")) | (
@@ -178,21 +245,35 @@ def _similar_heads(
     apart = F.bit_count(F.col("_s_low").bitwiseXOR(F.col("_l_low"))) + F.bit_count(
         F.col("_s_high").bitwiseXOR(F.col("_l_high"))
     )
-    candidates = durable(
-        smaller.join(larger, [element, "_band"])
-        .filter(
-            ordered
-            & (F.col("_s_size") >= F.col("_l_size") * F.lit(threshold) - F.lit(1e-9))
-            & (F.col("_s_before") < F.col("_s_size") - required + 1)
-            & (F.col("_l_before") < F.col("_l_size") - required + 1)
-            & (apart <= total - required * 2)
+
+    def met(smaller: DataFrame) -> DataFrame:
+        return (
+            side("s", smaller)
+            .join(side("l", ranked), [element, "_band"])
+            .filter(
+                ordered
+                & (F.col("_s_size") >= F.col("_l_size") * F.lit(threshold) - F.lit(1e-9))
+                & (F.col("_s_before") < F.col("_s_size") - required + 1)
+                & (F.col("_l_before") < F.col("_l_size") - required + 1)
+                & (apart <= total - required * 2)
+            )
+            .select("_s", "_l", "_s_size", "_l_size")
         )
-        .select("_s", "_l", "_s_size", "_l_size")
-        .distinct()
-    )
+
+    # Inside a band both sides are the same rows and one shuffle.  A larger set may also be in
+    # the next band; the smaller one needs more of itself shared, so its prefix is shorter.
+    found = met(ranked)
+    if base:
+        shorter = ranked.filter(F.col("_before") < size - _needed(threshold, size * 2) + 1)
+        found = found.unionByName(met(shorter.withColumn("_band", F.col("_band") + 1)))
+    candidates = durable(found.distinct())
     # Few sets are in a candidate; the others' elements are not shuffled to be counted.
-    met = IdSieve(candidates.select(F.col("_s").alias("_f")).unionByName(candidates.select(F.col("_l").alias("_f"))))
-    common = met.marked(ranked.select(F.col(family).alias("_f"), element), "_f").filter("_maybe").drop("_maybe")
+    listed = IdSieve(candidates.select(F.col("_s").alias("_f")).unionByName(candidates.select(F.col("_l").alias("_f"))))
+    common = (
+        listed.marked(pieces.withColumnRenamed(family, "_f"), "_f")
+        .filter("_maybe")
+        .select("_f", F.explode("_items").alias(element))
+    )
     shared = (
         candidates.join(common.withColumnRenamed("_f", "_s"), "_s")
         .join(common.withColumnRenamed("_f", "_l"), ["_l", element], "left_semi")
@@ -208,8 +289,12 @@ def residue_similarity(pairs: DataFrame, members: DataFrame, meta: DataFrame) ->
 
     fam1's representative is used if fam2 holds it, else fam2's if fam1 holds it,
     else the similarity is 0.  Regions count from their first to their last number,
-    and ``-`` is the whole representative.
+    and ``-`` is the whole representative.  Only members of families in a pair are shuffled.
     """
+    listed = IdSieve(pairs.select(F.col("fam1").alias("_f")).unionByName(pairs.select(F.col("fam2").alias("_f"))))
+    members = durable(
+        listed.marked(members.select("family_id", "protein", "region"), "family_id").filter("_maybe").drop("_maybe")
+    )
     reps = meta.select(
         F.col("id"), F.col("protein_rep").alias("_rep"), F.col("rep_length").alias("_length")
     )
@@ -254,7 +339,7 @@ def residue_similarity(pairs: DataFrame, members: DataFrame, meta: DataFrame) ->
         ),
     )
     spans = (
-        sides.join(members.select("family_id", "protein", "region"), ["family_id", "protein"])
+        sides.join(members, ["family_id", "protein"])
         .withColumn("_span", region_hull(F.col("region"), F.col("_length")))
         .select("fam1", "fam2", "side", "_span.start", "_span.end")
     )

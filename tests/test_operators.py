@@ -105,6 +105,38 @@ def test_similar_sets_with_full_buckets(spark, monkeypatch):
     test_similar_sets_is_exact(spark, 0.5)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.95, 1.0])
+def test_similar_sets_of_families_cut_into_parts(spark, monkeypatch, threshold):
+    monkeypatch.setattr(similarity, "PART_ROWS", 3)
+    test_similar_sets_is_exact(spark, threshold)
+
+
+def test_similar_sets_with_few_frequency_cells(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MAX_CELLS", 8)
+    monkeypatch.setattr(similarity, "_PAGE", 4)
+    test_similar_sets_is_exact(spark, 0.5)
+
+
+def test_similar_sets_store_a_row_per_set(spark, monkeypatch):
+    """A set's elements are dealt and stored once, together, not row by row in several tables."""
+    rows = [(f, f"p{f * 7 % 90 + k * k}") for f in range(300) for k in range(8)]
+    stored, kept = [], similarity.durable
+
+    def seen(df):
+        stored.append(kept(df))
+        return stored[-1]
+
+    monkeypatch.setattr(similarity, "durable", seen)
+    found = similarity.similar_sets(spark.createDataFrame(rows, "family_id long, protein string"), 0.9)
+    monkeypatch.undo()
+    per_set = [t for t in stored if "_s" not in t.columns]
+    assert found.count() > 0 and sum(t.count() for t in per_set) < len(rows) / 2
+
+
+def test_similar_sets_of_nothing(spark):
+    assert similarity.similar_sets(spark.createDataFrame([], "family_id long, protein string"), 0.5).count() == 0
+
+
 def test_similar_sets_rule_pairs_out_before_the_shuffle(spark, monkeypatch):
     rows = [(i, e) for i in range(60) for e in ("shared", *(f"{i // 2}-{k}" for k in range(3)), f"own {i}")]
     stored, kept = [], similarity.durable
@@ -145,6 +177,25 @@ def test_residue_similarity_tries_first_representative_first(spark):
     assert got == {(1, 2): 5 / 15, (2, 1): 5 / 20, (3, 4): 0.0, (3, 1): 0.0}
 
 
+def test_residue_similarity_stores_members_of_pairs_only(spark, monkeypatch):
+    rows = [(f, f"p{f // 2}", "1-10") for f in range(2000)]
+    members = spark.createDataFrame(rows, "family_id long, protein string, region string")
+    meta = members.select(F.col("family_id").alias("id"), F.col("protein").alias("protein_rep"), F.lit(20).alias("rep_length"))
+    pairs = spark.createDataFrame([(2, 3), (40, 41)], "fam1 long, fam2 long")
+    stored, kept = [], similarity.durable
+
+    def seen(df):
+        stored.append(kept(df))
+        return stored[-1]
+
+    monkeypatch.setattr(similarity, "durable", seen)
+    got = similarity.residue_similarity(pairs, members, meta).collect()
+    monkeypatch.undo()
+    assert sorted(map(tuple, got)) == [(2, 3, 1.0), (40, 41, 1.0)]
+    held = [t.count() for t in stored if "region" in t.columns]
+    assert len(held) == 1 and 4 <= held[0] < 200
+
+
 def test_direction_follows_row_order(spark):
     members = spark.createDataFrame(
         [(9, "a", "1-10", 1), (2, "a", "1-10", 2)],
