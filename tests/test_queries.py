@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from famloom.operators import similarity
 from oracle import connect, difference
 from query_catalog import ORACLES, QUERIES
 
@@ -24,3 +25,19 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, database, name):
     assert difference(QUERIES[name](spark, FOLDER), database, ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("name", ["family_similarities"])
+def test_query_stores_a_row_per_set(spark, monkeypatch, name):
+    """The step that these queries share does not store elements row by row."""
+    stored, kept = [], similarity.durable
+
+    def seen(df):
+        stored.append(kept(df))
+        return stored[-1]
+
+    monkeypatch.setattr(similarity, "durable", seen)
+    QUERIES[name](spark, FOLDER)
+    monkeypatch.undo()
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+    assert stored and sum(t.count() for t in stored) < lines
