@@ -27,7 +27,7 @@ def test_query_matches_oracle(spark, database, name):
     assert difference(QUERIES[name](spark, FOLDER), database, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", ["family_similarities", "singletons", "redundant_families"])
+@pytest.mark.parametrize("name", ["family_similarities", "singletons", "redundant_families", "similarity_split"])
 def test_query_stores_a_row_per_set(spark, monkeypatch, name):
     """The step that these queries share does not store elements row by row."""
     stored, kept = [], similarity.durable
