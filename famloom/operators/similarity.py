@@ -12,6 +12,7 @@ joined only for sets too small to have anything rarer.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -55,6 +56,21 @@ def _frequency_pages(rows: DataFrame, element: str, cells: int) -> DataFrame:
     )
 
 
+def _large_families(known: DataFrame, family: str, rows: int) -> DataFrame:
+    """(family, _parts) of the families with more than ``PART_ROWS`` of all ``rows``.
+
+    Rows are counted per hash cell first: a large family makes its cell full, and only the
+    rows of full cells are counted by family.
+    """
+    cells = 1 << min(max(8 * rows // PART_ROWS, 1), MAX_CELLS).bit_length()
+    cell, count = _cell(family, cells), F.count(F.lit(1)).alias("_rows")
+    full = known.groupBy(cell.alias("_full")).agg(count).filter(F.col("_rows") > PART_ROWS).select("_full")
+    sized = known.withColumn("_full", cell).join(F.broadcast(full), "_full", "left_semi").groupBy(family).agg(count)
+    return sized.filter(F.col("_rows") > PART_ROWS).select(
+        family, F.ceil(F.col("_rows") / PART_ROWS).cast("int").alias("_parts")
+    )
+
+
 def _pieces(members: DataFrame, family: str, element: str) -> DataFrame:
     """Every set as one row (family, _part, _parts, _n, _alone, _items, _buckets).
 
@@ -64,9 +80,9 @@ def _pieces(members: DataFrame, family: str, element: str) -> DataFrame:
     ``_buckets``.  Rows are shuffled once, by family and part.
     """
     known = members.select(family, element).filter(F.col(family).isNotNull() & F.col(element).isNotNull())
-    sized = known.groupBy(family).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > PART_ROWS)
-    large = durable(sized.select(family, F.ceil(F.col("_rows") / PART_ROWS).cast("int").alias("_parts")))
-    cells = 1 << min(max(known.count(), _PAGE), MAX_CELLS).bit_length() - 1
+    rows = known.count()
+    large = durable(_large_families(known, family, rows))
+    cells = 1 << min(max(rows, _PAGE), MAX_CELLS).bit_length() - 1
     pages = durable(_frequency_pages(known, element, cells))
     parts = F.coalesce("_parts", F.lit(1))
     dealt = (
@@ -284,18 +300,26 @@ def _similar_heads(pieces: DataFrame, threshold: float, family: str, element: st
     return shared.filter(jaccard >= threshold).withColumn("jaccard", jaccard)
 
 
-def residue_similarity(pairs: DataFrame, members: DataFrame, meta: DataFrame) -> DataFrame:
+def families_of(pairs: DataFrame) -> IdSieve:
+    """The families of (fam1, fam2) pairs."""
+    return IdSieve(pairs.select(F.col("fam1").alias("_f")).unionByName(pairs.select(F.col("fam2").alias("_f"))))
+
+
+def residue_similarity(
+    pairs: DataFrame, members: DataFrame, meta: DataFrame | Callable[[IdSieve], DataFrame]
+) -> DataFrame:
     """Residue Jaccard of each (fam1, fam2) on a representative both families hold.
 
     fam1's representative is used if fam2 holds it, else fam2's if fam1 holds it,
     else the similarity is 0.  Regions count from their first to their last number,
-    and ``-`` is the whole representative.  Only members of families in a pair are shuffled.
+    and ``-`` is the whole representative.  Only members of families in a pair are shuffled;
+    ``meta`` may be a function of these families, so that it is derived for them alone.
     """
-    listed = IdSieve(pairs.select(F.col("fam1").alias("_f")).unionByName(pairs.select(F.col("fam2").alias("_f"))))
+    listed = families_of(pairs)
     members = durable(
         listed.marked(members.select("family_id", "protein", "region"), "family_id").filter("_maybe").drop("_maybe")
     )
-    reps = meta.select(
+    reps = (meta(listed) if callable(meta) else meta).select(
         F.col("id"), F.col("protein_rep").alias("_rep"), F.col("rep_length").alias("_length")
     )
     held = members.select("family_id", "protein").distinct()
@@ -356,7 +380,10 @@ def residue_similarity(pairs: DataFrame, members: DataFrame, meta: DataFrame) ->
 
 
 def family_similarities(
-    members: DataFrame, meta: DataFrame, threshold: float = 0.5, order: str | None = None
+    members: DataFrame,
+    meta: DataFrame | Callable[[IdSieve], DataFrame],
+    threshold: float = 0.5,
+    order: str | None = None,
 ) -> DataFrame:
     """Family pairs similar both by shared proteins and by shared residues.
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from famloom.operators.sieve import IdSieve
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -65,11 +67,16 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def family_meta(spark: SparkSession, folder: str) -> DataFrame:
-    """Per family (order): its smallest part as representative, of length 60."""
+def family_meta(spark: SparkSession, folder: str, listed: IdSieve | None = None) -> DataFrame:
+    """Per family (order): its smallest part as representative, of length 60.
+
+    With ``listed``, lines of other families are left out where they are read, but for a few.
+    """
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
+    if listed is not None:
+        lines = listed.marked(lines, "l_orderkey").filter("_maybe")
     return (
-        table(spark, folder, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("id"))
+        lines.groupBy(F.col("l_orderkey").alias("id"))
         .agg(
             F.min("l_partkey").alias("protein_rep"),
             F.lit(60).alias("rep_length"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from famloom.functions.ids import from_sortable_text
@@ -21,12 +23,12 @@ def residue_jaccard(spark: SparkSession, folder: str) -> DataFrame:
         F.col("fam_a").alias("fam1"), F.col("fam_b").alias("fam2")
     )
     return similarity.residue_similarity(
-        durable(pairs), members(spark, folder), family_meta(spark, folder)
+        durable(pairs), members(spark, folder), partial(family_meta, spark, folder)
     )
 
 
 def family_similarities(spark: SparkSession, folder: str) -> DataFrame:
-    return similarity.family_similarities(members(spark, folder), family_meta(spark, folder), 0.5)
+    return similarity.family_similarities(members(spark, folder), partial(family_meta, spark, folder), 0.5)
 
 
 def _similarities(spark: SparkSession, folder: str) -> DataFrame:

@@ -152,6 +152,14 @@ def test_similar_sets_rule_pairs_out_before_the_shuffle(spark, monkeypatch):
     assert found == 30 and len(candidates) == 1 and 30 <= candidates[0] < 60 * 59 // 20
 
 
+def test_large_families_are_counted_by_cells_first(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PART_ROWS", 100)
+    rows = [(f, f"p{k}") for f in range(500) for k in range(3)] + [(7000 + f, f"q{k}") for f in (0, 1) for k in range(100 + f * 150)]
+    known = spark.createDataFrame(rows, "family_id long, protein string")
+    got = similarity._large_families(known, "family_id", len(rows))
+    assert [tuple(r) for r in got.collect()] == [(7001, 3)]
+
+
 def test_similar_sets_leave_out_rows_without_a_family(spark):
     rows = [(f, e) for f in (1, None) for e in "abc"] + [(2, e) for e in "abcd"]
     got = similarity.similar_sets(spark.createDataFrame(rows, "family_id long, protein string"), 0.5)
@@ -196,6 +204,22 @@ def test_residue_similarity_stores_members_of_pairs_only(spark, monkeypatch):
     assert len(held) == 1 and 4 <= held[0] < 200
 
 
+def test_residue_similarity_asks_for_meta_of_pairs_only(spark):
+    rows = [(f, f"p{f // 2}", "1-10") for f in range(2000)]
+    members = spark.createDataFrame(rows, "family_id long, protein string, region string")
+    whole = members.select(F.col("family_id").alias("id"), F.col("protein").alias("protein_rep"), F.lit(20).alias("rep_length"))
+    asked = []
+
+    def meta(listed):
+        asked.append(listed.marked(whole, "id").filter("_maybe").drop("_maybe"))
+        return asked[0]
+
+    pairs = spark.createDataFrame([(2, 3), (40, 41)], "fam1 long, fam2 long")
+    got = similarity.residue_similarity(pairs, members, meta).collect()
+    assert sorted(map(tuple, got)) == [(2, 3, 1.0), (40, 41, 1.0)]
+    assert len(asked) == 1 and 4 <= asked[0].count() < 200
+
+
 def test_direction_follows_row_order(spark):
     members = spark.createDataFrame(
         [(9, "a", "1-10", 1), (2, "a", "1-10", 2)],

@@ -8,7 +8,8 @@ import pytest
 
 from famloom.operators import similarity
 from oracle import connect, difference
-from query_catalog import ORACLES, QUERIES
+from query_catalog import ORACLES, QUERIES, similarity as catalog
+from query_catalog.adapters import family_meta
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -41,3 +42,16 @@ def test_query_stores_a_row_per_set(spark, monkeypatch, name):
     monkeypatch.undo()
     lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
     assert stored and sum(t.count() for t in stored) < lines
+
+
+def test_family_similarities_derive_meta_of_pairs_only(spark, monkeypatch):
+    asked, kept = [], catalog.family_meta
+
+    def meta(spark, folder, listed=None):
+        asked.append(listed)
+        return kept(spark, folder, listed)
+
+    monkeypatch.setattr(catalog, "family_meta", meta)
+    QUERIES["family_similarities"](spark, FOLDER)
+    assert asked and None not in asked
+    assert family_meta(spark, FOLDER, asked[0]).count() < family_meta(spark, FOLDER).count() / 2
