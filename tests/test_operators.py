@@ -160,6 +160,16 @@ def test_large_families_are_counted_by_cells_first(spark, monkeypatch):
     assert [tuple(r) for r in got.collect()] == [(7001, 3)]
 
 
+def test_equal_sets_are_looked_up_among_few(spark, monkeypatch):
+    """Sets that no other family holds are left out before digests are grouped."""
+    rows = [(f, f"p{f}-{k}") for f in range(1000) for k in range(3)] + [(f, f"q{k}") for f in (5000, 5001) for k in range(3)]
+    seen, kept = [], similarity.lookup
+    monkeypatch.setattr(similarity, "lookup", lambda left, *a: seen.append(left.count()) or kept(left, *a))
+    got = similarity.similar_sets(spark.createDataFrame(rows, "family_id long, protein string"), 0.5)
+    assert [tuple(r) for r in got.collect()] == [(5000, 5001, 3, 3, 3, 1.0)]
+    assert len(seen) == 1 and 2 <= seen[0] < 200
+
+
 def test_similar_sets_leave_out_rows_without_a_family(spark):
     rows = [(f, e) for f in (1, None) for e in "abc"] + [(2, e) for e in "abcd"]
     got = similarity.similar_sets(spark.createDataFrame(rows, "family_id long, protein string"), 0.5)
