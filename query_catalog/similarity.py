@@ -43,17 +43,20 @@ def _similarities(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _eliminated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(dropped families, kept pairs); only families in a redundant pair are sized."""
+    similarities = _similarities(spark, folder)
+    listed = similarity.families_of(similarities.filter(F.col("similarity") >= 0.95))
+    return redundancy.eliminate_redundant(similarities, family_meta(spark, folder, listed), 0.95)
+
+
 def redundant_families(spark: SparkSession, folder: str) -> DataFrame:
-    dropped, _ = redundancy.eliminate_redundant(
-        _similarities(spark, folder), family_meta(spark, folder)
-    )
+    dropped, _ = _eliminated(spark, folder)
     return dropped.select("family_id")
 
 
 def non_redundant_similarities(spark: SparkSession, folder: str) -> DataFrame:
-    _, kept = redundancy.eliminate_redundant(
-        _similarities(spark, folder), family_meta(spark, folder)
-    )
+    _, kept = _eliminated(spark, folder)
     return kept.drop("row_no")
 
 

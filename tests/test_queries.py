@@ -44,6 +44,24 @@ def test_query_stores_a_row_per_set(spark, monkeypatch, name):
     assert stored and sum(t.count() for t in stored) < lines
 
 
+def test_redundancy_sizes_only_families_in_redundant_pairs(spark, monkeypatch):
+    """Sizes are summed for the families that they decide on, not for every family."""
+    seen, kept = [], catalog.redundancy.eliminate_redundant
+
+    def eliminated(similarities, sizes, *rest):
+        seen.append((similarities, sizes))
+        return kept(similarities, sizes, *rest)
+
+    monkeypatch.setattr(catalog.redundancy, "eliminate_redundant", eliminated)
+    QUERIES["redundant_families"](spark, FOLDER)
+    (pairs, sizes), = seen
+    wanted = {f for r in pairs.filter("similarity >= 0.95").collect() for f in (r["fam1"], r["fam2"])}
+    every = {r["id"]: r["family_size"] for r in family_meta(spark, FOLDER).collect()}
+    got = {r["id"]: r["family_size"] for r in sizes.collect()}
+    assert wanted <= set(got) and len(got) < len(every) / 2
+    assert all(every[f] == n for f, n in got.items())
+
+
 def test_family_similarities_derive_meta_of_pairs_only(spark, monkeypatch):
     asked, kept = [], catalog.family_meta
 
