@@ -242,6 +242,14 @@ def _expanded(pairs: DataFrame, copies: DataFrame, family: str) -> DataFrame:
     )
 
 
+def _next_band(ranked: DataFrame, threshold: float) -> DataFrame:
+    """Prefixes that smaller sets need among the larger sets of the next size band."""
+    size, band = F.col("_size"), F.col("_band") + 1
+    there = F.ceil(F.pow(F.lit(1.0 / threshold), band) * F.lit(1.0 - 1e-9)).cast("bigint")
+    least = _needed(threshold, size + F.greatest(size, there))
+    return ranked.filter(F.col("_before") < size - least + 1).withColumn("_band", band)
+
+
 def _similar_heads(pieces: DataFrame, threshold: float, family: str, element: str) -> DataFrame:
     """(_s, _l, their sizes, shared, jaccard) of different sets.
 
@@ -281,11 +289,10 @@ def _similar_heads(pieces: DataFrame, threshold: float, family: str, element: st
         )
 
     # Inside a band both sides are the same rows and one shuffle.  A larger set may also be in
-    # the next band; the smaller one needs more of itself shared, so its prefix is shorter.
+    # the next band; by the sizes there, more of the smaller one is shared, so its prefix is shorter.
     found = met(ranked)
     if base:
-        shorter = ranked.filter(F.col("_before") < size - _needed(threshold, size * 2) + 1)
-        found = found.unionByName(met(shorter.withColumn("_band", F.col("_band") + 1)))
+        found = found.unionByName(met(_next_band(ranked, threshold)))
     candidates = durable(found.distinct())
     # Few sets are in a candidate; the others' elements are not shuffled to be counted.
     listed = IdSieve(candidates.select(F.col("_s").alias("_f")).unionByName(candidates.select(F.col("_l").alias("_f"))))

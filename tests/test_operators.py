@@ -170,6 +170,32 @@ def test_equal_sets_are_looked_up_among_few(spark, monkeypatch):
     assert len(seen) == 1 and 2 <= seen[0] < 200
 
 
+def test_next_band_takes_the_prefix_that_its_sizes_need(spark):
+    """A set of 4 shares at least 4 elements with one of 8 or more: only its first is needed there."""
+    rows = [(f, size, before, band) for f, size, band in ((1, 4, 2), (2, 5, 2), (3, 7, 2), (4, 1, 0)) for before in range(size)]
+    ranked = spark.createDataFrame(rows, "f long, _size long, _before long, _band int")
+    got = similarity._next_band(ranked, 0.5).groupBy("f", "_band").count().orderBy("f").collect()
+    assert [tuple(r) for r in got] == [(1, 3, 1), (2, 3, 1), (3, 3, 3), (4, 1, 1)]
+
+
+@pytest.mark.parametrize("threshold", [0.34, 0.5, 0.75, 0.9])
+def test_similar_sets_across_size_bands(spark, threshold):
+    """Subsets and near subsets of a few sets, of all sizes, so that pairs lie at the threshold."""
+    rng = random.Random(11)
+    sets = []
+    for base in range(3):
+        pool = [f"{base}-{k}" for k in range(24)]
+        sets += [set(rng.sample(pool, n)) for n in range(12, 25)] + [set(pool[:n]) for n in range(1, 25)]
+    want = {
+        (a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b]))
+        for a in range(len(sets)) for b in range(a + 1, len(sets))
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold
+    }
+    df = spark.createDataFrame([(f, e) for f, s in enumerate(sets) for e in s], "family_id long, protein string")
+    got = similarity.similar_sets(df, threshold).collect()
+    assert {(r["fam_a"], r["fam_b"]): (r["shared"], r["size_a"] + r["size_b"] - r["shared"]) for r in got} == want
+
+
 def test_similar_sets_leave_out_rows_without_a_family(spark):
     rows = [(f, e) for f in (1, None) for e in "abc"] + [(2, e) for e in "abcd"]
     got = similarity.similar_sets(spark.createDataFrame(rows, "family_id long, protein string"), 0.5)
