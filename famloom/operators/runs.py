@@ -1,13 +1,19 @@
-"""Runs of equal states along an ordered sequence of rows per key."""
+"""Runs of equal states along an ordered sequence of rows per key, or inside long texts."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from famloom.session import durable
 
+#: Bytes of text whose runs are found at once; bounds what a task holds besides its batch.
+TEXT_BYTES = 1 << 20
+
 
 def state_runs(df: DataFrame, key: str, order: Sequence[str], state: str) -> DataFrame:
     """Maximal runs of equal ``state`` per key: state, x, y (1-based row positions).
@@ -80,3 +86,60 @@ def state_runs(df: DataFrame, key: str, order: Sequence[str], state: str) -> Dat
         )
     )
     return inner.unionByName(edges)
+
+
+def _text_finder(column: int, codes: list[int], names: list[str]) -> Callable:
+    def runs_of(cut: np.ndarray, raw: np.ndarray) -> Iterator[pa.Array]:
+        # A character counts by its first byte; those of other states need not be told apart.
+        heads = (raw & 0xC0) != 0x80
+        if not heads.all():
+            cut, raw = np.concatenate([[0], np.cumsum(heads)])[cut], raw[heads]
+        new = np.ones(len(raw), bool)
+        new[1:] = raw[1:] != raw[:-1]
+        new[cut[cut < len(raw)]] = True
+        starts = np.flatnonzero(new)
+        state, ends = raw[starts], np.append(starts[1:], len(raw))
+        first = np.searchsorted(starts, cut)
+        before = np.repeat(cut[:-1], np.diff(first))
+        x, y = (starts - before + 1).astype(np.int32), (ends - before).astype(np.int32)
+        for code in codes:
+            mine = state == code
+            offsets = np.concatenate([[0], np.cumsum(mine)])[first].astype(np.int32)
+            yield pa.ListArray.from_arrays(
+                offsets, pa.StructArray.from_arrays([pa.array(x[mine]), pa.array(y[mine])], ["x", "y"])
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, texts = batch.num_rows, batch.column(column)
+            if n == 0:
+                continue
+            width = np.dtype(np.int64 if pa.types.is_large_string(texts.type) else np.int32)
+            _, offsets, data = texts.buffers()
+            offsets = np.frombuffer(offsets, width, n + 1, texts.offset * width.itemsize).astype(np.int64)
+            data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+            low = 0
+            while low < n:
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + TEXT_BYTES, "right")) - 1)
+                cut = offsets[low : high + 1]
+                found = runs_of(cut - cut[0], data[cut[0] : cut[-1]])
+                rows = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *found], names)
+                low = high
+
+    return run
+
+
+def text_runs(df: DataFrame, text: str, columns: dict[str, str]) -> DataFrame:
+    """Add, per state, the runs of its character in ``text`` as (x, y), 1-based and inclusive.
+
+    ``columns``: the added column of each state; states are ASCII characters.  Positions
+    count characters.  A null text has no runs.  Memory is bounded by a batch of rows, or
+    by one text.
+    """
+    place = StructType().add("x", IntegerType()).add("y", IntegerType())
+    schema = StructType(list(df.schema.fields))
+    for name in columns.values():
+        schema = schema.add(name, ArrayType(place))
+    finder = _text_finder(df.columns.index(text), [ord(state) for state in columns], schema.names)
+    return df.mapInArrow(finder, schema)

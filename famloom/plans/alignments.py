@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from famloom.functions.sequences import feature_document, letters_upper, trimmed_record
+from famloom.functions.sequences import STATE_TRACKS, feature_document, letters_upper, trimmed_record
+from famloom.operators.runs import text_runs
 
 
 def trim_alignments(
@@ -39,9 +40,11 @@ def representatives(first: DataFrame, name: str = "family_id") -> DataFrame:
 
 def secondary_structure_features(predictions: DataFrame) -> DataFrame:
     """Feature document per protein from confidence digits, states and residues."""
-    return predictions.select(
-        "id",
-        feature_document(F.col("confidence"), F.col("states"), F.col("residues")).alias("document"),
+    columns = {state: f"_runs_{state}" for state in STATE_TRACKS}
+    placed = text_runs(predictions.select("id", "confidence", "states", "residues"), "states", columns)
+    runs = {state: F.col(name) for state, name in columns.items()}
+    return placed.select(
+        "id", feature_document(F.col("confidence"), runs, F.col("residues")).alias("document")
     )
 
 
