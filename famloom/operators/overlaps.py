@@ -1,4 +1,8 @@
-"""Pairs of overlapping interval records, by a hierarchical bin join.
+"""Pairs of overlapping interval records, by key and, for keys of many records, by bins.
+
+The records of a key with few of them are paired as they are and held against each other:
+each is shuffled once, and a record has few candidates.  Keys of more records, which are
+counted first, go through a hierarchical bin join.
 
 Two closed intervals overlap when one starts inside the other.  A start is a point, and
 "point in interval" is an equi-join: an interval is cut into the few aligned bins that
@@ -14,6 +18,8 @@ intervals of such a bin are read by each slice.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,6 +29,8 @@ from famloom.session import durable
 STEP = 2
 #: Points of a bin that one slice holds.
 SLICE_POINTS = 20_000
+#: Records of a key, both sides together, up to which all its pairs are candidates.
+FEW_RECORDS = 500
 
 
 def _floor(value: Column, level: Column) -> Column:
@@ -97,6 +105,24 @@ def _starts_inside(
     )
 
 
+def _bin_join(one: DataFrame, two: DataFrame, keys: list[str], slice_points: int) -> DataFrame:
+    """Rows (keys, _one, _two) of the pairs that overlap, for keys of any number of records."""
+    top = _top_level(one, two)
+    point = F.col("_start").alias("_point")
+    # The left record starts inside the right one, or the right one later inside the left one.
+    first = _starts_inside(
+        one.select(*keys, point, "_row"),
+        two.select(*keys, F.col("_start").alias("_from"), F.col("_end").alias("_to"), "_row"),
+        keys, top, slice_points,
+    ).select(*keys, F.col("_point_row").alias("_one"), F.col("_span_row").alias("_two"))
+    second = _starts_inside(
+        two.select(*keys, point, "_row"),
+        one.select(*keys, (F.col("_start") + 1).alias("_from"), F.col("_end").alias("_to"), "_row"),
+        keys, top, slice_points,
+    ).select(*keys, F.col("_span_row").alias("_one"), F.col("_point_row").alias("_two"))
+    return first.unionByName(second)
+
+
 def overlap_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -104,6 +130,7 @@ def overlap_pairs(
     start: str = "start",
     end: str = "end",
     slice_points: int = SLICE_POINTS,
+    few_records: int = FEW_RECORDS,
 ) -> DataFrame:
     """Every pair of a ``left`` and a ``right`` record of one key whose intervals overlap.
 
@@ -115,35 +142,43 @@ def overlap_pairs(
 
     def side(df: DataFrame) -> DataFrame:
         rest = [c for c in df.columns if c not in keys]
-        return df.select(
+        spans = df.select(
             *keys,
             F.col(start).cast("bigint").alias("_start"),
             F.col(end).cast("bigint").alias("_end"),
             F.struct(*rest).alias("_row"),
-        ).filter("_start <= _end")
-
-    one, two = side(left), side(right)
-    top = _top_level(one, two)
-    point = F.col("_start").alias("_point")
-    # The left record starts inside the right one, or the right one later inside the left one.
-    first = _starts_inside(
-        one.select(*keys, point, "_row"),
-        two.select(*keys, F.col("_start").alias("_from"), F.col("_end").alias("_to"), "_row"),
-        keys, top, slice_points,
-    ).select(*keys, F.col("_point_row").alias("_one"), F.col("_span_row").alias("_two"))
-    second = _starts_inside(
-        two.select(*keys, point, "_row"),
-        one.select(*keys, (F.col("_start") + 1).alias("_from"), F.col("_end").alias("_to"), "_row"),
-        keys, top, slice_points,
-    ).select(*keys, F.col("_span_row").alias("_one"), F.col("_point_row").alias("_two"))
+        )
+        # A record that overlaps nothing loses its key; a constant key is no longer seen as one,
+        # which would make the join by key one without keys.
+        held = F.when(F.col("_start") <= F.col("_end"), F.col(keys[0])).alias(keys[0])
+        return spans.select(held, *keys[1:], "_start", "_end", "_row").filter(
+            reduce(and_, [F.col(k).isNotNull() for k in keys])
+        )
 
-    def bound(pick, column: str) -> Column:
-        return pick(F.col("_one")[column].cast("bigint"), F.col("_two")[column].cast("bigint"))
+    def bound(row: str, column: str) -> Column:
+        return F.col(row)[column].cast("bigint")
 
-    return first.unionByName(second).select(
+    one, two = side(left), side(right)
+    large = durable(
+        one.select(*keys).unionAll(two.select(*keys)).groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > few_records).select(*keys)
+    )
+    binned = None
+    if not large.isEmpty():
+        binned = _bin_join(*(s.join(large, keys, "left_semi") for s in (one, two)), keys, slice_points)
+        one, two = (s.join(large, keys, "left_anti") for s in (one, two))
+    # The bounds are read from the rows, so that they are not shuffled twice.
+    found = (
+        one.select(*keys, F.col("_row").alias("_one"))
+        .join(two.select(*keys, F.col("_row").alias("_two")), keys)
+        .filter((bound("_one", start) <= bound("_two", end)) & (bound("_two", start) <= bound("_one", end)))
+    )
+    if binned is not None:
+        found = found.unionByName(binned)
+    return found.select(
         *keys,
         *[F.col("_one")[c].alias(f"{c}_1") for c in left.columns if c not in keys],
         *[F.col("_two")[c].alias(f"{c}_2") for c in right.columns if c not in keys],
-        bound(F.greatest, start).alias("overlap_start"),
-        bound(F.least, end).alias("overlap_end"),
+        F.greatest(bound("_one", start), bound("_two", start)).alias("overlap_start"),
+        F.least(bound("_one", end), bound("_two", end)).alias("overlap_end"),
     )
