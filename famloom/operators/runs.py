@@ -92,8 +92,9 @@ def _text_finder(column: int, codes: list[int], names: list[str]) -> Callable:
     def runs_of(cut: np.ndarray, raw: np.ndarray) -> Iterator[pa.Array]:
         # A character counts by its first byte; those of other states need not be told apart.
         heads = (raw & 0xC0) != 0x80
-        if not heads.all():
-            cut, raw = np.concatenate([[0], np.cumsum(heads)])[cut], raw[heads]
+        others = np.flatnonzero(~heads)
+        if len(others):
+            cut, raw = cut - np.searchsorted(others, cut), raw[heads]
         new = np.ones(len(raw), bool)
         new[1:] = raw[1:] != raw[:-1]
         new[cut[cut < len(raw)]] = True
@@ -103,8 +104,8 @@ def _text_finder(column: int, codes: list[int], names: list[str]) -> Callable:
         before = np.repeat(cut[:-1], np.diff(first))
         x, y = (starts - before + 1).astype(np.int32), (ends - before).astype(np.int32)
         for code in codes:
-            mine = state == code
-            offsets = np.concatenate([[0], np.cumsum(mine)])[first].astype(np.int32)
+            mine = np.flatnonzero(state == code)
+            offsets = np.searchsorted(mine, first).astype(np.int32)
             yield pa.ListArray.from_arrays(
                 offsets, pa.StructArray.from_arrays([pa.array(x[mine]), pa.array(y[mine])], ["x", "y"])
             )
